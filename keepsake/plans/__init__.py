@@ -2,6 +2,6 @@
 
 from keepsake.plans.registry import REGISTRY, Plan, Tables, plan
 
-from keepsake.plans import lookups  # noqa: E402,F401  isort:skip
+from keepsake.plans import joined, lookups  # noqa: E402,F401  isort:skip
 
 __all__ = ["REGISTRY", "Plan", "Tables", "plan"]
