@@ -84,16 +84,22 @@ def nearest_bounds(points: DataFrame, bounds: DataFrame, key: str, point: str, b
     return out.filter(F.col("_kind") == 1).withColumnRenamed("_x", point).drop("_b", "_kind", "_down")
 
 
-def outside_bands(lines: DataFrame, bands: DataFrame, y0: str, y1: str, key: str | None = None) -> DataFrame:
-    """Lines whose vertical centre lies in no band (``lo``, ``hi``).
+def outside_bands(lines: DataFrame, bands: DataFrame, y0: str, y1: str, key: str | None = None,
+                  cells: int = 64) -> DataFrame:
+    """Lines whose vertical centre lies in no band (``lo``, ``hi``), heights in 0..1.
 
-    With ``key`` bands are matched per key; without, the bands are a parameter table.
+    The height is cut into cells: a line probes one cell, a band covers a few, so the
+    anti join is an equi-join however many bands there are.
     """
+    keys = [key] if key else []
     centre = (F.col(y0) + F.col(y1)) / 2
-    inside = (centre >= bands["lo"]) & (centre <= bands["hi"])
-    if key is not None:
-        inside = (lines[key] == bands[key]) & inside
-    return lines.join(bands, inside, "left_anti")
+    cover = bands.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias("_lo"),
+                         F.col("hi").alias("_hi"), F.explode(F.sequence(
+                             F.floor(F.col("lo") * cells), F.floor(F.col("hi") * cells))).alias("_cell"))
+    on = (F.floor(centre * cells) == F.col("_cell")) & (centre >= F.col("_lo")) & (centre <= F.col("_hi"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    return lines.join(cover, on, "left_anti")
 
 
 # ---- rules ----------------------------------------------------------------
