@@ -107,7 +107,7 @@ def unescape(text: str | Column) -> Column:
     """The named entities of ordinary pages; the ampersand last so nothing decodes twice."""
     t = col(text)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                       ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+                       ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
                        ("&middot;", "·"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
     return t

@@ -243,14 +243,14 @@ def except_known(t: Tables):
         F.col("l_partkey").alias("key")).join(old, "key", "left_anti").distinct()
 
 
-@plan("win_median_step", """
-  SELECT series_id, round(quantile_cont(d, 0.5), 6) AS step FROM (
-    SELECT user_id AS series_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id))
-      / 1000000.0::DOUBLE AS d FROM events) WHERE d IS NOT NULL GROUP BY series_id""")
+@plan("win_median_step", f"""WITH {M.SERIES_SQL}
+  SELECT series_id, round(quantile_cont(d, 0.5), 3) AS step FROM (
+    SELECT series_id, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts, id) AS d FROM series)
+  WHERE d IS NOT NULL GROUP BY series_id""")
 def win_median_step(t: Tables):
     from keepsake.operators.series import median_step
 
     return median_step(M.series(t), "series_id", ["ts", "id"], day()).select(
-        "series_id", F.round("step", 6).alias("step"))
+        "series_id", F.round("step", 3).alias("step"))
 
 
