@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keepsake.operators.blocks import running
+from keepsake.operators.blocks import rank_pick
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -109,22 +109,9 @@ def speech_ratio(segments: DataFrame, durations: DataFrame, key: str, start: str
         .otherwise(F.lit(1.0)))
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "upper_median",
-                 parts: int = 256) -> DataFrame:
-    """The element at position ``n div 2`` (zero based) of the sorted values, per key.
-
-    Ranked over value ranges, never by collecting a key's values.
-    """
-    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-                                     F.sum("_n").alias("_total"))
-    joined = counts.join(span, keys)
-    width = (F.col("_max") - F.col("_min")) / float(parts)
-    block = F.when(width > 0, F.floor((F.col("_v") - F.col("_min")) / width)).otherwise(F.lit(0))
-    ranked = running(joined, keys, ["_v"], block, sums={"_cum": F.col("_n")})
-    at = F.floor(F.col("_total") / 2)
-    return ranked.groupBy(*keys).agg(F.max(F.when(
-        (F.col("_cum") - F.col("_n") <= at) & (at < F.col("_cum")), F.col("_v"))).alias(name))
+def upper_median(df: DataFrame, keys: list[str], value: str, name: str = "upper_median") -> DataFrame:
+    """The element at position ``n div 2`` (zero based) of the sorted values, per key."""
+    return rank_pick(df, keys, value, name, F.floor(F.col("_total") / 2))
 
 
 def text_rate(lines: DataFrame, frames: DataFrame, series: str, frame: str, y0: str, y1: str,

@@ -11,6 +11,8 @@ spread over as many tasks as it has blocks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,57 +116,83 @@ def islands(df: DataFrame, keys: list[str], pos: str, block: Column,
     df = df.withColumn("_block", block)
     local = Window.partitionBy(*keys, "_block").orderBy(pos)
     before = F.lag(pos).over(local)
-    df = df.withColumn("_new", F.when(before.isNull() | breaks(F.col(pos), before), 1).otherwise(0))
-    df = df.withColumn("_run", F.sum("_new").over(local.rowsBetween(
+    df = df.withColumn("_isl_new", F.when(before.isNull() | breaks(F.col(pos), before), 1).otherwise(0))
+    df = df.withColumn("_isl_run", F.sum("_isl_new").over(local.rowsBetween(
         Window.unboundedPreceding, Window.currentRow)))
-    runs = df.groupBy(*keys, "_block", "_run").agg(
-        F.min(pos).alias("_lo"), F.max(pos).alias("_hi"),
+    runs = df.groupBy(*keys, "_block", "_isl_run").agg(
+        F.min(pos).alias("_isl_lo"), F.max(pos).alias("_isl_hi"),
         *[fold[kind](expr).alias(name) for name, (kind, expr) in aggs.items()])
     edge = Window.partitionBy(*keys, "_block")
-    runs = runs.withColumn("_edge", (F.col("_run") == 1)
-                           | (F.col("_run") == F.max("_run").over(edge)))
-    across = Window.partitionBy(*keys).orderBy("_lo")
-    before = F.lag("_hi").over(across)
-    touching = (runs.filter("_edge")
-                .withColumn("_new", F.when(before.isNull() | breaks(F.col("_lo"), before), 1)
-                            .otherwise(0))
-                .withColumn("_grp", F.sum("_new").over(across.rowsBetween(
-                    Window.unboundedPreceding, Window.currentRow)))
-                .groupBy(*keys, "_grp").agg(
-                    *[fold[kind](name).alias(name) for name, (kind, _) in aggs.items()])
-                .drop("_grp"))
-    inner = runs.filter(~F.col("_edge")).select(*keys, *aggs)
-    return inner.unionByName(touching.select(*keys, *aggs))
+    touches = (F.col("_isl_run") == 1) | (F.col("_isl_run") == F.max("_isl_run").over(edge))
+    # Edge runs of a series meet in one partition, every other run stays with its block.
+    runs = runs.withColumn("_isl_edge", touches).withColumn(
+        "_isl_part", F.when(~F.col("_isl_edge"), F.col("_block")))
+    across = Window.partitionBy(*keys, "_isl_part").orderBy("_isl_lo")
+    before = F.lag("_isl_hi").over(across)
+    runs = runs.withColumn("_isl_new", F.when(
+        before.isNull() | ~F.col("_isl_edge") | breaks(F.col("_isl_lo"), before), 1).otherwise(0))
+    runs = runs.withColumn("_isl_grp", F.sum("_isl_new").over(across.rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)))
+    return (runs.groupBy(*keys, "_isl_part", "_isl_grp")
+            .agg(*[fold[kind](name).alias(name) for name, (kind, _) in aggs.items()])
+            .drop("_isl_part", "_isl_grp"))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float],
-                      parts: int = 256) -> DataFrame:
+                      resolution: int = 64, total: str | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per key.
 
-    Equal values are counted map-side first; the counts are then ranked in ``parts`` value
-    ranges per key, so no task sees more than one range of one key.
+    Equal values are counted map-side first. The counts are summed per value cell (a
+    monotone cell of ``log2(1 + |v|)``); only the cells that hold a wanted rank are then
+    ranked value by value. ``total`` adds the number of values.
     """
     v = F.col(value).cast("double")
     counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    span = counts.groupBy(*keys).agg(F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-                                     F.sum("_n").alias("_total"))
-    joined = join_nullsafe(counts, span, keys, "inner")
-    width = (F.col("_max") - F.col("_min")) / F.lit(float(parts))
-    block = F.when(width > 0, F.floor((F.col("_v") - F.col("_min")) / width)).otherwise(F.lit(0))
-    ranked = running(joined, keys, ["_v"], block, sums={"_cum": F.col("_n")})
-    first = F.col("_cum") - F.col("_n")          # zero-based rank of the first copy
+              .agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_cell", F.floor(F.signum("_v") * F.log2(1 + F.abs("_v")) * resolution)))
+    along = Window.partitionBy(*keys).orderBy("_cell")
+    cells = (counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
+             .withColumn("_before", F.coalesce(F.sum("_cn").over(along.rowsBetween(
+                 Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_total", F.sum("_cn").over(Window.partitionBy(*keys))))
+    ranks = []
+    for p in ps.values():
+        at = (F.col("_total") - 1) * F.lit(float(p))
+        ranks += [F.floor(at), F.ceil(at)]
+    needed = reduce(or_, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_cn")) for r in ranks])
+    wanted = cells.filter(needed).drop("_cn")
+    ranked = join_nullsafe(counts, wanted, [*keys, "_cell"], "inner").withColumn(
+        "_first", F.col("_before") - F.col("_n") + F.sum("_n").over(
+            Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
+                Window.unboundedPreceding, Window.currentRow)))   # zero-based rank of the first copy
     aggs = []
     for name, p in ps.items():
         at = (F.col("_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(at), F.ceil(at)
-        pick = lambda r: F.max(F.when((first <= r) & (r < F.col("_cum")), F.col("_v")))
-        aggs += [pick(lo).alias(f"_lo_{name}"), pick(hi).alias(f"_hi_{name}"),
-                 F.max(at - lo).alias(f"_w_{name}")]
-    out = ranked.groupBy(*keys).agg(*aggs)
+        for side, r in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((F.col("_first") <= r) & (r < F.col("_first") + F.col("_n")),
+                                     F.col("_v"))).alias(f"_{side}_{name}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"_w_{name}"))
+    out = ranked.groupBy(*keys).agg(*aggs, F.max("_total").alias("_total"))
     return out.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n)
-        for n in ps])
+        for n in ps], *([F.col("_total").alias(total)] if total else []))
+
+
+def rank_pick(df: DataFrame, keys: list[str], value: str, name: str, at: Column,
+              resolution: int = 64) -> DataFrame:
+    """The value at zero-based sorted position ``at`` (an expression of ``_total``), per key."""
+    counts = (df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_cell", F.floor(F.signum("_v") * F.log2(1 + F.abs("_v")) * resolution)))
+    along = Window.partitionBy(*keys).orderBy("_cell")
+    cells = (counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
+             .withColumn("_before", F.coalesce(F.sum("_cn").over(along.rowsBetween(
+                 Window.unboundedPreceding, -1)), F.lit(0)))
+             .withColumn("_total", F.sum("_cn").over(Window.partitionBy(*keys)))
+             .filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_cn"))).drop("_cn"))
+    ranked = join_nullsafe(counts, cells, [*keys, "_cell"], "inner").withColumn(
+        "_end", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)))
+    return ranked.groupBy(*keys).agg(F.min(F.when(at < F.col("_end"), F.col("_v"))).alias(name))
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int,

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.scalars import is_off
-from keepsake.operators.blocks import exact_percentiles, islands, previous, row_index
+from keepsake.operators.blocks import exact_percentiles, islands, row_index, running
 from keepsake.operators.fold import greedy_fold
 from keepsake.operators.joins import asof_forward, interval_overlap
+from keepsake.session import reliable
 
 # Detection thresholds.
 QUIET_SECONDS = 0.4
@@ -21,25 +22,31 @@ SETTLE_SECONDS, SETTLE_RATIO, SETTLE_FLOOR = 0.8, 1.2, 0.01
 DEFAULT_STEP = 0.2
 
 
+def numbered(series: DataFrame, key: str, order: list[str], block: Column,
+             extra: list[str] | None = None) -> DataFrame:
+    """Rows with their 1-based position ``rn`` and the distance ``gap`` to the row before."""
+    rows = running(series.select(key, *order, *(extra or [])), [key], order, block,
+                   last={"_prev": F.struct(F.col(order[0]).alias("v"))}, sums={"_before": F.lit(1)},
+                   inclusive=False)
+    return rows.withColumns({"rn": (F.col("_before") + 1).cast("long"),
+                             "gap": F.col(order[0]) - F.col("_prev.v")}).drop("_before", "_prev")
+
+
 def median_step(series: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
     """Median distance between neighbouring samples, per series with two or more rows."""
-    steps = previous(series.select(key, *order), [key], order, block, {"_prev": F.col(order[0])})
-    steps = steps.filter(F.col("_prev").isNotNull()).select(
-        key, (F.col(order[0]) - F.col("_prev")).alias("_step"))
-    return exact_percentiles(steps, [key], "_step", {"step": 0.5})
+    return exact_percentiles(numbered(series, key, order, block), [key], "gap", {"step": 0.5})
 
 
 def thresholds(series: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """floor = P20, median = P50, enter and exit level per series."""
-    p = exact_percentiles(series, [key], value, {"floor": 0.2, "median": 0.5})
+    """floor = P20, median = P50, enter and exit level and row count ``n`` per series."""
+    p = exact_percentiles(series, [key], value, {"floor": 0.2, "median": 0.5}, total="n")
     return p.withColumns({"enter": F.greatest(F.col("floor") * ENTER_RATIO, F.lit(ENTER_FLOOR)),
                           "exit": F.col("floor") * EXIT_RATIO})
 
 
 def series_stats(series: DataFrame, key: str, block: Column) -> DataFrame:
     """Thresholds, sampling step, length and span of every series. One row per series."""
-    ends = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"),
-                                   F.max("ts").alias("last_ts"))
+    ends = series.groupBy(key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return (thresholds(series, key).join(ends, key)
             .join(median_step(series, key, ["ts", "id"], block), key, "left")
             .withColumn("step", F.coalesce("step", F.lit(DEFAULT_STEP))))
@@ -116,16 +123,17 @@ def indexed(series: DataFrame, key: str, order: list[str], block: Column) -> Dat
 def even_sample(rows: DataFrame, key: str, m: int) -> DataFrame:
     """Evenly spaced rows, first and last kept, of every series longer than ``m``.
 
-    ``rows`` carries ``i`` and ``n`` (see ``indexed``). The kept positions are computed per
-    series (at most ``m``) and joined.
+    ``rows`` carries ``i`` and ``n`` (see ``indexed``). Row ``i`` is kept when it is the
+    rounded position of one of the ``m`` marks; only the marks next to it can be, so the
+    test needs no join.
     """
-    at = F.bround(F.col("_k") * (F.col("n") - 1) / F.lit(float(max(1, m - 1)))).cast("long")
-    picks = (rows.filter((F.col("i") == 0) & (F.col("n") > m)).select(key, "n")
-             .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-             .select(F.col(key).alias("_pk"), at.alias("_pi")).distinct())
-    sampled = rows.filter(F.col("n") > m).join(
-        picks, (F.col(key) == F.col("_pk")) & (F.col("i") == F.col("_pi")), "left_semi")
-    return rows.filter(F.col("n") <= m).unionByName(sampled)
+    last, marks = F.col("n") - 1, F.lit(float(max(1, m - 1)))
+    near = F.col("i") * marks / last
+
+    def hit(k: Column) -> Column:
+        return F.bround(k * last / marks) == F.col("i")
+
+    return rows.filter((F.col("n") <= m) | hit(F.floor(near)) | hit(F.ceil(near)))
 
 
 def cap_units(units: DataFrame, key: str, order: list[str], block: Column, max_units: int = 120,
@@ -255,7 +263,7 @@ def series_profile(series: DataFrame, bands: DataFrame, speech: DataFrame, key:
 
     ``speech(key, speech_seconds)``. Reasons as in ``classify_bands`` plus ``too_few_samples``.
     """
-    stats = series_stats(series, key, block)
+    stats = reliable(series_stats(series, key, block))      # one row per series, used three times
     events = detect_events(series, key, block, stats, quiet_seconds).groupBy(key).agg(
         F.count(F.lit(1)).alias("event_count"))
     still = detect_settle(series, key, block, stats, settle_seconds).groupBy(key).agg(
@@ -325,23 +333,24 @@ def visual_event_frames(series: DataFrame, settle: DataFrame, key: str, block: C
                         quiet_seconds: float = QUIET_SECONDS, axis_block: float = 3600.0) -> DataFrame:
     """Anchor times: shortly after each event starts and in the middle of static segments,
     at least ``min_gap`` apart; evenly filled when few, evenly thinned when many."""
-    stats = series_stats(series, key, block)
+    stats = reliable(series_stats(series, key, block))      # one row per series, used three times
     events = detect_events(series, key, block, stats, quiet_seconds)
     span = stats.select(key, "first_ts", "last_ts")
     picks = events.join(span, key).select(key, F.least(F.greatest(
         F.col("start_s") + after_change, F.col("first_ts")), F.col("last_ts")).alias("t"))
     middles = settle.select(key, ((F.col("lo") + F.col("hi")) / 2).alias("t"))
     axis = F.floor(F.col("t") / axis_block)
-    kept = spaced(picks.unionByName(middles), key, "t", axis, min_gap)
+    kept = reliable(spaced(picks.unionByName(middles), key, "t", axis, min_gap))
     count = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     few = stats.select(key, "n").join(count, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(
         F.col("_n") < max(3, max_frames // 4)).select(key, "n")
     # Filling only concerns series with few anchors: lists of at most 1.25 * max_frames times.
-    want = few.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(max_frames - 1)))).select(
-        F.col(key).alias("_pk"), F.least(F.col("n") - 1, F.floor(
-            F.col("_k") * (F.col("n") / F.lit(float(max_frames))))).alias("_pi")).distinct()
     rows = indexed(series.select(key, "ts", "id"), key, ["ts", "id"], block)
-    filler = rows.join(want, (F.col(key) == F.col("_pk")) & (F.col("i") == F.col("_pi"))).groupBy(key).agg(
+    stride = F.col("n") / F.lit(float(max_frames))
+    mark = F.ceil(F.col("i") / stride)
+    wanted = ((mark < max_frames) & (F.floor(mark * stride) == F.col("i"))) | (
+        F.floor((mark - 1) * stride) == F.col("i"))
+    filler = rows.filter(wanted).join(few.select(key), key, "left_semi").groupBy(key).agg(
         F.sort_array(F.collect_list("ts")).alias("_fill"))
     anchors = kept.join(few.select(key), key, "left_semi").groupBy(key).agg(
         F.sort_array(F.collect_list("t")).alias("_have"))

@@ -2,6 +2,6 @@
 
 from keepsake.plans.registry import REGISTRY, Plan, Tables, plan
 
-from keepsake.plans import aggregated, ingest, joined, lookups, texts  # noqa: E402,F401  isort:skip
+from keepsake.plans import aggregated, ingest, joined, lookups, texts, timeseries  # noqa: E402,F401  isort:skip
 
 __all__ = ["REGISTRY", "Plan", "Tables", "plan"]
