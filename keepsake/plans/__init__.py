@@ -2,6 +2,8 @@
 
 from keepsake.plans.registry import REGISTRY, Plan, Tables, plan
 
-from keepsake.plans import aggregated, ingest, joined, lookups, texts, timeseries  # noqa: E402,F401  isort:skip
+from keepsake.plans import (  # noqa: E402,F401  isort:skip
+    aggregated, ingest, joined, lookups, search, texts, timeseries,
+)
 
 __all__ = ["REGISTRY", "Plan", "Tables", "plan"]
