@@ -7,6 +7,7 @@ Nothing here is needed on a cluster whose ``spark-defaults`` already sets these;
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,13 @@ def reliable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="keepsake-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for stream state and sinks, below ``spark.checkpoint.dir`` when set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        return tempfile.mkdtemp(prefix="keepsake-stream-")
+    return f"{base.rstrip('/')}/keepsake-stream-{uuid.uuid4().hex}"
