@@ -71,17 +71,21 @@ _BUFFER = "start_s double, end_s double, text string"
 
 
 def merge_segments(segments: DataFrame, max_chars: int = 240, max_seconds: float = 45.0,
-                   idle_ms: int = 60_000) -> DataFrame:
+                   arrival: str | None = None, delay: str = "1 minute", idle_ms: int = 60_000) -> DataFrame:
     """Greedy merge of ``(series_id, start_s, end_s, text)`` in arrival order per series.
 
-    The state is one open buffer per series; a series that stays silent for ``idle_ms`` of
-    processing time flushes its buffer. Rows of one trigger are ordered by start.
+    The state is one open buffer per series. With an event-time column ``arrival`` a buffer is
+    flushed once the watermark is ``idle_ms`` past its last row; without, it waits for more
+    rows. Rows of one trigger are ordered by start; bound the trigger by
+    ``maxBytesPerTrigger`` so that a busy series stays small.
     """
+    names = ["series_id", "start_s", "end_s", "text"]
+
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             start, end, text = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], start, end, text)], columns=["series_id", "start_s", "end_s", "text"])
+            yield pd.DataFrame([(key[0], start, end, text)], columns=names)
             return
         start, end, text = state.get if state.exists else (None, None, "")
         out = []
@@ -92,16 +96,19 @@ def merge_segments(segments: DataFrame, max_chars: int = 240, max_seconds: float
             if len(text) >= max_chars or end - start >= max_seconds:
                 out.append((key[0], start, end, text))
                 start, end, text = None, None, ""
-        if start is None:
-            if state.exists:
-                state.remove()
-        else:
+        if start is not None:
             state.update((start, end, text))
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["series_id", "start_s", "end_s", "text"])
+            if arrival is not None:
+                last = max(int(rows[arrival].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+                state.setTimeoutTimestamp(last + idle_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names)
 
-    return segments.groupBy("series_id").applyInPandasWithState(
-        advance, _MERGED, _BUFFER, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    if arrival is not None:
+        segments = segments.withWatermark(arrival, delay)
+    timeout = GroupStateTimeout.NoTimeout if arrival is None else GroupStateTimeout.EventTimeTimeout
+    return segments.groupBy("series_id").applyInPandasWithState(advance, _MERGED, _BUFFER, "append", timeout)
 
 
 def incremental_ingest(known_path: str, new_path: str, key: str) -> Callable[[DataFrame, int], None]:
