@@ -36,29 +36,28 @@ def route(items: DataFrame, verdicts: DataFrame, categories: DataFrame, threshol
     ``verdicts(item_id, category_id, new_name, confidence, reason)``,
     ``categories(id, domain, name, status)``. ``new_category`` names a bucket to create.
     """
-    v = verdicts.select(F.col("item_id").alias("id"), F.col("category_id").alias("v_category"), "new_name",
-                        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                        F.substring(F.coalesce("reason", F.lit("")), 1, 200).alias("reason"))
-    active = categories.filter(F.col("status") == "active").select(
-        F.col("id").alias("v_category"), "domain", F.lit(True).alias("v_active"))
-    d = items.join(v, "id", "left").join(active, ["v_category", "domain"], "left")
     given = F.nullif(F.col("new_name"), F.lit(""))
-    explicit = given.isNotNull() | X.proposal_strong("reason").isNotNull()
+    text = F.substring(F.coalesce("reason", F.lit("")), 1, 200)
     quoted = "[「」\"']+"
-    name = F.substring(F.regexp_replace(X.strip(F.coalesce(given, X.proposal_name("reason"))),
+    name = F.substring(F.regexp_replace(X.strip(F.coalesce(given, X.proposal_name(text))),
                                         f"^{quoted}|{quoted}$", ""), 1, 40)
-    accept = F.coalesce((name != "") & (explicit | (F.col("confidence") >= min(threshold, 0.5))), F.lit(False))
+    v = verdicts.select(F.col("item_id").alias("id"), F.col("category_id").alias("v_category"),
+                        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), text.alias("reason"),
+                        (given.isNotNull() | X.proposal_strong(text).isNotNull()).alias("_explicit"),
+                        F.nullif(name, F.lit("")).alias("_name"))
+    active = categories.filter(F.col("status") == "active").select(
+        F.col("id").alias("v_category"), "domain", F.lit(True).alias("v_active"))
+    d = items.join(v, "id", "left").join(active, ["v_category", "domain"], "left")
     by_rule = F.col("rule_category_id").isNotNull()
     sure = F.col("confidence") >= threshold
     direct = F.coalesce(F.col("v_active"), F.lit(False)) & sure
-    d = d.withColumn("proposal", F.when(~by_rule & ~direct & accept, name))
-    # Only names still in play look for an existing bucket; each has at most 13 forms.
-    forms = d.filter(F.col("proposal").isNotNull()).select("domain", "proposal").distinct().withColumn(
-        "name", F.explode(name_forms(F.col("proposal"))))
-    living = categories.filter(F.col("status") != "archived").select(
-        "domain", "name", F.col("id").alias("_cid"), F.col("status").alias("_cstatus"))
-    found = forms.join(living, ["domain", "name"]).groupBy("domain", "proposal").agg(
-        F.min(F.struct("_cid", "_cstatus")).alias("_e"))
+    accept = F.coalesce(F.col("_explicit") | (F.col("confidence") >= min(threshold, 0.5)), F.lit(False))
+    d = d.withColumn("proposal", F.when(~by_rule & ~direct & accept, F.col("_name")))
+    # Every living category is found under each form of its name; the smallest id wins.
+    found = (categories.filter(F.col("status") != "archived")
+             .select("domain", F.explode(name_forms(F.col("name"))).alias("proposal"),
+                     F.struct(F.col("id").alias("_cid"), F.col("status").alias("_cstatus")).alias("_c"))
+             .groupBy("domain", "proposal").agg(F.min("_c").alias("_e")))
     d = d.join(found, ["domain", "proposal"], "left")
     known = F.col("_e").isNotNull()
     reuse = known & (F.col("_e._cstatus") == "active") & sure

@@ -48,43 +48,51 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, where: Column | No
 
 
 def knn_scan(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id",
-             vector: str = "embedding", query_id: str = "query_id", query_vector: str = "qe") -> DataFrame:
+             vector: str = "embedding", query_id: str = "query_id", query_vector: str = "qe",
+             scope: str | None = None) -> DataFrame:
     """The k nearest rows for every query of a small query table, exact, ranked per query.
 
-    Vectors have unit length (see ``l2_normalize``), so the inner product is the cosine.
-
-    The queries travel to the tasks in blocks of ``QUERY_BLOCK``, one scan per block; every
-    task keeps only its own best k per query.
+    Vectors have unit length (see ``l2_normalize``), so the inner product is the cosine. With
+    ``scope``, a column of both tables, a query only sees rows of its own scope; a null scope
+    sees all. The queries travel to the tasks in blocks of ``QUERY_BLOCK``, one scan per
+    block; every task keeps only its own best k per query.
     """
     spark = vectors.sparkSession
-    q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v")).filter(F.col("v").isNotNull())
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    source = vectors.select(F.col(id_).alias("i"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
+    group = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
+    q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), group.alias("s")).filter(
+        F.col("v").isNotNull())
+    rows = q.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(rows) <= QUERY_BLOCK else -(-q.count() // (QUERY_BLOCK // 2))
+    source = vectors.select(F.col(id_).alias("i"), F.col(vector).alias("v"), group.alias("s")).filter(
+        F.col("v").isNotNull())
     schema = StructType([StructField(query_id, queries.schema[query_id].dataType),
                          StructField(id_, vectors.schema[id_].dataType), StructField("sim", DoubleType())])
     out = None
     for b in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        rows = part.collect()                       # one block of queries
+        if blocks > 1:
+            rows = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()      # one block of queries
         if not rows:
             continue
+        wanted = {r.s for r in rows}
         table = spark.sparkContext.broadcast(
-            ([r.q for r in rows], np.array([r.v for r in rows], dtype=np.float64)))
+            ([r.q for r in rows], np.array([r.v for r in rows], dtype=np.float64), [r.s for r in rows]))
 
         def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            qids, qm = table.value
+            qids, qm, scopes = table.value
             best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(qids)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids = batch.column("i").to_numpy(zero_copy_only=False)
+                own = np.array(batch.column("s").to_pylist(), dtype=object)
                 sims = qm @ matrix(batch.column("v")).T
-                for j in range(len(qids)):
-                    pick = best_k(sims[j], ids, k)
-                    s = np.concatenate([best[j][0], sims[j][pick]])
-                    c = np.concatenate([best[j][1], ids[pick]])
-                    keep = best_k(s, c, k)
-                    best[j] = (s[keep], c[keep])
+                for j, s in enumerate(scopes):
+                    seen = slice(None) if s is None else np.flatnonzero(own == s)
+                    pick = best_k(sims[j][seen], ids[seen], k)
+                    near = np.concatenate([best[j][0], sims[j][seen][pick]])
+                    who = np.concatenate([best[j][1], ids[seen][pick]])
+                    keep = best_k(near, who, k)
+                    best[j] = (near[keep], who[keep])
             n = [len(s) for s, _ in best]
             if sum(n):
                 yield pa.RecordBatch.from_arrays(
@@ -92,7 +100,9 @@ def knn_scan(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_i
                      pa.array(np.concatenate([c for _, c in best])),
                      pa.array(np.concatenate([s for s, _ in best]))], names=[query_id, id_, "sim"])
 
-        hits = source.mapInArrow(scan, schema)
+        # Only scopes that are asked for are read.
+        read = source if None in wanted else source.filter(F.col("s").isin(*wanted))
+        hits = read.mapInArrow(scan, schema)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -136,9 +146,7 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, items: DataFrame, queri
     """
     queries = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
     wide = 2 * k
-    # One scan per distinct domain setting would re-read the vectors; the domain is instead
-    # part of the ranking group: every query is matched inside the vectors of its domain.
-    vec = domain_knn(vectors, queries, wide)
+    vec = knn_scan(vectors, queries, wide, scope="domain")
     source = chunks
     if prefilter:
         source = chunks.join(items.select(F.col("id").alias("item_id"), F.col("domain").alias("_d")), "item_id")
@@ -160,27 +168,6 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, items: DataFrame, queri
         "query_id", "rank", "chunk_id", "item_id", "domain", "type", F.round("score", 6).alias("score"))
 
 
-def domain_knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Vector recall for queries with an optional domain each.
-
-    Queries are grouped by domain; a group scans only its domain's vectors, so the filter
-    reaches the scan. The number of groups is the number of distinct domains asked for.
-    """
-    asked = queries.filter(F.col("qe").isNotNull())
-    domains = [r.domain for r in asked.select("domain").distinct().limit(1000).collect()]
-    if len(domains) == 1000:
-        raise ValueError("more than 999 distinct domain filters; split the query table")
-    out = None
-    for d in domains:
-        same = asked.filter(F.col("domain").eqNullSafe(F.lit(d)))
-        source = vectors if d is None else vectors.filter(F.col("domain") == d)
-        hits = knn_scan(source, same, k)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = knn_scan(vectors, asked, k)
-    return out
-
-
 def search_page(hits: DataFrame, page: int, size: int) -> DataFrame:
     """A page of ranked hits; page from 1, size 1..100."""
     page, size = max(1, page), min(100, max(1, size))
