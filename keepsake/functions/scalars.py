@@ -122,7 +122,7 @@ def json_array(text: str | Column) -> Column:
 
 def json_object_text(text: str | Column) -> Column:
     """The text when it is a valid JSON object, else null."""
-    t = F.trim(col(text))
+    t = F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
     return F.when(t.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(t).isNotNull(), t)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from keepsake.functions import scalars as S
+from keepsake.functions.text import strip
 from keepsake.operators.blocks import first_n, top_n
 from keepsake.operators.keyword import match_terms
 
@@ -119,7 +120,7 @@ def keyword_topk(chunks: DataFrame, term: str, k: int, id_: str = "chunk_id", co
 def keyword_batch(chunks: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id",
                   content: str = "content", query_id: str = "query_id", query: str = "query") -> DataFrame:
     """Keyword recall for a query table: one pass over the texts for all terms."""
-    terms = queries.select(query_id, F.trim(query).alias(query))
+    terms = queries.select(query_id, strip(query).alias(query))
     hits = match_terms(chunks, id_, content, terms, query_id, query)
     return top_n(hits, [query_id], [F.col(id_)], k, "rank")
 
@@ -144,13 +145,13 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, items: DataFrame, queri
     top 2k within the domain, keyword top 2k (over all domains unless ``prefilter``), fusion,
     first 2k fused, domain re-checked, first k.
     """
-    queries = queries.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    queries = queries.filter(strip(F.coalesce("query", F.lit(""))) != "")
     wide = 2 * k
     vec = knn_scan(vectors, queries, wide, scope="domain")
     source = chunks
     if prefilter:
         source = chunks.join(items.select(F.col("id").alias("item_id"), F.col("domain").alias("_d")), "item_id")
-        hits = match_terms(source, "chunk_id", "content", queries.select("query_id", F.trim("query").alias("query")),
+        hits = match_terms(source, "chunk_id", "content", queries.select("query_id", strip("query").alias("query")),
                            "query_id", "query")
         hits = hits.join(source.select("chunk_id", "_d"), "chunk_id").join(
             queries.select("query_id", "domain"), "query_id").filter(

@@ -26,12 +26,10 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_supported(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents to ingest, and rejects with a reason."""
+    """Documents to ingest, and rejects with a reason. Spark's file scans skip empty files."""
     ok = F.col("kind") == "document"
-    rejects = files.filter(~ok | (F.col("length") == 0)).withColumn(
-        "reason", F.when(F.col("length") == 0, "empty file").otherwise(
-            F.concat(F.lit("unsupported kind "), F.col("kind"))))
-    return files.filter(ok & (F.col("length") > 0)), rejects
+    return files.filter(ok), files.filter(~ok).withColumn(
+        "reason", F.concat(F.lit("unsupported kind "), F.col("kind")))
 
 
 def document_items(docs: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
