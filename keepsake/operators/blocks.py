@@ -43,16 +43,7 @@ def join_nullsafe(df: DataFrame, other: DataFrame, keys: list[str], how: str = "
 def row_index(df: DataFrame, keys: list[str], order: list[str], block: Column,
               name: str = "rn") -> DataFrame:
     """1-based position of every row in its series, exact for series of any length."""
-    df = df.withColumn("_block", block)
-    local = Window.partitionBy(*keys, "_block").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-               .drop("_n"))
-    out = join_nullsafe(df, offsets, [*keys, "_block"])
-    return (out.withColumn(name, (F.row_number().over(local) + F.col("_offset")).cast("long"))
-            .drop("_block", "_offset"))
+    return running(df, keys, order, block, sums={name: F.lit(1).cast("long")})
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
@@ -63,11 +54,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     ``last[name]`` is the latest non-null value of the expression up to the row,
     ``sums[name]`` the running total. With ``inclusive=False`` the row itself is left out,
     which makes ``last`` of a never-null expression the previous row's value (``lag``).
+
+    What earlier blocks pass on enters each block as one extra row in front, so the rows
+    themselves are shuffled once, by series and block, and joined with nothing.
     """
     last, sums = last or {}, sums or {}
-    df = df.withColumn("_block", block)
-    for name, expr in {**last, **sums}.items():
-        df = df.withColumn(f"_x_{name}", expr)
+    df = df.withColumns({"_block": block, **{f"_x_{n}": e for n, e in {**last, **sums}.items()}})
     position = F.struct(*[F.col(c) for c in order])
     aggs = [F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), position)).alias(f"_c_{n}")
             for n in last]
@@ -75,22 +67,17 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     carry = df.groupBy(*keys, "_block").agg(*aggs).select(
-        *keys, "_block",
-        *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_p_{n}") for n in last],
-        *[F.sum(f"_c_{n}").over(earlier).alias(f"_p_{n}") for n in sums])
+        *keys, "_block", F.lit(0).alias("_main"),
+        *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_x_{n}") for n in last],
+        *[F.sum(f"_c_{n}").over(earlier).alias(f"_x_{n}") for n in sums])
     end = Window.currentRow if inclusive else -1
-    local = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(
+    local = Window.partitionBy(*keys, "_block").orderBy("_main", *order).rowsBetween(
         Window.unboundedPreceding, end)
-    out = join_nullsafe(df, carry, [*keys, "_block"])
-    for n in last:
-        out = out.withColumn(n, F.coalesce(
-            F.last(f"_x_{n}", ignorenulls=True).over(local), F.col(f"_p_{n}")))
-    for n in sums:
-        zero = F.lit(0)
-        out = out.withColumn(n, F.coalesce(F.sum(f"_x_{n}").over(local), zero)
-                             + F.coalesce(F.col(f"_p_{n}"), zero))
-    temp = [f"_x_{n}" for n in {**last, **sums}] + [f"_p_{n}" for n in {**last, **sums}]
-    return out.drop("_block", *temp)
+    both = df.withColumn("_main", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    out = both.withColumns({
+        **{n: F.last(f"_x_{n}", ignorenulls=True).over(local) for n in last},
+        **{n: F.coalesce(F.sum(f"_x_{n}").over(local), F.lit(0)) for n in sums}})
+    return out.filter(F.col("_main") == 1).drop("_block", "_main", *[f"_x_{n}" for n in {**last, **sums}])
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], block: Column,

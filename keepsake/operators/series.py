@@ -37,19 +37,23 @@ def median_step(series: DataFrame, key: str, order: list[str], block: Column) ->
     return exact_percentiles(numbered(series, key, order, block), [key], "gap", {"step": 0.5})
 
 
-def thresholds(series: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """floor = P20, median = P50, enter and exit level and row count ``n`` per series."""
-    p = exact_percentiles(series, [key], value, {"floor": 0.2, "median": 0.5}, total="n")
-    return p.withColumns({"enter": F.greatest(F.col("floor") * ENTER_RATIO, F.lit(ENTER_FLOOR)),
-                          "exit": F.col("floor") * EXIT_RATIO})
-
-
 def series_stats(series: DataFrame, key: str, block: Column) -> DataFrame:
-    """Thresholds, sampling step, length and span of every series. One row per series."""
+    """Levels, sampling step, length and span of every series. One row per series.
+
+    ``floor`` = P20, ``median`` = P50 of the values, ``step`` = median distance of samples.
+    Values and distances are ranked together in one pass.
+    """
+    rows = numbered(series, key, ["ts", "id"], block, ["value"])
+    long = rows.select(key, F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("value").alias("x")),
+        F.struct(F.lit(1).alias("kind"), F.col("gap").alias("x")))).alias("_m")).select(key, "_m.kind", "_m.x")
+    p = exact_percentiles(long, [key, "kind"], "x", {"p20": 0.2, "p50": 0.5}, total="total")
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    levels = p.groupBy(key).agg(of(0, "p20").alias("floor"), of(0, "p50").alias("median"), of(0, "total").alias("n"),
+                                F.coalesce(of(1, "p50"), F.lit(DEFAULT_STEP)).alias("step"))
     ends = series.groupBy(key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return (thresholds(series, key).join(ends, key)
-            .join(median_step(series, key, ["ts", "id"], block), key, "left")
-            .withColumn("step", F.coalesce("step", F.lit(DEFAULT_STEP))))
+    return levels.join(ends, key).withColumns({
+        "enter": F.greatest(F.col("floor") * ENTER_RATIO, F.lit(ENTER_FLOOR)), "exit": F.col("floor") * EXIT_RATIO})
 
 
 def detect_events(series: DataFrame, key: str, block: Column, stats: DataFrame | None = None,
@@ -61,7 +65,7 @@ def detect_events(series: DataFrame, key: str, block: Column, stats: DataFrame |
     to its last row, or to the end of the series when too little quiet follows.
     """
     stats = series_stats(series, key, block) if stats is None else stats
-    rows = row_index(series.select(key, "ts", "id", "value"), [key], ["ts", "id"], block)
+    rows = numbered(series, key, ["ts", "id"], block, ["value"])
     constants = stats.select(key, "enter", "exit", "step", "n", "last_ts")
     loud = rows.join(constants, key).filter(F.col("value") > F.col("exit"))
     runs = islands(
@@ -78,7 +82,7 @@ def detect_settle(series: DataFrame, key: str, block: Column, stats: DataFrame |
                   min_seconds: float = SETTLE_SECONDS, ratio: float = SETTLE_RATIO) -> DataFrame:
     """Static segments ``(key, lo, hi)``: long enough runs of rows at or below the level."""
     stats = series_stats(series, key, block) if stats is None else stats
-    rows = row_index(series.select(key, "ts", "id", "value"), [key], ["ts", "id"], block)
+    rows = numbered(series, key, ["ts", "id"], block, ["value"])
     level = F.greatest(F.col("floor") * ratio, F.lit(SETTLE_FLOOR))
     need = F.when(F.col("step") > 0, F.greatest(F.lit(1), F.bround(F.lit(min_seconds) / F.col("step"))))
     constants = stats.filter(level < F.col("median")).select(
