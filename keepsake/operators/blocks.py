@@ -48,36 +48,41 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], block: Column,
 
 def running(df: DataFrame, keys: list[str], order: list[str], block: Column, *,
             last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None,
-            inclusive: bool = True) -> DataFrame:
+            totals: dict[str, Column] | None = None, inclusive: bool = True) -> DataFrame:
     """Running ``last non-null`` and ``sum`` along each series.
 
     ``last[name]`` is the latest non-null value of the expression up to the row,
     ``sums[name]`` the running total. With ``inclusive=False`` the row itself is left out,
     which makes ``last`` of a never-null expression the previous row's value (``lag``).
+    ``totals[name]`` is the sum over the whole series, on every row.
 
     What earlier blocks pass on enters each block as one extra row in front, so the rows
     themselves are shuffled once, by series and block, and joined with nothing.
     """
-    last, sums = last or {}, sums or {}
-    df = df.withColumns({"_block": block, **{f"_x_{n}": e for n, e in {**last, **sums}.items()}})
+    last, sums, totals = last or {}, sums or {}, totals or {}
+    df = df.withColumns({"_block": block, **{f"_x_{n}": e for n, e in {**last, **sums, **totals}.items()}})
     position = F.struct(*[F.col(c) for c in order])
     aggs = [F.max_by(f"_x_{n}", F.when(F.col(f"_x_{n}").isNotNull(), position)).alias(f"_c_{n}")
             for n in last]
-    aggs += [F.sum(f"_x_{n}").alias(f"_c_{n}") for n in sums]
+    aggs += [F.sum(f"_x_{n}").alias(f"_c_{n}") for n in {**sums, **totals}]
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1)
     carry = df.groupBy(*keys, "_block").agg(*aggs).select(
         *keys, "_block", F.lit(0).alias("_main"),
         *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_x_{n}") for n in last],
-        *[F.sum(f"_c_{n}").over(earlier).alias(f"_x_{n}") for n in sums])
+        *[F.sum(f"_c_{n}").over(earlier).alias(f"_x_{n}") for n in sums],
+        *[F.sum(f"_c_{n}").over(Window.partitionBy(*keys)).alias(f"_x_{n}") for n in totals])
     end = Window.currentRow if inclusive else -1
     local = Window.partitionBy(*keys, "_block").orderBy("_main", *order).rowsBetween(
         Window.unboundedPreceding, end)
     both = df.withColumn("_main", F.lit(1)).unionByName(carry, allowMissingColumns=True)
+    front = F.when(F.col("_main") == 0, True)
     out = both.withColumns({
+        **{n: F.first(F.when(front, F.col(f"_x_{n}")), ignorenulls=True).over(local) for n in totals},
         **{n: F.last(f"_x_{n}", ignorenulls=True).over(local) for n in last},
         **{n: F.coalesce(F.sum(f"_x_{n}").over(local), F.lit(0)) for n in sums}})
-    return out.filter(F.col("_main") == 1).drop("_block", "_main", *[f"_x_{n}" for n in {**last, **sums}])
+    return out.filter(F.col("_main") == 1).drop(
+        "_block", "_main", *[f"_x_{n}" for n in {**last, **sums, **totals}])
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], block: Column,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.functions import text as X
-from keepsake.operators.blocks import row_index, top_n
+from keepsake.operators.blocks import row_index, running, top_n
 from keepsake.operators.joins import nearest_bounds
 
 
@@ -142,10 +142,10 @@ def remap(children: DataFrame, keepers: DataFrame, key: str = "category_id") ->
 
 def number_versions(log: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
     """Version number per key along the log; the newest version is active, others retired."""
-    rows = row_index(log, [key], order, block, "version")
-    last = log.groupBy(key).agg(F.count(F.lit(1)).alias("_max"))
-    return rows.join(last, key).withColumn(
-        "status", F.when(F.col("version") == F.col("_max"), "active").otherwise("retired")).drop("_max")
+    one = F.lit(1).cast("long")
+    rows = running(log, [key], order, block, sums={"version": one}, totals={"_max": one})
+    return rows.withColumn("status", F.when(
+        F.col("version") == F.col("_max"), "active").otherwise("retired")).drop("_max")
 
 
 def rollback(log: DataFrame, targets: DataFrame, key: str, version: str = "version") -> DataFrame:

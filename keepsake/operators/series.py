@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions.scalars import is_off
-from keepsake.operators.blocks import exact_percentiles, islands, row_index, running
+from keepsake.operators.blocks import exact_percentiles, islands, running
 from keepsake.operators.fold import greedy_fold
 from keepsake.operators.joins import asof_forward, interval_overlap
 from keepsake.session import reliable
@@ -119,9 +119,9 @@ def ad_segments(comments: DataFrame, key: str, window: float = 10.0, min_hits: i
 
 def indexed(series: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
     """Zero-based index ``i`` and series length ``n`` for every row."""
-    n = series.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rows = row_index(series, [key], order, block, "_rn").withColumn("i", F.col("_rn") - 1).drop("_rn")
-    return rows.join(n, key)
+    rows = running(series, [key], order, block, sums={"_rn": F.lit(1).cast("long")},
+                   totals={"n": F.lit(1).cast("long")})
+    return rows.withColumn("i", F.col("_rn") - 1).drop("_rn")
 
 
 def even_sample(rows: DataFrame, key: str, m: int) -> DataFrame:
