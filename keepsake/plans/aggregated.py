@@ -8,11 +8,11 @@ from keepsake.operators.blocks import exact_percentiles, first_n, top_n
 from keepsake.plans import mapping as M
 from keepsake.plans.registry import TABLES, Tables, plan
 
-DAY = 86400.0
+WEEK = 7 * 86400.0
 
 
-def day(column: str = "ts"):
-    return F.floor(F.col(column) / DAY)
+def week(column: str = "ts"):
+    return F.floor(F.col(column) / WEEK)
 
 
 @plan("count_items", f"WITH {M.ITEMS_DOCS_SQL} SELECT count(*) AS n FROM items "
@@ -250,7 +250,7 @@ def except_known(t: Tables):
 def win_median_step(t: Tables):
     from keepsake.operators.series import median_step
 
-    return median_step(M.series(t), "series_id", ["ts", "id"], day()).select(
+    return median_step(M.series(t), "series_id", ["ts", "id"], week()).select(
         "series_id", F.round("step", 3).alias("step"))
 
 

@@ -1,4 +1,4 @@
-"""Time-series queries. Series: events per user, in seconds; blocks of one day."""
+"""Time-series queries. Series: events per user, in seconds; blocks of one week."""
 
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ QUIET, STILL = 12 * HOUR, 5 * HOUR
 
 
 def block():
-    return F.floor(F.col("ts") / DAY)
+    return F.floor(F.col("ts") / (7 * DAY))
 
 
 STATS_SQL = f"""{M.SERIES_SQL},
