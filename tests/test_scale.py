@@ -216,6 +216,20 @@ def test_incremental_ingest_replay(spark, tmp_path):
     assert read() == ["b", "c"]
 
 
+def test_stream_merge_flushes_idle_series(spark, tmp_path):
+    src, schema = str(tmp_path / "src"), "series_id long, start_s double, end_s double, text string, at timestamp"
+    sql = "select * from values (%s) t(series_id, start_s, end_s, text, at)"
+    for n, row in enumerate((
+            "1L, 0D, 5D, 'ab', timestamp'2024-01-01 00:00:00'", "1L, 5D, 9D, 'cd', timestamp'2024-01-01 00:00:10'",
+            "2L, 0D, 60D, 'long', timestamp'2024-01-01 02:00:00'")):
+        spark.sql(sql % row).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = flows.run_once(flows.merge_segments(stream, arrival="at"), str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = {tuple(r) for r in out.collect()}
+    assert (2, 0.0, 60.0, "long") in rows               # full by its length
+    assert (1, 0.0, 9.0, "abcd") in rows                # flushed by the watermark
+
+
 def test_write_and_replace(spark, tmp_path):
     items = spark.createDataFrame([(1, "u", "en"), (2, "u", "en"), (3, "w", "fr")], "id long, source_ref string, domain string")
     chunks = spark.createDataFrame([(1, 0, "a"), (2, 0, "b"), (3, 0, "c")], "item_id long, seq int, content string")
