@@ -130,40 +130,44 @@ def islands(df: DataFrame, keys: list[str], pos: str, block: Column,
             .drop("_isl_part", "_isl_grp"))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float],
-                      resolution: int = 64, total: str | None = None) -> DataFrame:
-    """Exact percentiles with linear interpolation, one row per key.
+def _value_ranks(df: DataFrame, keys: list[str], value: str, ranks: list[Column],
+                 resolution: int) -> DataFrame:
+    """Distinct values with the zero-based ranks they cover (``_first``, ``_n``), per key.
 
     Equal values are counted map-side first. The counts are summed per value cell (a
-    monotone cell of ``log2(1 + |v|)``); only the cells that hold a wanted rank are then
-    ranked value by value. ``total`` adds the number of values.
+    monotone cell of ``log2(1 + |v|)``); only the cells that hold one of ``ranks``
+    (expressions of ``_total``) are then ranked value by value.
     """
-    v = F.col(value).cast("double")
-    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v"))
+    counts = (df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v"))
               .agg(F.count(F.lit(1)).alias("_n"))
               .withColumn("_cell", F.floor(F.signum("_v") * F.log2(1 + F.abs("_v")) * resolution)))
+    upto = Window.unboundedPreceding
     along = Window.partitionBy(*keys).orderBy("_cell")
-    cells = (counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
-             .withColumn("_before", F.coalesce(F.sum("_cn").over(along.rowsBetween(
-                 Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("_total", F.sum("_cn").over(Window.partitionBy(*keys))))
-    ranks = []
-    for p in ps.values():
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        ranks += [F.floor(at), F.ceil(at)]
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn")).withColumns({
+        "_before": F.coalesce(F.sum("_cn").over(along.rowsBetween(upto, -1)), F.lit(0)),
+        "_total": F.sum("_cn").over(Window.partitionBy(*keys))})
     needed = reduce(or_, [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_cn")) for r in ranks])
-    wanted = cells.filter(needed).drop("_cn")
-    ranked = join_nullsafe(counts, wanted, [*keys, "_cell"], "inner").withColumn(
-        "_first", F.col("_before") - F.col("_n") + F.sum("_n").over(
-            Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
-                Window.unboundedPreceding, Window.currentRow)))   # zero-based rank of the first copy
+    inside = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(upto, Window.currentRow)
+    return join_nullsafe(counts, cells.filter(needed).drop("_cn"), [*keys, "_cell"], "inner").withColumn(
+        "_first", F.col("_before") - F.col("_n") + F.sum("_n").over(inside))
+
+
+def _at_rank(rank: Column) -> Column:
+    return F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_n")), F.col("_v")))
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str, float],
+                      resolution: int = 64, total: str | None = None) -> DataFrame:
+    """Exact percentiles with linear interpolation, one row per key.
+
+    ``total`` adds the number of values.
+    """
+    at = {name: (F.col("_total") - 1) * F.lit(float(p)) for name, p in ps.items()}
+    ranked = _value_ranks(df, keys, value, [f(x) for x in at.values() for f in (F.floor, F.ceil)], resolution)
     aggs = []
-    for name, p in ps.items():
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        for side, r in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            aggs.append(F.max(F.when((F.col("_first") <= r) & (r < F.col("_first") + F.col("_n")),
-                                     F.col("_v"))).alias(f"_{side}_{name}"))
-        aggs.append(F.max(at - F.floor(at)).alias(f"_w_{name}"))
+    for name, x in at.items():
+        aggs += [_at_rank(F.floor(x)).alias(f"_lo_{name}"), _at_rank(F.ceil(x)).alias(f"_hi_{name}"),
+                 F.max(x - F.floor(x)).alias(f"_w_{name}")]
     out = ranked.groupBy(*keys).agg(*aggs, F.max("_total").alias("_total"))
     return out.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_w_{n}")).alias(n)
@@ -173,18 +177,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, ps: dict[str,
 def rank_pick(df: DataFrame, keys: list[str], value: str, name: str, at: Column,
               resolution: int = 64) -> DataFrame:
     """The value at zero-based sorted position ``at`` (an expression of ``_total``), per key."""
-    counts = (df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_cell", F.floor(F.signum("_v") * F.log2(1 + F.abs("_v")) * resolution)))
-    along = Window.partitionBy(*keys).orderBy("_cell")
-    cells = (counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
-             .withColumn("_before", F.coalesce(F.sum("_cn").over(along.rowsBetween(
-                 Window.unboundedPreceding, -1)), F.lit(0)))
-             .withColumn("_total", F.sum("_cn").over(Window.partitionBy(*keys)))
-             .filter((F.col("_before") <= at) & (at < F.col("_before") + F.col("_cn"))).drop("_cn"))
-    ranked = join_nullsafe(counts, cells, [*keys, "_cell"], "inner").withColumn(
-        "_end", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)))
-    return ranked.groupBy(*keys).agg(F.min(F.when(at < F.col("_end"), F.col("_v"))).alias(name))
+    return _value_ranks(df, keys, value, [at], resolution).groupBy(*keys).agg(_at_rank(at).alias(name))
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
