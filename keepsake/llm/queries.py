@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 BYTE_BPE = "byte_bpe_50k.json"
 SEQUENCE = 1024
 END_ID = 2
+WINDOW = 13
+CONTAMINATED_SHARE = 20
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,15 @@ def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary(), SEQUENCE, END_ID)
 
 
+def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import decontaminate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_phrases(docs, _table(spark, sf_dir, "benchmark"), WINDOW)
+    return decontaminate.contamination(found, CONTAMINATED_SHARE).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import token_counts
 
@@ -37,6 +48,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
+    "op6_fm_index": op6_fm_index,
     "op7_token_counts": op7_token_counts,
 }
 
