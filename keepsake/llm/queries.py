@@ -46,10 +46,34 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > SEQUENCE)
 
 
+def op9_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import substrings
+
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"), WINDOW)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op6_fm_index": op6_fm_index,
     "op7_token_counts": op7_token_counts,
+    "op9_level_doubling": op9_level_doubling,
 }
 
-ORACLES: dict[str, str] = {}
+OP9_SQL = r"""
+  WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  g AS (SELECT doc_id, p, hash(array_to_string(w[p:p + 12], ' ')) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+  f AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+  c AS (SELECT g.doc_id, list(g.p) AS ps FROM g JOIN f USING (h) WHERE g.doc_id > f.least GROUP BY g.doc_id),
+  x AS (SELECT g.doc_id, unnest(range(g.p, g.p + 13)) AS i FROM g JOIN f USING (h) WHERE g.doc_id > f.least),
+  r AS (SELECT doc_id, list(DISTINCT i) AS gone FROM x GROUP BY doc_id),
+  k AS (SELECT d.doc_id, d.w, r.gone FROM d LEFT JOIN r USING (doc_id)),
+  o AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n_removed,
+               CASE WHEN gone IS NULL THEN w
+                    ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END AS kept FROM k)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+         sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+  FROM o"""
+
+ORACLES: dict[str, str] = {"op9_level_doubling": OP9_SQL}
