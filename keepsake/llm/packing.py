@@ -23,7 +23,7 @@ from keepsake.llm import pretokens as P
 from keepsake.llm import ranks
 
 #: rows of one (length, bucket) group that are ranked in one task, on average at most
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 8_000
 
 
 def token_pieces(docs: DataFrame, path: str, limit: int, end_id: int, text: str = "text", id: str = "doc_id",

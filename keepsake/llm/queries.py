@@ -30,6 +30,13 @@ def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary(), SEQUENCE, END_ID)
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import near_duplicates
+
+    classes = near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import decontaminate
 
@@ -55,6 +62,7 @@ def op9_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
+    "op2_order_minhash": op2_order_minhash,
     "op6_fm_index": op6_fm_index,
     "op7_token_counts": op7_token_counts,
     "op9_level_doubling": op9_level_doubling,

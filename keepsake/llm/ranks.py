@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepsake.session import scratch_folder
+
 
 def shared_write(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the folder all executors share and read it back: later jobs don't compute it again."""
-    from keepsake.session import reliable
+    """Write ``df`` once to the folder all executors share and read it back: later jobs don't compute it again.
 
-    return reliable(df)
+    The folder is below ``spark.checkpoint.dir``; a temporary one is only taken on a local master without that setting.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rank_within(df: DataFrame, group: str, bucket: Column, *order: Column) -> DataFrame:
