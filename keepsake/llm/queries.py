@@ -12,6 +12,7 @@ SEQUENCE = 1024
 END_ID = 2
 WINDOW = 13
 CONTAMINATED_SHARE = 20
+EDITED_SHARE = 4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op4_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import license_scan
+
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import decontaminate
 
@@ -60,12 +67,20 @@ def op9_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import fingerprints
+
+    return fingerprints.edit_robustness(_table(spark, sf_dir, "documents"), EDITED_SHARE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_order_minhash": op2_order_minhash,
+    "op4_diagonal_voting": op4_diagonal_voting,
     "op6_fm_index": op6_fm_index,
     "op7_token_counts": op7_token_counts,
     "op9_level_doubling": op9_level_doubling,
+    "op10_i_match": op10_i_match,
 }
 
 OP9_SQL = r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,3 +32,25 @@ def rank_within(df: DataFrame, group: str, bucket: Column, *order: Column) -> Da
     inside = Window.partitionBy(group, "_bucket").orderBy(*order)
     return (rows.withColumn("_rn", F.row_number().over(inside)).join(base, [group, "_bucket"])
             .withColumn("rank", F.col("_base") + F.col("_rn") - 1).drop("_bucket", "_base", "_rn"))
+
+
+def with_next(keys: DataFrame, key: str, rows: int = 100_000, most: int = 4096) -> DataFrame:
+    """(key, next): the following distinct value of a long column; the last is followed by the first.
+
+    Values are cut into ranges at sampled quantiles (about ``rows`` in each, ``most`` ranges at most); neighbours are
+    found inside a range, and the smallest value of each range closes the one before.
+    """
+    values = shared_write(keys.select(key).filter(F.col(key).isNotNull()).distinct())
+    parts = max(1, min(most, values.count() // rows))
+    cuts = sorted(set(values.withColumn("_d", F.col(key).cast("double")).approxQuantile(
+        "_d", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    ranged = Bucketizer(splits=[-float("inf"), *cuts, float("inf")] if cuts else [-float("inf"), 0.0, float("inf")],
+                        inputCol="_d", outputCol="_range").transform(values.withColumn("_d", F.col(key).cast("double")))
+    heads = ranged.groupBy("_range").agg(F.min(key).alias("_head"))
+    order = Window.orderBy("_range")      # one row for each range
+    closing = (heads.withColumn("_after", F.lead("_head").over(order))
+               .withColumn("_first", F.min("_head").over(Window.partitionBy(F.lit(0))))
+               .select("_range", F.coalesce("_after", "_first").alias("_close")))
+    inside = F.lead(key).over(Window.partitionBy("_range").orderBy(key))
+    return (ranged.withColumn("_in", inside).join(F.broadcast(closing), "_range")
+            .select(key, F.coalesce("_in", "_close").alias("next")))
