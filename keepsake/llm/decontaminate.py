@@ -194,18 +194,16 @@ def _occurrences(numbers: np.ndarray, first: np.ndarray, phrases: Phrases) -> tu
 
 
 def find_phrases(docs: DataFrame, items: DataFrame, window: int = 13, text: str = "text", item_text: str = "text",
-                 item_id: str = "item_id", prefix: str = "") -> DataFrame:
+                 item_id: str = "item_id") -> DataFrame:
     """Every row of ``docs`` with ``n_words`` and ``hits``, the merged stretches of words inside benchmark windows.
 
     Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters. A hit is ``start``,
     ``end`` (words, end excluded) and the items whose windows lie in it. A null text has no words; items without words
-    or id are skipped; repeated rows are kept; an empty table gives an empty one; other columns pass through. Pass
-    another ``prefix`` where a column is called ``n_words`` or ``hits`` already.
+    or id are skipped; repeated rows are kept; an empty table gives an empty one; other columns pass through, but for
+    an input column called ``n_words`` or ``hits``, which is replaced.
     """
-    words_name, hits_name = f"{prefix}n_words", f"{prefix}hits"
-    taken = {words_name, hits_name} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} exist; pass a prefix")
+    words_name, hits_name = "n_words", "hits"
+    docs = docs.drop(words_name, hits_name)
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in phrase_blocks(items, window, item_id, item_text)]
     names = docs.columns

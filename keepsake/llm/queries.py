@@ -15,11 +15,11 @@ CONTAMINATED_SHARE = 20
 EDITED_SHARE = 4
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(BYTE_BPE)
@@ -28,27 +28,33 @@ def _vocabulary() -> str:
 def op1_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import packing
 
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), _vocabulary(), SEQUENCE, END_ID)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), SEQUENCE, END_ID)
 
 
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import near_duplicates
 
-    classes = near_duplicates.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+    classes = near_duplicates.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
 def op4_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import license_scan
 
-    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import quality
+
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import decontaminate
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_phrases(docs, _table(spark, sf_dir, "benchmark"), WINDOW)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_phrases(docs, table(spark, sf_dir, "benchmark"), WINDOW)
     return decontaminate.contamination(found, CONTAMINATED_SHARE).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
 
@@ -56,29 +62,37 @@ def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import token_counts
 
-    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), _vocabulary())
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
     return counted.withColumn("over_limit", F.col("n_tokens") > SEQUENCE)
 
 
+def op8_block_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import html_main
+
+    return html_main.extract_main(table(spark, sf_dir, "pages"))
+
+
 def op9_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import substrings
 
-    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"), WINDOW)
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"), WINDOW)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op10_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import fingerprints
 
-    return fingerprints.edit_robustness(_table(spark, sf_dir, "documents"), EDITED_SHARE)
+    return fingerprints.edit_robustness(table(spark, sf_dir, "documents"), EDITED_SHARE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_order_minhash": op2_order_minhash,
     "op4_diagonal_voting": op4_diagonal_voting,
+    "op5_rule_ensemble": op5_rule_ensemble,
     "op6_fm_index": op6_fm_index,
     "op7_token_counts": op7_token_counts,
+    "op8_block_field": op8_block_field,
     "op9_level_doubling": op9_level_doubling,
     "op10_i_match": op10_i_match,
 }

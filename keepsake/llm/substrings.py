@@ -13,10 +13,9 @@ back to a document is the set of its own flagged hashes, bounded by its length.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +34,10 @@ def level_lengths(window: int, base: int) -> list[int]:
     return lengths
 
 
-def _prepared(docs: DataFrame, id: str, text: str) -> DataFrame:
+def _prepared(docs: DataFrame, id: str, text: str, others: list[str]) -> DataFrame:
+    carried = [F.struct(*others).alias("_others")] if others else []
     return docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_id"),
-                       F.col(text).cast("string").alias("_text"))
+                       F.col(text).cast("string").alias("_text"), *carried)
 
 
 def _slice_words(part: pa.RecordBatch):
@@ -121,29 +121,31 @@ def _next_level(texts: DataFrame, length: int, longer: int, window: int) -> Data
     return texts.mapInArrow(runs, "h long, _id long")
 
 
-def repeated_windows(docs: DataFrame, window: int = 13, base: int = 7, id: str = "doc_id",
-                     text: str = "text") -> DataFrame:
+def _repeated_windows(rows: DataFrame, window: int, base: int) -> DataFrame:
     """(_id, _flagged): hashes of each document's windows that a document with a smaller id holds too."""
-    rows = _prepared(docs, id, text)
     lengths = level_lengths(window, base)
     found = _first_level(rows, lengths[0], window)
     for length, longer in zip(lengths, lengths[1:]):
         kept = ranks.shared_write(_by_document(_repeated(found).select("h", "_id"), "_kept"))
+        # all columns stay, so that the texts' exchange is the one that the removal reads again
         found = _next_level(rows.join(kept, "_id"), length, longer, window)
     return _by_document(_repeated(found).filter("_id > _least").select("h", "_id"), "_flagged")
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, base: int = 7, id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, base: int = 7, id: str = "doc_id", text: str = "text",
+                   others: tuple[str, ...] = (), joined: bool = True) -> DataFrame:
     """Take every word out that lies in a window of ``window`` words which also starts in a smaller document.
 
     Words are runs without white space, compared as they are; windows are judged on the input. Returns one row for
-    each input row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space). A null text has no
-    words; a null id counts as smaller than every id; rows with the same id are one document for the comparison, so
-    copies under one id stay; texts shorter than the window stay whole; an empty table gives an empty one.
+    each input row: ``doc_id, n_words, n_removed, kept_text`` and the columns ``others``. ``kept_text`` joins the kept
+    words by one space; with ``joined=False`` only where words are gone, and an untouched text stays as it is. A null
+    text has no words; a null id counts as smaller than every id; rows with the same id are one document for the
+    comparison, so copies under one id stay; texts shorter than the window stay whole; an empty table gives an empty
+    one. Windows are compared by hashes of 64 bits.
     """
-    rows = _prepared(docs, id, text)
-    marked = rows.join(repeated_windows(docs, window, base, id, text), "_id", "left")
+    rows = _prepared(docs, id, text, list(others))
+    marked = rows.join(_repeated_windows(rows, window, base), "_id", "left")
+    carried = dict(rows.dtypes).get("_others")
 
     def cut(batches):
         for batch in batches:
@@ -158,16 +160,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, base: int = 7, id: str = "
                         own = np.isin(grams[a:b - window + 1], np.array(flagged[int(row)].values))
                         gone[a:b] = K.run_mask(b - a, np.flatnonzero(own), window)
                 total = np.r_[0, np.cumsum(gone)]
+                removed = total[words.first[1:]] - total[words.first[:-1]]
+                texts = pa.array(_joined(data, words, ~gone), pa.string())
+                if not joined:
+                    texts = pc.if_else(pa.array(removed > 0), texts, part.column("_text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(words.counts),
-                     pa.array(total[words.first[1:]] - total[words.first[:-1]]),
-                     pa.array(_joined(data, words, ~gone), pa.string())],
-                    ["_id", "n_words", "n_removed", "kept_text"])
+                    [part.column("_id"), pa.array(words.counts), pa.array(removed), texts,
+                     *([part.column("_others")] if carried else [])],
+                    ["_id", "n_words", "n_removed", "kept_text", *(["_others"] if carried else [])])
 
-    out = marked.mapInArrow(cut, "_id long, n_words long, n_removed long, kept_text string")
+    out = marked.mapInArrow(cut, "_id long, n_words long, n_removed long, kept_text string"
+                            + (f", _others {carried}" if carried else ""))
     kind = dict(docs.dtypes)[id]
     return out.select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(kind).alias("doc_id"),
-                      "n_words", "n_removed", "kept_text")
+                      "n_words", "n_removed", "kept_text", *[F.col("_others")[c].alias(c) for c in others])
 
 
 def _joined(data: np.ndarray, words: K.Words, keep: np.ndarray) -> list[str]:
