@@ -137,8 +137,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, base: int = 7, id: str = "
     """Take every word out that lies in a window of ``window`` words which also starts in a smaller document.
 
     Words are runs without white space, compared as they are; windows are judged on the input. Returns one row for
-    each input row: ``doc_id, n_words, n_removed, kept_text`` and the columns ``others``. ``kept_text`` joins the kept
-    words by one space; with ``joined=False`` only where words are gone, and an untouched text stays as it is. A null
+    each input row: ``doc_id, n_words, n_removed, kept_text`` and, if asked for, the columns ``others`` in one struct
+    column ``others``. ``kept_text`` joins the kept words by one space; with ``joined=False`` only where words are gone, and an untouched text stays as it is. A null
     text has no words; a null id counts as smaller than every id; rows with the same id are one document for the
     comparison, so copies under one id stay; texts shorter than the window stay whole; an empty table gives an empty
     one. Windows are compared by hashes of 64 bits.
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, base: int = 7, id: str = "
                             + (f", _others {carried}" if carried else ""))
     kind = dict(docs.dtypes)[id]
     return out.select(F.when(F.col("_id") != NO_ID, F.col("_id")).cast(kind).alias("doc_id"),
-                      "n_words", "n_removed", "kept_text", *[F.col("_others")[c].alias(c) for c in others])
+                      "n_words", "n_removed", "kept_text", *([F.col("_others").alias("others")] if carried else []))
 
 
 def _joined(data: np.ndarray, words: K.Words, keep: np.ndarray) -> list[str]:

@@ -175,15 +175,14 @@ def test_substrings(spark, documents, base):
 
 
 def test_substrings_odd_rows(spark, odd, empty):
-    got = substrings.remove_repeats(odd, others=("lang", "n_words"), joined=False) if False else \
-        substrings.remove_repeats(odd, others=("lang", "hits"), joined=False)
+    got = substrings.remove_repeats(odd, others=("lang", "n_words", "hits"), joined=False)
     rows = got.collect()
     assert len(rows) == odd.count()
     by = {(r["doc_id"], r["n_words"]): r for r in rows}
     assert by[4, 20_000]["n_removed"] == 0 and by[5, 20_000]["n_removed"] == 20_000
     assert sum(r["n_removed"] for r in rows if r["doc_id"] == 5) == 40_000
     assert by[8, 63]["n_removed"] == 60 and by[8, 63]["kept_text"] == "lead in tail"
-    assert by[3, 0]["kept_text"] == "  \n\t " and by[3, 0]["hits"] == "x"
+    assert by[3, 0]["kept_text"] == "  \n\t " and by[3, 0]["others"]["hits"] == "x"
     assert by[None, 3]["n_removed"] == 0
     assert substrings.remove_repeats(empty).count() == 0
 
