@@ -25,7 +25,7 @@ from keepsake.llm.ranks import shared_write, with_next
 
 #: the idf band: ln(COMMON) .. ln(RARE)
 COMMON, RARE = 10.0, 2000.0
-SUBSETS = 64
+SUBSETS = 32
 LEXICON_LIMIT = 16_000_000
 NO_ID = -(1 << 63)
 
@@ -114,11 +114,14 @@ def subset_hashes(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, su
         if not len(full):
             continue
         value = K.mix(terms ^ seed)
-        # the deepest halving with a term: as many leading zero bits as the smallest value has
-        least = np.minimum.reduceat(value, begin).astype(np.float64)
-        depth = np.floor(np.log2(np.maximum(least, 1.0)))
-        held = np.where(value.astype(np.float64) < np.exp2(depth + 1)[spread], K.mix(value + np.uint64(1)), 0)
-        out[full, j] = K.mix(np.add.reduceat(held, begin)) >> np.uint64(48)
+        # the deepest halving with a term: its values have as many leading zero bits as the smallest value has
+        least = np.minimum.reduceat(value, begin)
+        for step in (1, 2, 4, 8, 16, 32):
+            least |= least >> np.uint64(step)
+        held = np.flatnonzero(value <= least[spread])
+        total = np.zeros(len(full), np.uint64)
+        np.add.at(total, spread[held], K.mix(value[held] + np.uint64(1)))
+        out[full, j] = K.mix(total) >> np.uint64(48)
     return out
 
 
@@ -147,10 +150,10 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, id: str = "doc_id", text: st
 
 
 def likeness(a: str, b: str):
-    """Column: share of equal subset hashes of two fingerprints of one length."""
-    parts = F.sequence(F.lit(1), F.length(a), F.lit(4))
-    same = F.aggregate(parts, F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(4)) == F.substring(
-        b, i, F.lit(4))).cast("int"))
+    """Column: share of equal subset hashes (two bytes each) of two binary fingerprints of one length."""
+    parts = F.sequence(F.lit(1), F.octet_length(a), F.lit(2))
+    same = F.aggregate(parts, F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(2)) == F.substring(
+        b, i, F.lit(2))).cast("int"))
     return same / F.size(parts)
 
 
@@ -190,16 +193,18 @@ def edit_robustness(docs: DataFrame, share: int = 4, id: str = "doc_id", text: s
                 new = subset_hashes(*K.text_bytes(pa.array(edited, pa.string())), shared.value, subsets)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_key"), part.column("_next"), pa.array([len(t) for t in texts], pa.int64()),
-                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                     pa.array(hex_text(own), pa.string()), pa.array(hex_text(new), pa.string()),
-                     pa.array((own == new).mean(1))],
-                    ["_key", "_next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
+                     pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+                     pa.array([m.tobytes() for m in own.astype(">u2")], pa.binary()),
+                     pa.array([m.tobytes() for m in new.astype(">u2")], pa.binary()), pa.array((own == new).mean(1))],
+                    ["_key", "_next", "n_chars", "sha", "own", "new", "near_edited"])
 
+    # fingerprints stay binary until the neighbours have met
     marked = shared_write(edits.select("_key", "_next", "text", "head").mapInArrow(
-        run, "_key long, _next long, n_chars long, edited_sha256 string, fingerprint string, "
-             "edited_fingerprint string, near_edited double"))
-    after = marked.groupBy(F.col("_key").alias("_next")).agg(F.min("fingerprint").alias("_after"))
+        run, "_key long, _next long, n_chars long, sha binary, own binary, new binary, near_edited double"))
+    after = marked.groupBy(F.col("_key").alias("_next")).agg(F.min("own").alias("after"))
     kind = dict(docs.dtypes)[id]
+    text_of = lambda c: F.lower(F.hex(c))
     return marked.join(after, "_next").select(
-        F.when(F.col("_key") != NO_ID, F.col("_key")).cast(kind).alias("doc_id"), "n_chars", "edited_sha256",
-        "fingerprint", "edited_fingerprint", "near_edited", likeness("fingerprint", "_after").alias("near_next"))
+        F.when(F.col("_key") != NO_ID, F.col("_key")).cast(kind).alias("doc_id"), "n_chars",
+        text_of("sha").alias("edited_sha256"), text_of("own").alias("fingerprint"),
+        text_of("new").alias("edited_fingerprint"), "near_edited", likeness("own", "after").alias("near_next"))
