@@ -11,6 +11,9 @@ OFF_WORDS = ("off", "false", "0", "no", "disabled", "none")
 # Fusion constant, score scale.
 RRF_K = 60
 
+#: Below this product of variances a histogram counts as flat.
+FLAT = 2.220446049250313e-16
+
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -82,16 +85,19 @@ def change_ratio(cur: str | Column, prev: str | Column, threshold: float) -> Col
         F.zip_with(col(cur), col(prev), lambda x, y: F.when(
             F.abs(x.cast("double") - y.cast("double")) > threshold, 1).otherwise(0)),
         F.lit(0), lambda acc, x: acc + x)
-    return F.when(col(prev).isNull(), F.lit(0.0)).otherwise(moved / F.size(col(cur)))
+    return F.when(col(prev).isNull(), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(moved, F.size(col(cur))), F.lit(0.0)))
 
 
 def correlation(a: str | Column, b: str | Column) -> Column:
-    """Pearson correlation of two equally long arrays; 1 without a predecessor."""
+    """Pearson correlation of two equally long arrays; 1 without a predecessor or where one of them is flat."""
     n = F.size(col(a)).cast("double")
     total = lambda v: F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x.cast("double"))
     cov = dot(a, b) - total(a) * total(b) / n
     var = lambda v: dot(v, v) - total(v) * total(v) / n
-    return F.when(col(b).isNull(), F.lit(1.0)).otherwise(cov / F.sqrt(var(a) * var(b)))
+    spread = var(a) * var(b)
+    return F.when(col(b).isNull() | (F.size(col(a)) < 1) | ~(spread > FLAT), F.lit(1.0)).otherwise(
+        F.try_divide(cov, F.sqrt(F.when(spread > FLAT, spread))))
 
 
 def band_rescale(y: str | Column, lo: str | Column, hi: str | Column) -> Column:
@@ -128,7 +134,7 @@ def json_object_text(text: str | Column) -> Column:
 
 def json_lenient(text: str | Column) -> Column:
     """The JSON object inside a reply: whole text, a fenced block, or first to last brace."""
-    fenced = F.regexp_extract(col(text), r"```(?:json)?\s*([\s\S]*?)```", 1)
+    fenced = F.regexp_extract(col(text), r"(?U)```(?:json)?\s*([\s\S]*?)```", 1)
     braces = F.regexp_extract(col(text), r"\{[\s\S]*\}", 0)
     return F.coalesce(json_object_text(text), json_object_text(fenced), json_object_text(braces))
 

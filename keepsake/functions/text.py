@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,9 +15,9 @@ MAX_CHUNK = 1200
 GAP_MARK = "\n……(省略)……\n"
 AD_WORDS = ("接广", "恰饭", "广子", "金主", "甲方", "赞助", "催更", "广告",
             "商单", "带货", "硬广", "软广", "接了", "口播")
-STRONG_PROPOSAL = (r"(?:归入|归类为|归为|划入|建议(?:新增|新建|添加|建立)|新建|增设)"
+STRONG_PROPOSAL = (r"(?U)(?:归入|归类为|归为|划入|建议(?:新增|新建|添加|建立)|新建|增设)"
                    r"\s*[「\"']?([^\s、，(（\[,。;:「」\"']{2,15})")
-WEAK_PROPOSAL = r"(?:属于|应归|可归)\s*[「\"']?([^\s、，(（\[,。;:「」\"']{2,15})"
+WEAK_PROPOSAL = r"(?U)(?:属于|应归|可归)\s*[「\"']?([^\s、，(（\[,。;:「」\"']{2,15})"
 FILLER_TAILS = ("最合适", "较合适", "更合适", "比较合适", "最为合适",
                 "合适", "为宜", "较好", "最佳", "妥当", "最好", "即可")
 GENERIC_TAILS = ("分类", "类目", "范畴", "标签", "类型", "类别", "主题",
@@ -104,13 +105,40 @@ def html_text(html: str | Column) -> Column:
 
 
 def unescape(text: str | Column) -> Column:
-    """The named entities of ordinary pages; the ampersand last so nothing decodes twice."""
-    t = col(text)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                       ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"),
-                       ("&middot;", "·"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return t
+    """Every named and numeric character reference, in one pass, so that nothing decodes twice.
+
+    Named ones come from the standard table; of references without a semicolon the old ones are known, longest first.
+    Numbers that stand for no character become the replacement mark, 128 to 159 are read as Windows-1252.
+    """
+    parts = F.regexp_extract_all(col(text), F.lit(rf"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;"
+                                                  rf"|&(?:{_OLD_NAMES})|[^&]+|&"), F.lit(0))
+    decoded = F.array_join(F.transform(parts, _reference), "")
+    return F.when(F.contains(col(text), F.lit("&")), decoded).otherwise(col(text))
+
+
+#: The commonest names come first, the look-up goes through the list.
+_COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;", "mdash;", "hellip;")
+_NAMES = [*_COMMON, *(n for n in html5 if n not in _COMMON)]
+_OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+
+
+def _reference(part: Column) -> Column:
+    """One piece of text: a reference decoded, anything else as it is."""
+    names = F.create_map(*[F.lit(x) for n in _NAMES for x in (n, html5[n])])
+    body = F.substring(part, F.lit(2), F.length(part))
+    old = F.regexp_extract(body, f"^({_OLD_NAMES})", 1)
+    named = F.coalesce(F.try_element_at(names, body), F.when(
+        old != "", F.concat(F.try_element_at(names, old), F.substring(body, F.length(old) + 1, F.length(body)))), part)
+    digits = F.rtrim(body, F.lit(";"))
+    number = F.when(digits.rlike("^#[xX]"), F.conv(F.substring(digits, F.lit(3), F.length(digits)), 16, 10)).otherwise(
+        F.substring(digits, F.lit(2), F.length(digits))).try_cast("bigint")
+    windows = F.create_map(*[F.lit(x) for n in range(128, 160) for x in (
+        n, bytes([n]).decode("cp1252", "ignore") or chr(n))])
+    point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    wrong = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    numeric = F.when(wrong, F.lit("\ufffd")).when(
+        number.between(128, 159), F.try_element_at(windows, number.cast("int"))).otherwise(point)
+    return F.when(part.rlike("^&#[0-9xX]"), numeric).when(part.rlike("^&[A-Za-z]"), named).otherwise(part)
 
 
 # ---- views ----------------------------------------------------------------

@@ -14,6 +14,11 @@ from keepsake.functions import scalars as S
 from keepsake.operators.blocks import top_n
 
 
+def affected(df: DataFrame, where: Column) -> DataFrame:
+    """One row with the number of rows that a change under this condition touches (null conditions don't match)."""
+    return df.filter(where).agg(F.count(F.lit(1)).alias("n_affected"))
+
+
 def migrate_attrs(items: DataFrame) -> DataFrame:
     """Move attributes of everything but products into the derived column."""
     product = F.col("type") == "product"
@@ -29,13 +34,15 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
     return old.join(newest.select(*keys), keys, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
-def upsert_merge(old: DataFrame, new: DataFrame, keys: list[str], always: dict[str, Column] | None = None) -> DataFrame:
+def upsert_merge(old: DataFrame, new: DataFrame, keys: list[str], always: dict[str, Column] | None = None,
+                 order: list[Column] | None = None) -> DataFrame:
     """Insert or update by key, keeping the old row's other columns.
 
-    ``new`` has one row per key; its non-key columns overwrite, ``always`` is set on every
-    inserted or updated row.
+    Of several new rows of a key the first in ``order`` wins (by default the one with the largest values); its non-key
+    columns overwrite, ``always`` is set on every inserted or updated row.
     """
-    n = new.withColumnsRenamed({c: f"_n_{c}" for c in new.columns if c not in keys}).withColumn("_hit", F.lit(True))
+    order = order or [F.desc(c) for c in new.columns if c not in keys]
+    n = (top_n(new, keys, order, 1) if order else new.dropDuplicates(keys)).withColumnsRenamed({c: f"_n_{c}" for c in new.columns if c not in keys}).withColumn("_hit", F.lit(True))
     both = old.join(n, keys, "full_outer")
     cols = []
     for c in old.columns:
@@ -95,8 +102,12 @@ def inbox_targets(items: DataFrame, ids: DataFrame | None = None, domain: str |
 
 
 def assign_category(items: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Set category, confidence, note and status from an assignment table (one row per id)."""
-    a = assignments.select("id", F.col("category_id").alias("_c"), F.col("confidence").alias("_f"),
+    """Set category, confidence, note and status from an assignment table.
+
+    Of several assignments of an id the surest wins, then the larger category.
+    """
+    first = top_n(assignments, ["id"], [F.desc("confidence"), F.desc("category_id"), F.desc("note")], 1)
+    a = first.select("id", F.col("category_id").alias("_c"), F.col("confidence").alias("_f"),
                            F.col("note").alias("_n"), F.lit(True).alias("_t"))
     hit = F.coalesce("_t", F.lit(False))
     return items.join(a, "id", "left").withColumns({

@@ -217,11 +217,26 @@ def reindex(chunks: DataFrame, make_encoder: Callable, text: str = "content") ->
 
 
 def image_backfill(chunks: DataFrame, make_encoder: Callable, path: str = "media_path") -> DataFrame:
-    """Pending images get a vector; rows without a usable path are marked as skipped."""
-    usable = F.lower(path).rlike(r"\.(jpg|jpeg|png|webp|gif|bmp)$")
-    out = embed(chunks, path, make_encoder)
-    return out.withColumns({
-        "embedding": F.when(F.coalesce(usable, F.lit(False)), F.col("embedding")),
-        "embed_status": F.when(F.coalesce(usable, F.lit(False)), "done").otherwise("skipped")})
+    """Pending images get a vector; rows without a usable path, or whose encoding fails, are marked as skipped.
+
+    Only usable paths reach the encoder.
+    """
+    usable = F.coalesce(F.lower(path).rlike(r"\.(jpg|jpeg|png|webp|gif|bmp)$"), F.lit(False))
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+
+        def one(value):
+            try:
+                return encoder([value])[0]
+            except Exception:  # noqa: BLE001  a broken image costs its own vector only
+                return None
+
+        for paths in batches:
+            yield pd.Series([None if pd.isna(p) else one(p) for p in paths], dtype=object)
+
+    out = chunks.withColumn("embedding", encode(F.when(usable, F.col(path))))
+    return out.withColumn("embed_status", F.when(F.col("embedding").isNotNull(), "done").otherwise("skipped"))
 
 

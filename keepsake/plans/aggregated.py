@@ -165,7 +165,7 @@ def series_percentiles(t: Tables):
                count(*) OVER (PARTITION BY user_id) AS n FROM events),
   d AS (SELECT user_id, count(*) AS n, epoch_us(max(ts)) / 1000000.0::DOUBLE - epoch_us(min(ts)) / 1000000.0::DOUBLE AS dur
         FROM events GROUP BY user_id)
-  SELECT s.user_id AS series_id, d.n AS event_count, s.value AS event_median, round(d.n / d.dur * 86400, 6) AS per_day
+  SELECT s.user_id AS series_id, d.n AS event_count, s.value AS event_median, round(d.n / nullif(d.dur, 0) * 86400, 6) AS per_day
   FROM s JOIN d ON d.user_id = s.user_id WHERE s.r = s.n // 2""")
 def event_stats(t: Tables):
     sr = M.series(t).select("series_id", "ts", "value")
@@ -173,7 +173,7 @@ def event_stats(t: Tables):
     n = sr.groupBy("series_id").agg(F.count(F.lit(1)).alias("event_count"),
                                     (F.max("ts") - F.min("ts")).alias("dur"))
     return n.join(med, "series_id").select("series_id", "event_count", "event_median", F.round(
-        F.col("event_count") / F.col("dur") * 86400, 6).alias("per_day"))
+        F.try_divide(F.col("event_count"), F.col("dur")) * 86400, 6).alias("per_day"))
 
 
 @plan("text_rate", """

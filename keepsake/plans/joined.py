@@ -65,7 +65,7 @@ def join_titles(t: Tables):
   LEFT JOIN customer c ON c.c_custkey = e.k AND c.c_acctbal > 1000
   LEFT JOIN newest n ON n.o_custkey = e.k AND n.r = 1""")
 def binding_labels(t: Tables):
-    targets = t.events.select(S.json_field("props", "k").cast("long").alias("target")).distinct()
+    targets = t.events.select(S.json_field("props", "k").try_cast("long").alias("target")).distinct()
     rules = t.customer.filter(F.col("c_acctbal") > 1000).select(
         F.col("c_custkey").alias("target"), F.col("c_name").alias("rule_name"))
     newest = top_n(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"],
@@ -115,7 +115,7 @@ def spans(t: Tables):
     start = S.seconds("ts")
     return t.events.select(
         F.col("user_id").alias("series_id"), F.col("event_id").alias("id"), start.alias("a0"),
-        (start + S.json_field("props", "k").cast("double") * 60.0).alias("a1"), "value", "event_type")
+        (start + S.json_field("props", "k").try_cast("double") * 60.0).alias("a1"), "value", "event_type")
 
 
 @plan("interval_overlap", f"""WITH {SPANS_SQL}

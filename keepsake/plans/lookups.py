@@ -223,7 +223,7 @@ def image_hit_view(t: Tables):
   SELECT event_id AS id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
 def profile_cache_list(t: Tables):
     return t.events.select(F.col("event_id").alias("id"),
-                           F.try_element_at(S.json_safe("props"), F.lit("k")).cast("long").alias("k"))
+                           F.try_element_at(S.json_safe("props"), F.lit("k")).try_cast("long").alias("k"))
 
 
 @plan("next_task", f"""

@@ -98,8 +98,8 @@ _CLEAN = (f"nullif(regexp_replace(regexp_replace(regexp_replace(%s, '[{X.TRAILIN
 
 
 @plan("proposal_parse", f"""WITH r AS ({_REASON_SQL}),
-  m AS (SELECT *, nullif(regexp_extract(reason, '{X.STRONG_PROPOSAL.replace("'", "''")}', 1), '') AS strong,
-          nullif(regexp_extract(reason, '{X.WEAK_PROPOSAL.replace("'", "''")}', 1), '') AS weak FROM r)
+  m AS (SELECT *, nullif(regexp_extract(reason, '{X.STRONG_PROPOSAL.removeprefix('(?U)').replace("'", "''")}', 1), '') AS strong,
+          nullif(regexp_extract(reason, '{X.WEAK_PROPOSAL.removeprefix('(?U)').replace("'", "''")}', 1), '') AS weak FROM r)
   SELECT id, {_CLEAN % "coalesce(strong, weak)"} AS name, strong IS NOT NULL AS explicit FROM m""")
 def proposal_parse(t: Tables):
     return reasons(t).select("id", X.proposal_name("reason").alias("name"),

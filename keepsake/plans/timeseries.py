@@ -316,7 +316,7 @@ def should_ocr(t: Tables):
     CASE WHEN reason = 'ok' THEN round(coalesce(s, 0) / (last_ts - first_ts), 6) END AS speech_ratio FROM f""")
 def series_profile(t: Tables):
     speech = t.events.filter(F.col("event_type") == "view").groupBy(F.col("user_id").alias("series_id")).agg(
-        F.sum(S.json_field("props", "k").cast("double") * 60).alias("speech_seconds"))
+        F.sum(S.json_field("props", "k").try_cast("double") * 60).alias("speech_seconds"))
     p = R.series_profile(M.series(t), bands_of(t), speech, "series_id", block(), QUIET, STILL)
     return p.select("series_id", "ok", "reason", F.round("band", 6).alias("band"), F.round("floor", 6).alias("floor"),
                     "event_count", "settle_count", F.round("speech_ratio", 6).alias("speech_ratio"))
@@ -355,7 +355,7 @@ def profile_cache(t: Tables):
     latest = latest_per_key(t.events.select("user_id", "ts", "event_id", "value", "props"), ["user_id"],
                             [F.desc("ts"), F.desc("event_id")])
     stored = latest.select(F.col("user_id").alias("series_id"), F.to_json(F.struct(
-        "value", S.json_field("props", "k").cast("long").alias("k"))).alias("payload"))
+        "value", S.json_field("props", "k").try_cast("long").alias("k"))).alias("payload"))
     return stored.select("series_id", F.from_json("payload", "value double, k long").alias("p")).select(
         "series_id", "p.value", "p.k")
 

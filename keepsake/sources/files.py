@@ -64,5 +64,6 @@ def children_of(children: DataFrame, parents: DataFrame, key: str = "item_id", i
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """New rows replace old rows of the same id: an anti join, vectors are never sorted."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """New rows replace old rows of the same id, one row for each id: an anti join, vectors are never sorted."""
+    last = new.dropDuplicates([key])
+    return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
