@@ -37,13 +37,14 @@ def route(items: DataFrame, verdicts: DataFrame, categories: DataFrame, threshol
     ``categories(id, domain, name, status)``. ``new_category`` names a bucket to create.
     """
     given = F.nullif(F.col("new_name"), F.lit(""))
-    text = F.substring(F.coalesce("reason", F.lit("")), 1, 200)
+    whole = F.coalesce("reason", F.lit(""))
+    text = F.substring(whole, 1, 200)       # what is stored
     quoted = "[「」\"']+"
-    name = F.substring(F.regexp_replace(X.strip(F.coalesce(given, X.proposal_name(text))),
+    name = F.substring(F.regexp_replace(X.strip(F.coalesce(given, X.proposal_name(whole))),
                                         f"^{quoted}|{quoted}$", ""), 1, 40)
     v = verdicts.select(F.col("item_id").alias("id"), F.col("category_id").alias("v_category"),
                         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), text.alias("reason"),
-                        (given.isNotNull() | X.proposal_strong(text).isNotNull()).alias("_explicit"),
+                        (given.isNotNull() | X.proposal_strong(whole).isNotNull()).alias("_explicit"),
                         F.nullif(name, F.lit("")).alias("_name"))
     active = categories.filter(F.col("status") == "active").select(
         F.col("id").alias("v_category"), "domain", F.lit(True).alias("v_active"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.operators.blocks import top_n
-from keepsake.operators.retrieval import best_k, matrix, unit
+from keepsake.operators.retrieval import best_of_rows, matrix, unit
 
 # Candidate chunks, averaged matches, threshold, links per item.
 CANDIDATES, BEST, THRESHOLD, MAX_PER_ITEM = 40, 3, 0.62, 3
@@ -37,8 +37,6 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, se
         return spark.createDataFrame([], "qid long, qgroup long, cid long, cgroup long, sim double")
     seed = np.array([r.cvec for r in sample], dtype=np.float64)
     asked = queries.select("qid", "qgroup", "qvec").filter(F.col("qvec").isNotNull())
-    if len(sample) < seed_rows:
-        return _against_all(asked, sample, seed, k)
     shared = spark.sparkContext.broadcast((seed, np.array([r.cgroup for r in sample]), unit(seed[:pivots])))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +102,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, se
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for at in range(0, q.num_rows, 512):       # similarity strips of bounded memory
             sims = matrix(q["qvec"].slice(at, 512)) @ cm.T
-            for j in range(len(sims)):
-                other = np.flatnonzero(groups != mine[at + j])
-                pick = other[best_k(sims[j][other], cids[other], k)]
-                for col, x in zip(out, (np.full(len(pick), qids[at + j]), np.full(len(pick), mine[at + j]),
-                                        cids[pick], groups[pick], sims[j][pick])):
-                    col.append(x)
+            sims[mine[at:at + len(sims), None] == groups[None, :]] = -np.inf
+            row, pick = best_of_rows(sims, cids, k)
+            for col, x in zip(out, (qids[at + row], mine[at + row], cids[pick], groups[pick], sims[row, pick])):
+                col.append(x)
         return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(out, types)], names=names)
 
     pairs = left.groupBy("cell", "cb", "qb").cogroup(right.groupBy("cell", "cb", "qb")).applyInArrow(
@@ -117,32 +113,6 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, se
     return top_n(pairs, ["qid"], [F.desc("sim"), F.col("cid")], k)
 
 
-def _against_all(asked: DataFrame, rows: list, vectors: np.ndarray, k: int) -> DataFrame:
-    """A corpus below the sample size travels to the queries; no join is needed."""
-    shared = asked.sparkSession.sparkContext.broadcast(
-        (np.array([r.cid for r in rows]), np.array([r.cgroup for r in rows]), vectors))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cids, groups, m = shared.value
-        for b in batches:
-            qids, mine = (b.column(c).to_numpy(zero_copy_only=False) for c in ("qid", "qgroup"))
-            for at in range(0, b.num_rows, 512):
-                sims = matrix(b.column("qvec").slice(at, 512)) @ m.T
-                picks = []
-                for j in range(len(sims)):
-                    other = np.flatnonzero(groups != mine[at + j])
-                    picks.append(other[best_k(sims[j][other], cids[other], k)])
-                n = [len(p) for p in picks]
-                flat = np.concatenate(picks)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qids[at:at + len(n)], n)), pa.array(np.repeat(mine[at:at + len(n)], n)),
-                     pa.array(cids[flat]), pa.array(groups[flat]),
-                     pa.array(sims[np.repeat(np.arange(len(n)), n), flat])],
-                    names=["qid", "qgroup", "cid", "cgroup", "sim"])
-
-    return asked.mapInArrow(scan, "qid long, qgroup long, cid long, cgroup long, sim double")
-
-
 def item_scores(candidates: DataFrame, best: int = BEST) -> DataFrame:
     """Mean of the best similarities per (item, other item) among the candidates."""
     top = top_n(candidates, ["qgroup", "cgroup"], [F.desc("sim"), F.col("cid")], best)

@@ -14,8 +14,8 @@ from keepsake.functions.text import strip
 from keepsake.operators.blocks import first_n, top_n
 from keepsake.operators.keyword import match_terms
 
-#: Queries compared in one scan of the vectors; larger query tables take more scans.
-QUERY_BLOCK = 1024
+#: Rows and queries that meet in one task.
+ROW_BLOCK, QUERY_BLOCK = 65_536, 8_192
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -48,65 +48,62 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int, where: Column | No
                    [F.desc("sim"), F.col(id_)], k, "rank")
 
 
+def best_of_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest finite values of each row, ties by id."""
+    n = sims.shape[1]
+    cut = np.partition(sims, n - k, axis=1)[:, n - k] if n > k else np.full(len(sims), -np.inf)
+    row, col = np.nonzero((sims >= cut[:, None]) & np.isfinite(sims))
+    order = np.lexsort((ids[col], -sims[row, col], row))
+    row, col = row[order], col[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep]
+
+
 def knn_scan(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id",
              vector: str = "embedding", query_id: str = "query_id", query_vector: str = "qe",
              scope: str | None = None) -> DataFrame:
-    """The k nearest rows for every query of a small query table, exact, ranked per query.
+    """The k nearest rows for every query of a query table, exact, ranked per query.
 
-    Vectors have unit length (see ``l2_normalize``), so the inner product is the cosine. With
-    ``scope``, a column of both tables, a query only sees rows of its own scope; a null scope
-    sees all. The queries travel to the tasks in blocks of ``QUERY_BLOCK``, one scan per
-    block; every task keeps only its own best k per query.
+    Vectors have unit length (see ``l2_normalize``), so the inner product is the cosine. With ``scope``, a column of
+    both tables, a query only sees rows of its own scope; a null scope sees all. Rows and queries are cut into blocks
+    by hash, as many as their counts ask for; each block of rows meets each block of queries in one task, which
+    returns its own best k per query. Nothing but the two counts reaches the driver.
     """
-    spark = vectors.sparkSession
     group = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
     q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), group.alias("s")).filter(
         F.col("v").isNotNull())
-    rows = q.limit(QUERY_BLOCK + 1).collect()
-    blocks = 1 if len(rows) <= QUERY_BLOCK else -(-q.count() // (QUERY_BLOCK // 2))
-    source = vectors.select(F.col(id_).alias("i"), F.col(vector).alias("v"), group.alias("s")).filter(
+    rows = vectors.select(F.col(id_).alias("i"), F.col(vector).alias("v"), group.alias("s")).filter(
         F.col("v").isNotNull())
-    schema = StructType([StructField(query_id, queries.schema[query_id].dataType),
-                         StructField(id_, vectors.schema[id_].dataType), StructField("sim", DoubleType())])
-    out = None
-    for b in range(blocks):
-        if blocks > 1:
-            rows = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()      # one block of queries
-        if not rows:
-            continue
-        wanted = {r.s for r in rows}
-        table = spark.sparkContext.broadcast(
-            ([r.q for r in rows], np.array([r.v for r in rows], dtype=np.float64), [r.s for r in rows]))
-
-        def scan(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            qids, qm, scopes = table.value
-            best = [(np.empty(0), np.empty(0, dtype=np.int64))] * len(qids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column("i").to_numpy(zero_copy_only=False)
-                own = np.array(batch.column("s").to_pylist(), dtype=object)
-                sims = qm @ matrix(batch.column("v")).T
-                for j, s in enumerate(scopes):
-                    seen = slice(None) if s is None else np.flatnonzero(own == s)
-                    pick = best_k(sims[j][seen], ids[seen], k)
-                    near = np.concatenate([best[j][0], sims[j][seen][pick]])
-                    who = np.concatenate([best[j][1], ids[seen][pick]])
-                    keep = best_k(near, who, k)
-                    best[j] = (near[keep], who[keep])
-            n = [len(s) for s, _ in best]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for x, m in zip(qids, n) for _ in range(m)]),
-                     pa.array(np.concatenate([c for _, c in best])),
-                     pa.array(np.concatenate([s for s, _ in best]))], names=[query_id, id_, "sim"])
-
-        # Only scopes that are asked for are read.
-        read = source if None in wanted else source.filter(F.col("s").isin(*wanted))
-        hits = read.mapInArrow(scan, schema)
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = spark.createDataFrame([], schema)
+    row_blocks = max(1, -(-rows.count() // ROW_BLOCK))
+    query_blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))      # noqa: E731
+    left = q.select("*", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int").alias("qb"),
+                    spread(row_blocks).alias("rb"))
+    right = rows.select("*", F.pmod(F.xxhash64("i"), F.lit(row_blocks)).cast("int").alias("rb"),
+                        spread(query_blocks).alias("qb"))
+    id_type, query_type = vectors.schema[id_].dataType, queries.schema[query_id].dataType
+    schema = StructType([StructField(query_id, query_type), StructField(id_, id_type),
+                         StructField("sim", DoubleType())])
+
+    def multiply(asked: pa.Table, there: pa.Table) -> pa.Table:
+        names = [query_id, id_, "sim"]
+        if not asked.num_rows or not there.num_rows:
+            return pa.table([asked["q"].slice(0, 0), there["i"].slice(0, 0), pa.array([], pa.float64())], names=names)
+        ids = there["i"].to_numpy()
+        own = np.array(there["s"].to_pylist(), dtype=object)
+        m, parts = matrix(there["v"]), []
+        for at in range(0, asked.num_rows, 256):       # similarity strips of bounded memory
+            strip = asked.slice(at, 256)
+            sims = matrix(strip["v"]) @ m.T
+            for j, s in enumerate(strip["s"].to_pylist()):
+                if s is not None:
+                    sims[j, own != s] = -np.inf
+            row, col = best_of_rows(sims, ids, k)
+            parts.append(pa.table([strip["q"].take(pa.array(row)), there["i"].take(pa.array(col)),
+                                   pa.array(sims[row, col])], names=names))
+        return pa.concat_tables(parts)
+
+    out = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(multiply, schema)
     return top_n(out, [query_id], [F.desc("sim"), F.col(id_)], k, "rank")
 
 
@@ -169,6 +166,28 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, items: DataFrame, queri
         "query_id", "rank", "chunk_id", "item_id", "domain", "type", F.round("score", 6).alias("score"))
 
 
+def hybrid_search_one(chunks: DataFrame, vectors: DataFrame, items: DataFrame, query: str, vector: DataFrame | None,
+                      k: int = 8, domain: str | None = None) -> DataFrame:
+    """Hybrid search for one query text and its vector (one row, column ``qe``; None leaves keywords only).
+
+    Same result as ``hybrid_search``: two top-2k scans, fused over at most 4k rows.
+    """
+    wide = 2 * k
+    lists = [keyword_topk(chunks, query, wide)]
+    if vector is not None:
+        where = None if domain is None else F.col("domain") == domain
+        lists.insert(0, vector_topk(vectors, vector.select("qe"), wide, where).select("chunk_id", "rank"))
+    order = [F.desc("score"), F.col("_list"), F.col("chunk_id")]
+    # the list number keeps its place when the vector list is missing
+    fused = first_n(fuse(lists, []), order, wide, "_fused")
+    near = chunks.select("chunk_id", "item_id").join(F.broadcast(fused), "chunk_id")       # 2k rows
+    rows = items.select(F.col("id").alias("item_id"), "domain", "type").join(F.broadcast(near), "item_id")
+    if domain is not None:
+        rows = rows.filter(F.col("domain") == domain)
+    return first_n(rows, order, k, "rank").select(
+        "rank", "chunk_id", "item_id", "domain", "type", F.round("score", 6).alias("score"))
+
+
 def search_page(hits: DataFrame, page: int, size: int) -> DataFrame:
     """A page of ranked hits; page from 1, size 1..100."""
     page, size = max(1, page), min(100, max(1, size))

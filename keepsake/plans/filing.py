@@ -105,8 +105,9 @@ def route_decision(t: Tables):
 
 @plan("owner_rule_filing", f"WITH {_ROUTED_SQL} SELECT id, category_id, note FROM routed WHERE confidence = 1.0")
 def owner_rule_filing(t: Tables):
-    routed = C.route(*route_inputs(t))
-    return routed.filter(F.col("confidence") == 1.0).select("id", "category_id", "note")
+    items, verdicts, categories = route_inputs(t)
+    ruled = items.filter(F.col("rule_category_id").isNotNull())
+    return C.route(ruled, verdicts, categories).select("id", "category_id", "note")
 
 
 @plan("prompt_resolve", f"""WITH {MATCHES_SQL}

@@ -106,26 +106,20 @@ def hybrid_search_batch(t: Tables):
 _SINGLE = "SELECT 0 AS query_id, 'the' AS query, embedding::DOUBLE[] AS qe, 'en' AS domain FROM embeddings WHERE vec_id = 0"
 
 
-def single_query(t: Tables, vector: bool = True):
-    qe = F.col("embedding") if vector else F.lit(None).cast("array<float>")
-    return t.embeddings.filter(F.col("vec_id") == 0).select(
-        F.lit(0).cast("long").alias("query_id"), F.lit("the").alias("query"), qe.alias("qe"),
-        F.lit("en").alias("domain"))
-
-
 def _hybrid_one(t: Tables, k: int, vector: bool = True):
-    return Q.hybrid_search(chunk_table(t), doc_vectors(t), item_table(t), single_query(t, vector), k)
+    return Q.hybrid_search_one(chunk_table(t), doc_vectors(t), item_table(t), "the",
+                               one_query(t, 0) if vector else None, k, "en")
 
 
 @plan("hybrid_search", _hybrid_sql(_SINGLE, 8, _HITS.replace("query_id, ", "")))
 def hybrid_search(t: Tables):
-    return _hybrid_one(t, 8).drop("query_id")
+    return _hybrid_one(t, 8)
 
 
 @plan("keyword_only_fallback", _hybrid_sql(_SINGLE.replace("embedding::DOUBLE[]", "NULL::DOUBLE[]"), 8,
                                            _HITS.replace("query_id, ", "")))
 def keyword_only_fallback(t: Tables):
-    return _hybrid_one(t, 8, False).drop("query_id")
+    return _hybrid_one(t, 8, False)
 
 
 @plan("search_page", _hybrid_sql(_SINGLE, 20, "SELECT rank, chunk_id FROM h") + " AND rank > 10")
