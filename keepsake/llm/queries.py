@@ -38,6 +38,12 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
 
 
+def op3_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import language
+
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keepsake.llm import license_scan
 
@@ -88,6 +94,7 @@ def op10_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_order_minhash": op2_order_minhash,
+    "op3_evidence_fusion": op3_evidence_fusion,
     "op4_diagonal_voting": op4_diagonal_voting,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_fm_index": op6_fm_index,
