@@ -157,13 +157,6 @@ def src_text_files(t: Tables):
         F.length("body").cast("long").alias("n_chars"))
 
 
-@plan("src_bulk_dir")
-def src_bulk_dir(t: Tables):
-    ok, rejects = D.split_supported(D.list_files(t.spark, t.folder))
-    return ok.withColumn("reason", F.lit(None).cast("string")).unionByName(rejects).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "kind", "reason")
-
-
 @plan("src_incremental_list", """
   WITH known AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
   listing AS (SELECT DISTINCT o_orderpriority AS src, o_custkey AS key FROM orders

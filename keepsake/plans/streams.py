@@ -91,10 +91,12 @@ def stream_sessions(t: Tables):
       length(CASE WHEN w.done THEN o.text ELSE w.text || o.text END) >= 240
         OR o.end_s - CASE WHEN w.done THEN o.start_s ELSE w.start_s END >= 45
     FROM w JOIN o ON o.series_id = w.series_id AND o.rn = w.rn + 1)
-  SELECT series_id, start_s, end_s, text FROM w WHERE done""")
+  SELECT series_id, start_s, end_s, text FROM w WHERE done OR rn = (SELECT max(rn) FROM o WHERE o.series_id = w.series_id)""")
 def stream_merge_segments(t: Tables):
-    segments = M.speech(streams(t)).select("series_id", "start_s", "end_s", "text")
-    return finish(t, flows.merge_segments(segments))
+    columns = ["series_id", "start_s", "end_s", "seq", "text"]
+    merged = finish(t, flows.merge_segments(M.speech(streams(t)).select(*columns), counted=True))
+    left = flows.open_buffers(merged, M.speech(t).select(*columns), F.floor(F.col("start_s") / 3600.0))
+    return merged.unionByName(left).drop("n_rows")
 
 
 @plan("stream_incremental_ingest", """

@@ -216,6 +216,15 @@ def test_incremental_ingest_replay(spark, tmp_path):
     assert read() == ["b", "c"]
 
 
+def test_first_ingest_needs_no_registry(spark, tmp_path):
+    known, new, src = (str(tmp_path / n) for n in ("known", "new", "src"))
+    spark.createDataFrame([("a",), ("b",), ("b",)], "key string").write.parquet(src)
+    flows.run_batches(spark.readStream.schema("key string").parquet(src), flows.incremental_ingest(known, new, "key"),
+                      str(tmp_path / "s"))
+    got = spark.read.option("recursiveFileLookup", "true").schema("key string").parquet(new)
+    assert sorted(r.key for r in got.collect()) == ["a", "b"]
+
+
 def test_stream_merge_flushes_idle_series(spark, tmp_path):
     src, schema = str(tmp_path / "src"), "series_id long, start_s double, end_s double, text string, at timestamp"
     sql = "select * from values (%s) t(series_id, start_s, end_s, text, at)"
