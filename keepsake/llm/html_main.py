@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import kernels as K
+from keepsake.llm.ranks import smallest_hashes
 
 TRAIN_PAGES, LAYOUTS, STEPS = 80, 4, 150
 SLICE_BYTES = 4 << 20
@@ -411,8 +412,8 @@ def training_pages(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) ->
 
 def train(pages: DataFrame, id: str = "page_id", source: str = "html", sample: int = TRAIN_PAGES) -> Field:
     """Fit the field on a bounded sample of pages; an empty table leaves the usual layouts alone."""
-    rows = (pages.filter(F.col(source).isNotNull()).select(F.xxhash64(id).alias("h"), F.col(source).alias("html"))
-            .orderBy("h", "html").limit(sample).collect())
+    known = pages.filter(F.col(source).isNotNull()).select(F.xxhash64(id).alias("h"), F.col(source).alias("html"))
+    rows = smallest_hashes(known, "h", sample, F.col("html")).collect()
     return fit_field(list(training_pages([r["html"] for r in rows])))
 
 

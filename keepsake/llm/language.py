@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keepsake.llm import html_main as H
 from keepsake.llm import kernels as K
-from keepsake.llm.ranks import shared_write
+from keepsake.llm.ranks import shared_write, smallest_hashes
 
 SAMPLE_ROWS = 5_000
 MOST_LANGUAGES = 64
@@ -74,9 +74,9 @@ class TextModel:
 def fit_text(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
              sample: int = SAMPLE_ROWS) -> TextModel:
     """Fit on the ``sample`` labelled documents with the smallest hash of their id (a documented bound)."""
-    rows = (documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-            .select(F.xxhash64(id).alias("h"), F.lower(lang).alias("lang"), F.col(text).alias("text"))
-            .orderBy("h", F.xxhash64("text")).limit(sample))
+    known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.xxhash64(id).alias("h"), F.lower(lang).alias("lang"), F.col(text).alias("text"))
+    rows = smallest_hashes(known, "h", sample, F.xxhash64("text"))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import kernels as K
+from keepsake.llm.ranks import smallest_hashes
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, BINS, SHRINKAGE = 40, 3, 48, 0.3
@@ -288,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     known = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).filter(
         F.col("_label").isin(0, 1)).filter(~held_out("_id"))
     # the sample is chosen by id before any text is read; ties of the hash are ties of the id
-    chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
+    chosen = smallest_hashes(known.withColumn("_h", F.xxhash64("_id")), "_h", sample, F.col("_id"),
+                             F.col("_label")).drop("_h")
     rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("text")).join(
         F.broadcast(chosen), "_id")     # at most ``sample`` rows of two numbers
     table = (with_statistics(rows, "text").select(F.xxhash64("_id").alias("_hash"), "_label", "_statistics.*")

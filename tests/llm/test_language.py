@@ -109,3 +109,13 @@ def test_odd_pages(spark):
     assert language.identify(pages.limit(0), documents).count() == 0
     none = language.identify(pages, documents.limit(0)).collect()
     assert len(none) == 4 and all(r["lang"] is None for r in none)
+
+
+def test_fixed_samples(spark):
+    from pyspark.sql import functions as F
+
+    from keepsake.llm import ranks
+    df = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    want = [r["id"] for r in df.orderBy("h", "id").limit(100).collect()]
+    assert [r["id"] for r in ranks.smallest_hashes(df, "h", 100, F.col("id")).collect()] == want
+    assert ranks.smallest_hashes(df, "h", 9000).count() == 5000 and ranks.smallest_hashes(df.limit(0), "h", 9).count() == 0
