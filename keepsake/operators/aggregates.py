@@ -126,3 +126,10 @@ def text_rate(lines: DataFrame, frames: DataFrame, series: str, frame: str, y0:
                .distinct().groupBy(series, "band").agg(F.count(F.lit(1)).alias("frames_seen")))
     total = frames.select(series, frame).distinct().groupBy(series).agg(F.count(F.lit(1)).alias("frames"))
     return covered.join(total, series).withColumn("text_rate", F.col("frames_seen") / F.col("frames"))
+
+
+def next_version(owners: DataFrame, versions: DataFrame, owner: str, version: str) -> DataFrame:
+    """(owner, next_version): one more than the largest version so far, 1 without any."""
+    largest = versions.groupBy(owner).agg(F.max(version).alias("_v"))
+    return owners.select(owner).distinct().join(largest, owner, "left").select(
+        owner, (F.coalesce("_v", F.lit(0)) + 1).cast("long").alias("next_version"))

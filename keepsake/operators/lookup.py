@@ -99,3 +99,14 @@ def exists_key(keys: DataFrame, registered: DataFrame, key: str, name: str = "fo
     """Whether each key is registered."""
     known = registered.select(key).distinct().withColumn("_k", F.lit(True))
     return keys.join(known, key, "left").withColumn(name, F.col("_k").isNotNull()).drop("_k")
+
+
+def recent_jobs(jobs: DataFrame, order: list[Column], limit: int, status: str | None = None) -> DataFrame:
+    """The newest tasks, of one status if asked for."""
+    return (jobs if status is None else jobs.filter(F.col("status") == status)).orderBy(*order).limit(limit)
+
+
+def first_named(items: DataFrame, key: str, name: str, order: list[Column], newest: int = 5) -> DataFrame:
+    """(key, name): the first name among the newest items of each key; keys without a name are left out."""
+    few = top_n(items, [key], order, newest, "_r").filter(F.col(name).isNotNull())
+    return few.groupBy(key).agg(F.min_by(name, "_r").alias(name))

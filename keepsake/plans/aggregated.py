@@ -199,12 +199,12 @@ def distinct_names(t: Tables):
     return t.part.select(F.col("p_brand").alias("name")).distinct().orderBy("name")
 
 
-@plan("max_version", "SELECT c_custkey AS owner_id, coalesce(count(o_orderkey), 0) + 1 AS next_version "
-                     "FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@plan("max_version", "SELECT o_orderkey AS owner_id, coalesce(max(l_linenumber), 0)::BIGINT + 1 AS next_version "
+                     "FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 25 GROUP BY o_orderkey")
 def max_version(t: Tables):
-    n = t.orders.groupBy(F.col("o_custkey").alias("owner_id")).agg(F.count(F.lit(1)).alias("v"))
-    return t.customer.select(F.col("c_custkey").alias("owner_id")).join(n, "owner_id", "left").select(
-        "owner_id", (F.coalesce("v", F.lit(0)) + 1).cast("long").alias("next_version"))
+    versions = t.lineitem.filter(F.col("l_quantity") > 25).select(
+        F.col("l_orderkey").alias("owner_id"), F.col("l_linenumber").alias("version"))
+    return A.next_version(t.orders.select(F.col("o_orderkey").alias("owner_id")), versions, "owner_id", "version")
 
 
 # ---- sets -----------------------------------------------------------------

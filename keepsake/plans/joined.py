@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import scalars as S
 from keepsake.operators import joins as J
-from keepsake.operators.blocks import first_n, top_n
+from keepsake.operators import lookup as L
+from keepsake.operators.blocks import first_n
 from keepsake.plans import mapping as M
 from keepsake.plans.registry import Tables, plan
 
@@ -58,20 +59,22 @@ def join_titles(t: Tables):
 
 
 @plan("binding_labels", """
-  WITH newest AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey
-                    ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders)
+  WITH five AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey
+                    ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders),
+  newest AS (SELECT o_custkey, arg_min(o_orderkey, r) AS o_orderkey FROM five
+             WHERE r <= 5 AND o_orderstatus <> 'F' GROUP BY 1)
   SELECT e.k AS target, coalesce(c.c_name, 'order ' || n.o_orderkey) AS label
   FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
   LEFT JOIN customer c ON c.c_custkey = e.k AND c.c_acctbal > 1000
-  LEFT JOIN newest n ON n.o_custkey = e.k AND n.r = 1""")
+  LEFT JOIN newest n ON n.o_custkey = e.k""")
 def binding_labels(t: Tables):
     targets = t.events.select(S.json_field("props", "k").try_cast("long").alias("target")).distinct()
     rules = t.customer.filter(F.col("c_acctbal") > 1000).select(
         F.col("c_custkey").alias("target"), F.col("c_name").alias("rule_name"))
-    newest = top_n(t.orders.select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"],
-                   [F.desc("o_orderdate"), F.desc("o_orderkey")], 1).select(
-        F.col("o_custkey").alias("target"),
-        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("item_name"))
+    orders = t.orders.select(
+        F.col("o_custkey").alias("target"), "o_orderkey", "o_orderdate", F.when(F.col("o_orderstatus") != "F", F.concat(
+            F.lit("order "), F.col("o_orderkey").cast("string"))).alias("item_name"))
+    newest = L.first_named(orders, "target", "item_name", [F.desc("o_orderdate"), F.desc("o_orderkey")])
     return targets.join(rules, "target", "left").join(newest, "target", "left").select(
         "target", F.coalesce("rule_name", "item_name").alias("label"))
 

@@ -120,16 +120,18 @@ def list_clips(t: Tables):
               ELSE CAST(CAST(round_even(date_diff('second', o_orderdate, l_shipdate) / 60.0, 1)
                    AS DECIMAL(20, 1)) AS VARCHAR) || ' 分钟' END AS duration,
          'part=' || l_partkey || ' · supplier=' || l_suppkey AS payload_pretty
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'
+  ORDER BY o_orderdate DESC, o_orderkey DESC, l_linenumber LIMIT 100""")
 def list_jobs_view(t: Tables):
-    jobs = t.orders.filter(F.col("o_orderstatus") == "F").join(
+    jobs = t.orders.join(
         t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"),
         F.col("l_linenumber").cast("long").alias("part"),
         F.col("o_orderdate").alias("started_at"), F.col("l_shipdate").alias("finished_at"),
         F.to_json(F.struct(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")))
         .alias("payload"))
-    return L.jobs_view(jobs).select("id", "status", "part", "duration", "payload_pretty")
+    newest = L.recent_jobs(jobs, [F.desc("started_at"), F.desc("id"), F.col("part")], 100, "F")
+    return L.jobs_view(newest).select("id", "status", "part", "duration", "payload_pretty")
 
 
 @plan("pending_images", """

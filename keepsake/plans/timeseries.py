@@ -153,10 +153,12 @@ def pick_covering(t: Tables):
 
 
 @plan("win_bucket_argmin", f"""WITH {_INDEX_SQL}
-  SELECT series_id, ((i + 1) * 20 - 1) // n AS bucket, min(value) AS lowest FROM ix GROUP BY 1, 2""")
+  SELECT series_id, ((i + 1) * 20 - 1) // n AS bucket, min(value) AS lowest,
+    arg_min(i, (value, i))::BIGINT AS at FROM ix GROUP BY 1, 2""")
 def win_bucket_argmin(t: Tables):
     rows = index_of(t).withColumn("bucket", F.floor(((F.col("i") + 1) * 20 - 1) / F.col("n")).cast("long"))
-    return rows.groupBy("series_id", "bucket").agg(F.min("value").alias("lowest"))
+    return rows.groupBy("series_id", "bucket").agg(
+        F.min("value").alias("lowest"), F.min_by("i", F.struct("value", "i")).cast("long").alias("at"))
 
 
 _EVEN_SQL = """WITH ix AS (SELECT o_orderpriority AS k, o_orderkey AS id,
