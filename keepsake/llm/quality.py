@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from keepsake.llm import kernels as K
 from keepsake.llm.ranks import smallest_hashes
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 TREES, DEPTH, BINS, SHRINKAGE = 40, 3, 48, 0.3
 PENALTIES = (0.02, 0.01, 0.005, 0.002, 0.001, 0.0005)
 MOST_RULES = 80
