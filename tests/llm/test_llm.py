@@ -286,6 +286,38 @@ def test_near_duplicates_find_planted_copies(spark):
     assert all(got[i]["class_id"] == i for i in alone)
 
 
+def test_short_near_duplicates_are_found_exactly(spark):
+    rng = np.random.default_rng(7)
+    texts = ["a b c d e f g h i", "a b c d e f g h"]        # shingles 5 and 4 of 5
+    for _ in range(60):
+        base = [f"v{rng.integers(4000)}" for _ in range(int(rng.integers(5, 42)))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            left, right = rng.integers(0, 3, 2)
+            ends = [[f"n{rng.integers(9)}" for _ in range(int(k))] for k in rng.integers(0, 3, 2)]
+            texts.append(" ".join(ends[0] + base[left:len(base) - right] + ends[1]))
+        texts.append(edited(" ".join(base), rng, 1))
+    words = [t.split() for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    met = 0
+    number = {w: i for i, w in enumerate(sorted({w for t in words for w in t}))}
+    coded = [near_duplicates.K.mix(np.array([number[w] for w in t], np.uint64) + np.uint64(1)) for t in words]
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_duplicates.aligned_similarity(coded[i], coded[j]) >= 0.8:
+                met += words[i] != words[j]
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    assert met > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = as_dict(near_duplicates.near_duplicate_classes(docs))
+    assert got[0]["class_id"] == got[1]["class_id"]
+    assert {i: got[i]["class_id"] for i in got} == {i: top(i) for i in range(len(texts))}
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     rows = near_duplicates.near_duplicate_classes(odd).collect()
     assert len(rows) == odd.count()
