@@ -1,10 +1,11 @@
 """I-Match fingerprints over randomised lexicon subsets.
 
 The lexicon is the set of terms whose inverse document frequency over the whole corpus lies in a band: neither in every
-tenth document nor rarer than one in ``RARE``. A document's distinct lexicon terms are sorted, and each of ``SUBSETS``
-random subsets of the lexicon hashes those of them that it holds. The subsets are nested: subset j is the deepest
-halving of the lexicon that still holds a term of the document, so short and long documents are hashed over a few terms
-alike, and a changed word only changes the subsets that hold it. Likeness is the share of equal subset hashes.
+tenth document nor rarer than one in ``RARE``. Each of ``SUBSETS`` random subsets holds a fixed share of the lexicon, one
+term in ``SHARE``, the same for every document, and hashes all of a document's lexicon terms that it holds (their sum, as
+of a sorted list). A changed term only changes the subsets that hold it. A subset that holds no term of a document
+takes the one of its terms with the subset's smallest hash instead; no other document's full set can equal that.
+Likeness is the share of equal subset hashes.
 
 The lexicon's size does not grow with the corpus: a document has a bounded number of distinct terms on average (``d``),
 so at most ``d * RARE`` terms can occur in one of ``RARE`` documents. ``lexicon`` checks ``LEXICON_LIMIT``; a corpus of
@@ -26,6 +27,8 @@ from keepsake.llm.ranks import shared_write, with_next
 #: the idf band: ln(COMMON) .. ln(RARE)
 COMMON, RARE = 10.0, 2000.0
 SUBSETS = 32
+#: a subset holds one lexicon term in so many
+SHARE = 128
 LEXICON_LIMIT = 16_000_000
 NO_ID = -(1 << 63)
 
@@ -89,7 +92,7 @@ def lexicon(docs: DataFrame, text: str = "text", common: float = COMMON, rare: f
 
 
 def subset_hashes(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, subsets: int = SUBSETS) -> np.ndarray:
-    """(rows, subsets) 16-bit hashes.
+    """(rows, subsets) 16-bit hashes of the terms that each subset holds, or of its nearest term if it holds none.
 
     Rows without a lexicon term use all their terms; rows without terms hash their bytes.
     """
@@ -114,11 +117,9 @@ def subset_hashes(data: np.ndarray, offsets: np.ndarray, lexicon: np.ndarray, su
         if not len(full):
             continue
         value = K.mix(terms ^ seed)
-        # the deepest halving with a term: its values have as many leading zero bits as the smallest value has
+        # the subset is the same for all rows; where it holds none of the terms, the nearest one stands in
         least = np.minimum.reduceat(value, begin)
-        for step in (1, 2, 4, 8, 16, 32):
-            least |= least >> np.uint64(step)
-        held = np.flatnonzero(value <= least[spread])
+        held = np.flatnonzero(value <= np.maximum(least, np.uint64(2**64 // SHARE - 1))[spread])
         total = np.zeros(len(full), np.uint64)
         np.add.at(total, spread[held], K.mix(value[held] + np.uint64(1)))
         out[full, j] = K.mix(total) >> np.uint64(48)

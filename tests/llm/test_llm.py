@@ -427,6 +427,24 @@ def test_fingerprints(spark, documents):
     assert np.mean([r["near_next"] for r in rows.values()]) < 0.05
 
 
+def test_subsets_are_the_same_for_every_document():
+    """A subset's hash covers all of a document's terms in a fixed share of the lexicon, not only its smallest ones."""
+    words = [f"w{i}" for i in range(3000)]
+    data = [" ".join(words), " ".join(words[:5])]
+    hashes = lambda t: fingerprints._terms(*fingerprints.K.text_bytes(fingerprints.pa.array(t)))[0]
+    lexicon = hashes(data[:1])
+    marks = lambda t: fingerprints.subset_hashes(*fingerprints.K.text_bytes(fingerprints.pa.array([t])), lexicon)[0]
+    whole, short = marks(data[0]), marks(data[1])
+    touched = np.zeros(len(words))
+    for k in range(0, 3000, 30):
+        touched[k] = np.sum(marks(" ".join(words[:k] + words[k + 1:])) != whole)
+    # 32 subsets of one term in 128 each: a term is in a quarter of a subset on average
+    assert 0.12 < touched[::30].mean() < 0.42
+    # too few terms for most subsets: each takes its nearest term, and only documents with other ones differ
+    assert (marks(" ".join(words[4::-1])) == short).all()
+    assert (marks(" ".join(words[:4])) == short).sum() > 16 and (marks("w2000 w2001 w2002") == short).sum() < 3
+
+
 def test_fingerprints_odd_rows(spark, odd, empty):
     rows = fingerprints.edit_robustness(odd).collect()
     assert len(rows) == odd.count()
