@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepsake.llm import html_main as H
@@ -27,7 +27,8 @@ from keepsake.llm import kernels as K
 from keepsake.llm.ranks import shared_write, smallest_hashes
 
 SAMPLE_ROWS = 5_000
-MOST_LANGUAGES = 64
+#: documents of each language that the sample has at least, as far as there are so many
+LEAST_ROWS = 50
 RUN, BUCKETS, TEXT_RUNS = 4, 1 << 15, 60.0
 #: pseudo-counts of the level above, of an unseen value, and of byte runs
 STRENGTH, UNSEEN, RUN_PRIOR = 8.0, 0.5, 0.5
@@ -72,11 +73,21 @@ class TextModel:
 
 
 def fit_text(documents: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
-             sample: int = SAMPLE_ROWS) -> TextModel:
-    """Fit on the ``sample`` labelled documents with the smallest hash of their id (a documented bound)."""
+             sample: int = SAMPLE_ROWS, least: int = LEAST_ROWS) -> TextModel:
+    """Fit on the ``sample`` labelled documents with the smallest hash of their id (a documented bound).
+
+    Of each language the ``least`` documents with the smallest hash are added, so that all languages are in the model;
+    its size grows with their number only.
+    """
     known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.xxhash64(id).alias("h"), F.lower(lang).alias("lang"), F.col(text).alias("text"))
     rows = smallest_hashes(known, "h", sample, F.xxhash64("text"))
+    tie = F.xxhash64("text").alias("tie")
+    keys = known.select("lang", "h", tie).withColumn("rank", F.row_number().over(
+        Window.partitionBy("lang").orderBy("h", "tie"))).filter(F.col("rank") <= least).drop("rank")
+    # ``least`` keys a language: less than the model has
+    own = known.select("h", "lang", "text", tie).join(F.broadcast(keys), ["lang", "h", "tie"], "left_semi")
+    rows = rows.unionByName(own.drop("tie")).distinct()
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -95,8 +106,7 @@ def fit_text(documents: DataFrame, id: str = "doc_id", text: str = "text", lang:
         F.sum("n").alias("n"))
     table = summed.toArrow()      # at most BUCKETS numbers for each of the sample's languages
     names = np.array(table.column("lang").to_pylist(), object)
-    sizes = {n: int((names == n).sum()) for n in set(names)}
-    languages = tuple(sorted(sorted(sizes, key=lambda n: (-sizes[n], n))[:MOST_LANGUAGES]))
+    languages = tuple(sorted(set(names)))
     counts = np.zeros((BUCKETS, len(languages)))
     for i, name in enumerate(languages):
         own = names == name
@@ -169,12 +179,14 @@ def fuse(pages: DataFrame, languages: tuple[str, ...]) -> DataFrame:
 
     # from the whole web down to the host, each level smoothed by the one above, without the page itself
     counts = [F.col(f"all_{i}") - mine[i] for i in each]
-    prior = [(counts[i] + 1.0) / (total(counts) + float(n)) for i in each]
+    judged = judged.withColumn("sum_all", total(counts))
+    prior = [(counts[i] + 1.0) / (F.col("sum_all") + float(n)) for i in each]
     for level in LEVELS:
         judged = judged.withColumns({f"prior_{level}_{i}": prior[i] for i in each})
         above = [F.col(f"prior_{level}_{i}") for i in each]
         counts = [F.col(f"{level}_{i}") - mine[i] for i in each]
-        prior = [(counts[i] + above[i] * STRENGTH) / (total(counts) + STRENGTH) for i in each]
+        judged = judged.withColumn(f"sum_{level}", total(counts))
+        prior = [(counts[i] + above[i] * STRENGTH) / (F.col(f"sum_{level}") + STRENGTH) for i in each]
     weights = []
     for i in each:
         value = F.log(prior[i]) + F.col("evidence")[i]

@@ -119,3 +119,15 @@ def test_fixed_samples(spark):
     want = [r["id"] for r in df.orderBy("h", "id").limit(100).collect()]
     assert [r["id"] for r in ranks.smallest_hashes(df, "h", 100, F.col("id")).collect()] == want
     assert ranks.smallest_hashes(df, "h", 9000).count() == 5000 and ranks.smallest_hashes(df.limit(0), "h", 9).count() == 0
+
+
+def test_every_language_of_the_documents_is_kept(spark):
+    names = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    rows = [(i, f"{n} {n * 3} x{n}y{n} " * 4, n) for i, n in enumerate(names)]
+    rows += [(100 + i, "common words of a large language " * 3, "en") for i in range(300)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_text(documents, sample=100)
+    assert model.languages == tuple(sorted([*names, "en"]))
+    for i, text, name in rows[:70]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert model.languages[int(model.evidence(data, np.array([0, len(data)])).argmax())] == name
