@@ -27,9 +27,18 @@ def body_lines(lines: DataFrame, item: str, section: str, seq: str, text: str,
     return row_index(kept, [item], [section, seq], block, "line_no")
 
 
-def sheet_text(rows: DataFrame, sheet: str, order: list[Column], cells: list[Column],
-               cap: int = SHEET_ROWS) -> DataFrame:
-    """A text per sheet: header, the first ``cap`` rows, a mark when rows were left out.
+def sheet_lines(rows: DataFrame, sheet: str, order: list[str], cells: list[Column], block: Column) -> DataFrame:
+    """All rows of each sheet as numbered lines ``sheet, line_no, line``; lines without a cell are left out.
+
+    One row per line, as in ``body_lines``: a sheet of any length stays distributed. ``block`` cuts a sheet along
+    ``order``.
+    """
+    lines = rows.withColumn("line", F.concat_ws(CELL_SEP, *[c.cast("string") for c in cells])).filter("line <> ''")
+    return row_index(lines, [sheet], order, block, "line_no").select(sheet, "line_no", "line")
+
+
+def sheet_text(rows: DataFrame, sheet: str, order: list[Column], cells: list[Column], cap: int) -> DataFrame:
+    """A text per sheet: header, the first ``cap`` rows, a mark when rows were left out. ``sheet_lines`` has them all.
 
     The cap is applied before rows meet in one place, so at most ``cap`` rows are collected.
     """

@@ -195,6 +195,34 @@ def context_assembly(t: Tables):
     return T.context_assembly(profile, logs, hits, "user_id", [F.desc("ts"), F.desc("event_id")])
 
 
+_SEARCH_HITS = _hybrid_sql(_BATCH, 8, "SELECT query_id, rank, chunk_id, domain FROM h")
+
+
+@plan("search_context", f"""
+  WITH p AS (SELECT user_id, string_agg('- ' || event_type || '/' || key || ': ' || value, chr(10) ORDER BY event_type, key) AS x
+    FROM (SELECT user_id, event_type, 'last' AS key, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2) GROUP BY 1),
+  l AS (SELECT user_id, string_agg('- ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || event_type, chr(10) ORDER BY r) AS x
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 20 GROUP BY 1),
+  s AS ({_SEARCH_HITS}),
+  h AS (SELECT query_id AS user_id, string_agg('- [' || domain || '] ' || replace(substring(coalesce(text, ''), 1, 120),
+      chr(10), ' '), chr(10) ORDER BY rank) AS x FROM s JOIN documents ON doc_id = chunk_id GROUP BY 1)
+  SELECT user_id, concat_ws(chr(10) || chr(10), '画像:' || chr(10) || p.x, '近期日志:' || chr(10) || l.x,
+    '相关条目:' || chr(10) || h.x) AS context FROM p FULL JOIN l USING (user_id) FULL JOIN h USING (user_id)""")
+def search_context(t: Tables):
+    """The context of ``context_assembly`` with what a hybrid search found: user n asks benchmark question n."""
+    ev = t.events.select("user_id", "event_type", "ts", "event_id", "value")
+    newest = [F.desc("ts"), F.desc("event_id")]
+    profile = latest_per_key(ev, ["user_id", "event_type"], newest).select(
+        "user_id", F.col("event_type").alias("domain"), F.lit("last").alias("key"),
+        F.col("value").cast("string").alias("value"))
+    logs = ev.select("user_id", "ts", "event_id", S.ts_text("ts").alias("happened_text"),
+                     F.col("event_type").alias("content_text"))
+    found = Q.hybrid_search(chunk_table(t), doc_vectors(t), item_table(t), batch_queries(t), 8)
+    hits = found.join(chunk_table(t).select("chunk_id", "content"), "chunk_id").select(
+        F.col("query_id").alias("user_id"), "rank", F.col("domain").alias("title"), "content")
+    return T.context_assembly(profile, logs, hits, "user_id", newest)
+
+
 # ---- embedding ------------------------------------------------------------
 
 @plan("text_embed", """

@@ -60,7 +60,17 @@ def content_rollup(t: Tables):
 def row_to_text(t: Tables):
     rows = t.orders.select(F.col("o_orderstatus").alias("sheet"), "o_orderkey", "o_custkey", "o_orderpriority")
     return T.sheet_text(rows, "sheet", [F.col("o_orderkey")],
-                        [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")])
+                        [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")], T.SHEET_ROWS)
+
+
+@plan("sheet_lines", """
+  SELECT o_orderstatus AS sheet, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS line_no,
+    o_orderkey || ' | ' || o_custkey || ' | ' || o_orderpriority AS line FROM orders""")
+def sheet_lines(t: Tables):
+    rows = t.orders.select(F.col("o_orderstatus").alias("sheet"), "o_orderkey", "o_custkey", "o_orderpriority")
+    return T.sheet_lines(rows, "sheet", ["o_orderkey"],
+                         [F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")],
+                         F.floor(F.col("o_orderkey") / 4000))
 
 
 _LABEL = "printf('%02d:%02d', CAST(floor({0}) AS BIGINT) // 60, CAST(floor({0}) AS BIGINT) % 60)"

@@ -246,3 +246,10 @@ def test_write_and_replace(spark, tmp_path):
     D.write_items_chunks(kept, D.children_of(chunks, kept), str(tmp_path))
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/items").collect()) == [2, 3]
     assert sorted(r.content for r in spark.read.parquet(f"{tmp_path}/chunks").collect()) == ["b", "c"]
+
+
+def test_sheet_lines_have_no_cap(spark):
+    from keepsake.operators import textual
+    rows = spark.range(1000).selectExpr("'a' AS sheet", "id", "CAST(NULL AS STRING) AS none")
+    got = textual.sheet_lines(rows, "sheet", ["id"], [F.col("id"), F.col("none")], F.floor(F.col("id") / 100)).collect()
+    assert {r["line_no"]: r["line"] for r in got} == {i + 1: str(i) for i in range(1000)}
