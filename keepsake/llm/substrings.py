@@ -1,7 +1,7 @@
 """Substring deduplication by level-wise doubling.
 
-Windows that repeat at one length alone are looked at again at (at most) twice that length, up to the asked window, and
-beyond it as long as the caller wants to know how long the repeats get. The first level needs no row for every word: of
+Windows that repeat at one length alone are looked at again at (at most) twice that length, up to the asked window,
+where the levels stop: how long a repeat gets beyond it is not reported. The first level needs no row for every word: of
 all short runs inside one window only the one with the smallest hash stands for it (equal windows choose alike, so none
 is missed), which is about a quarter of all positions for 7 words in 13. Runs that no second document has are gone
 before the texts are read again; only windows around surviving runs are hashed at full length.
