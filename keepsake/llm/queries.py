@@ -91,6 +91,12 @@ def op10_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_robustness(table(spark, sf_dir, "documents"), EDITED_SHARE)
 
 
+def op11_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import boosted_rules
+
+    return boosted_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_order_minhash": op2_order_minhash,
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_field": op8_block_field,
     "op9_level_doubling": op9_level_doubling,
     "op10_i_match": op10_i_match,
+    "op11_boosted_rules": op11_boosted_rules,
 }
 
 OP9_SQL = r"""
