@@ -97,6 +97,12 @@ def op11_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_itemset_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_order_minhash": op2_order_minhash,
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_level_doubling": op9_level_doubling,
     "op10_i_match": op10_i_match,
     "op11_boosted_rules": op11_boosted_rules,
+    "op12_itemset_counting": op12_itemset_counting,
 }
 
 OP9_SQL = r"""
@@ -127,4 +134,30 @@ OP9_SQL = r"""
          sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
   FROM o"""
 
-ORACLES: dict[str, str] = {"op9_level_doubling": OP9_SQL}
+OP12_SQL = r"""
+  WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+             FROM documents),
+  s AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+        FROM d),
+  g AS (SELECT lang, k, w[i:i + k - 1] AS ws
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+              FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+  f AS (SELECT lang, k, ws, count(*) AS f FROM g GROUP BY ALL),
+  n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS (SELECT lang, k, ws, f AS a FROM f WHERE k >= 2 AND f >= 100),
+  x AS (SELECT c.lang, c.ws, c.k, c.a, n.n, j, l.f AS l, r.f AS r,
+               (1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN n USING (lang)
+        JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:j] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[j + 1:]),
+  w AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, j) = 1),
+  i AS (SELECT lang, ws[b:b + m - 1] AS ws, max(a) AS longer
+        FROM (SELECT *, unnest(range(1, k - m + 2)) AS b
+              FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+  o AS (SELECT w.lang, array_to_string(w.ws, ' ') AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM w LEFT JOIN i ON i.lang = w.lang AND i.ws = w.ws WHERE longer IS NULL OR 100 * longer < 100 * a)
+  SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+  WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op9_level_doubling": OP9_SQL, "op12_itemset_counting": OP12_SQL}
