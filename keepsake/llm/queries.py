@@ -103,6 +103,12 @@ def op12_itemset_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keepsake.llm import prefix_trie
+
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_two_fit": op1_best_two_fit,
     "op2_order_minhash": op2_order_minhash,
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_i_match": op10_i_match,
     "op11_boosted_rules": op11_boosted_rules,
     "op12_itemset_counting": op12_itemset_counting,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 OP9_SQL = r"""
@@ -160,4 +167,32 @@ OP12_SQL = r"""
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
   WHERE rank <= 2000"""
 
-ORACLES: dict[str, str] = {"op9_level_doubling": OP9_SQL, "op12_itemset_counting": OP12_SQL}
+OP13_SQL = r"""
+  WITH c AS (SELECT conv_id, list({r: coalesce(role, ''), x: coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+  h AS (SELECT conv_id, t, xor(4294967295, list_reduce(
+          list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                                          lambda s: CAST(ascii(s) AS BIGINT))),
+          lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)),
+                                   lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 4
+          AS h FROM c),
+  b AS (SELECT h.conv_id, coalesce(o.t[1:h.h], []) || h.t[h.h + 1:] AS t
+        FROM h LEFT JOIN c o ON o.conv_id = h.conv_id - h.conv_id % 20),
+  m AS (SELECT conv_id, d, len(t) AS n, t[1:d] AS p FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM b)),
+  p AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+               sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS e
+        FROM m GROUP BY p, d),
+  k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM p WHERE d > 0 GROUP BY ALL),
+  q AS (SELECT p.*, coalesce(n_children, 0) AS n_children,
+               CASE WHEN p.d = 0 THEN 0
+                    ELSE (n_convs - 1) * len(regexp_extract_all(p.p[p.d].x, '[^\x20\x09-\x0D]+')) END AS saved
+        FROM p LEFT JOIN k ON k.d = p.d AND k.p = p.p),
+  u AS (SELECT p[1:a] AS p, a AS d, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+        FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM q) GROUP BY ALL)
+  SELECT q.conv_id, CAST(q.d AS BIGINT) AS depth, o.conv_id AS parent_conv_id, q.n_convs,
+         CAST(q.n_children AS BIGINT) AS n_children, CAST(u.n_leaves AS BIGINT) AS n_leaves,
+         CAST(u.saved_tokens AS BIGINT) AS saved_tokens, q.e AS ends_sha256
+  FROM q JOIN u ON u.d = q.d AND u.p = q.p LEFT JOIN p o ON o.d = q.d - 1 AND o.p = q.p[1:q.d - 1]"""
+
+ORACLES: dict[str, str] = {"op9_level_doubling": OP9_SQL, "op12_itemset_counting": OP12_SQL,
+                           "op13_prefix_trie": OP13_SQL}
