@@ -6,12 +6,13 @@ reached the threshold, and stops after one full cycle, so that every shard has b
 Counting ends when no phrase can be open any more, after as many steps as the last phrase needs, at most ``SHARDS`` for
 each length.
 
-No list of possible phrases is made. A scan looks the two subphrases of each run of words up in a bit table of fixed size
-(``BITS``) and counts the runs that pass, vectorised over a bounded slice. What the bit table lets through wrongly is
-removed by a join of the summed counts with the subphrases that are frequent by then; the join also tells in which step
-a phrase has started. Open counts are kept in Parquet between the steps; a phrase that has completed its cycle below the
-threshold leaves them. A second bit table holds the subphrases that became frequent within the last cycle: runs without
-one of them have completed theirs and are not counted again.
+No list of possible phrases is made. A table of fixed size (``SLOTS`` bytes a length) holds, under the hash of each
+frequent phrase, the step in which it became frequent. A scan looks the two subphrases of each run of words up there,
+knows from them in which step the run has started, and counts it if its cycle is still open, vectorised over a bounded
+slice. The first phrase of a slot decides for all that share it: some runs then start early or for nothing, but every
+run has one start in all steps, is counted for one whole cycle, and is judged by its exact count alone. No join is
+needed. Open counts are kept in Parquet between the steps; a phrase that has completed its cycle below the threshold
+leaves them.
 
 Phrases are told apart by 64-bit hashes of their words and language.
 """
@@ -22,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,15 +35,16 @@ SHARDS = 3
 LONGEST = 5
 LEAST = 100
 FIRST = 2000
-#: slots of the bit tables; more frequent phrases only let more rows through to the join
-BITS = 1 << 25
+#: slots of a length; more frequent phrases than that only have more runs counted
+SLOTS = 1 << 22
+_NEVER = 255
 SLICE_BYTES = 4 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*range(0x0A, 0x0E), *(ord(c) for c in ".,;:!?")]] = True
 #: words ``[^\x20\x09]+`` of the pieces between ``[.,;:!?\x0A-\x0D]``
 _WORD = ~_BREAK & K.member_table([0x20, 0x09])
-_STATE = "k int, lang string, word string, p long, q long, n long, start int, since int"
+_COUNTS = "k int, lang string, word string, p long, q long, n long, start int"
 
 
 def _join(p: np.ndarray, q: np.ndarray, k: int | np.ndarray) -> np.ndarray:
@@ -49,9 +52,9 @@ def _join(p: np.ndarray, q: np.ndarray, k: int | np.ndarray) -> np.ndarray:
     return K.mix(p * K.BASE + q + np.asarray(k).astype(np.uint64))
 
 
-def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word = (h >> np.uint64(6)) & np.uint64(len(bits) - 1)
-    return (bits[word] >> (h & np.uint64(63))) & np.uint64(1) != 0
+def _slot(since: np.ndarray, k: int, h: np.ndarray) -> np.ndarray:
+    """The steps in which phrases of ``k`` words with the hashes ``h`` became frequent."""
+    return since[k - 1][h & np.uint64(since.shape[1] - 1)]
 
 
 def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -63,8 +66,8 @@ def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
                                             pa.py_buffer(np.ascontiguousarray(data[at])))
 
 
-def _counted(part: pa.RecordBatch, lengths: set[int], frequent: np.ndarray | None, recent: np.ndarray | None):
-    """Batches (k, lang, word, p, q, n) of the runs of words of one slice that may be open."""
+def _counted(part: pa.RecordBatch, step: int, shards: int, lengths: set[int], since: np.ndarray):
+    """Batches of ``_COUNTS`` of the open runs of words of one slice; ``since`` has a row of slots for each length."""
     data, offsets = K.text_bytes(part.column("text"))
     data = K.LOWER[data]
     words = K.find_words(data, offsets, _WORD)
@@ -73,54 +76,53 @@ def _counted(part: pa.RecordBatch, lengths: set[int], frequent: np.ndarray | Non
     rows = words.rows()
     coded = part.column("lang").dictionary_encode()
     names, spans = K.text_bytes(coded.dictionary)
-    seed = K.span_hashes(names, spans[:-1], spans[1:], seed=9)
+    seed = K.span_hashes(np.append(names, np.uint8(0)), spans[:-1], spans[1:], seed=9)      # a name may be empty
     language = seed[coded.indices.to_numpy(zero_copy_only=False)][rows]
     h = K.mix(K.span_hashes(data, words.start, words.end) + language)
 
-    def batch(k, lang, word, p, q, n):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), lang, word, pa.array(K.signed(p)),
-                                           pa.array(K.signed(q)), pa.array(n.astype(np.int64))],
-                                          ["k", "lang", "word", "p", "q", "n"])
+    def batch(k, lang, word, p, q, n, start):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(n), k, np.int32)), lang, word, pa.array(K.signed(p)), pa.array(K.signed(q)),
+             pa.array(n.astype(np.int64)), pa.array(start.astype(np.int32))],
+            ["k", "lang", "word", "p", "q", "n", "start"])
 
     if 1 in lengths:
         kinds, at, n = np.unique(h, return_index=True, return_counts=True)
         lang = part.column("lang").cast(pa.string()).take(pa.array(rows[at]))
         yield batch(1, lang, _strings(data, words.start[at], words.end[at]).cast(pa.string()), kinds,
-                    np.zeros(len(kinds), np.uint64), n)
-    if frequent is None:
-        return
+                    np.zeros(len(kinds), np.uint64), n, np.zeros(len(kinds)))
     # equal for words of one piece of one text
     piece = np.cumsum(_BREAK[data])[words.start] + rows
     at = np.arange(len(h))      # where a phrase of k-1 words starts that may be frequent
     for k in range(2, max(lengths) + 1):
-        known = np.zeros(len(h) + 1, np.int8)
-        if len(at):
-            known[at] = _held(frequent, h[at]).astype(np.int8) + _held(recent, h[at])
-        at = at[(at + k <= len(h))]
-        at = at[(known[at] > 0) & (known[at + 1] > 0)]
+        known = np.full(len(h) + 1, _NEVER, np.uint8)
+        known[at] = _slot(since, k - 1, h[at])
+        at = at[at + k <= len(h)]
+        at = at[(known[at] < _NEVER) & (known[at + 1] < _NEVER)]
         at = at[piece[at] == piece[at + k - 1]]
         p, q = h[at], h[at + 1]
         longer = _join(p, q, k)
         if k in lengths:
-            open_ = np.flatnonzero((known[at] > 1) | (known[at + 1] > 1))
+            start = np.maximum(known[at], known[at + 1]).astype(np.int32) + 1
+            open_ = np.flatnonzero(start + shards > step)
             _, first, n = np.unique(longer[open_], return_index=True, return_counts=True)
             first = open_[first]
             none = pa.nulls(len(n), pa.string())
-            yield batch(k, none, none, p[first], q[first], n)
+            yield batch(k, none, none, p[first], q[first], n, start[first])
         h = np.zeros(len(h), np.uint64)
         h[at] = longer
 
 
-def _scan(shard: DataFrame, lengths: set[int], frequent: np.ndarray, recent: np.ndarray) -> DataFrame:
-    tables = shard.sparkSession.sparkContext.broadcast((frequent, recent)) if max(lengths) > 1 else None
-
+def _scan(shard: DataFrame, step: int, shards: int, lengths: set[int], known: Broadcast, shape: tuple) -> DataFrame:
     def run(batches):
-        held = (None, None) if tables is None else tables.value
+        slots, steps = known.value
+        since = np.full(shape, _NEVER, np.uint8)
+        since.ravel()[slots] = steps
         for batch in batches:
             for part in K.slices(batch, "text", SLICE_BYTES):
-                yield from _counted(part, lengths, *held)
+                yield from _counted(part, step, shards, lengths, since)
 
-    return shard.select("lang", "text").mapInArrow(run, "k int, lang string, word string, p long, q long, n long")
+    return shard.select("lang", "text").mapInArrow(run, _COUNTS)
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -137,14 +139,15 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", g long")
 
 
-def _slots(frequent: DataFrame) -> tuple[np.ndarray, set[int]]:
-    """Bit table of the phrases, and their lengths; ``BITS`` / 64 numbers a length at most come to the driver."""
-    slot = F.shiftrightunsigned("g", 6).bitwiseAND(F.lit(BITS // 64 - 1))
-    bit = F.expr("shiftleft(1L, cast(g & 63 AS int))")
-    found = frequent.groupBy("k", slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.uint64)
-    np.bitwise_or.at(out, found.column("slot").to_numpy(), found.column("bits").to_numpy().view(np.uint64))
-    return out, set(found.column("k").to_pylist())
+def _note(since: np.ndarray, frequent: DataFrame, step: int) -> set[int]:
+    """Enter the phrases that became frequent in ``step``; their lengths. ``SLOTS`` numbers a length at most come to
+    the driver."""
+    slot = F.col("g").bitwiseAND(F.lit(since.shape[1] - 1)).cast("int")
+    found = frequent.select("k", slot.alias("slot")).distinct().toArrow()
+    k, slot = found.column("k").to_numpy(), found.column("slot").to_numpy()
+    at = k <= len(since)
+    since[k[at] - 1, slot[at]] = np.minimum(since[k[at] - 1, slot[at]], step)
+    return set(k.tolist())
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -158,6 +161,8 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     The first table has ``k, g, p, q, n`` and, for single words, ``lang`` and ``word``; ``p`` and ``q`` are the hashes
     ``g`` of the two subphrases. The second has ``lang`` and ``n_lang``, all its occurrences of words.
     """
+    if shards * longest >= _NEVER:
+        raise ValueError("at most 254 steps")
     spark = docs.sparkSession
     folder = f"{scratch_folder(spark)}/shards"
     dealt = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
@@ -166,9 +171,9 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     corpus = spark.read.schema("lang string, text string, shard int").parquet(folder)
 
-    pending = spark.createDataFrame([], _STATE)
+    pending = spark.createDataFrame([], _COUNTS + ", since int")
+    since = np.full((max(longest - 1, 1), SLOTS), _NEVER, np.uint8)
     found: list[DataFrame] = []                 # what became frequent, or completed, in each step
-    tables: list[np.ndarray] = []               # bit table of what became frequent in each step
     newest: dict[int, int] = {}                 # last step in which a phrase of a length became frequent
     totals, step = None, 0
     while True:
@@ -176,30 +181,19 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
                    if (step < shards if k == 1 else k - 1 in newest and step <= newest[k - 1] + shards)}
         if not lengths:
             break
-        frequent = reduce(np.bitwise_or, tables) if tables else np.zeros(BITS // 64, np.uint64)
-        recent = reduce(np.bitwise_or, tables[-shards:]) if tables else frequent
-        new = _scan(corpus.filter(F.col("shard") == step % shards), lengths, frequent, recent)
-        both = new.selectExpr("*", "CAST(NULL AS int) AS start", "CAST(NULL AS int) AS since").unionByName(pending)
-        summed = both.groupBy("k", "lang", "word", "p", "q").agg(
-            F.sum("n").alias("n"), F.max("start").alias("start"), F.max("since").alias("since"))
-        if found:
-            known = _union([f.filter(F.col("since") == s).select("g", "since") for s, f in enumerate(found)])
-            summed = (summed.join(known.toDF("p", "since_p"), "p", "left").join(known.toDF("q", "since_q"), "q", "left")
-                      .withColumn("start", F.when(F.col("k") == 1, 0).otherwise(F.coalesce(
-                          "start", F.when(F.col("since_p").isNotNull() & F.col("since_q").isNotNull(),
-                                          F.greatest("since_p", "since_q") + 1))))
-                      .drop("since_p", "since_q"))
-        else:
-            summed = summed.withColumn("start", F.lit(0))
+        used = np.flatnonzero(since < _NEVER).astype(np.uint32)
+        known = spark.sparkContext.broadcast((used, since.ravel()[used]))     # 5 bytes for each slot in use
+        new = _scan(corpus.filter(F.col("shard") == step % shards), step, shards, lengths, known, since.shape)
+        summed = new.withColumn("since", F.lit(None).cast("int")).unionByName(pending).groupBy(
+            "k", "lang", "word", "p", "q", "start").agg(F.sum("n").alias("n"), F.max("since").alias("since"))
         last = F.col("start") + (shards - 1)
-        state = shared_write(summed.filter((F.col("start") <= step) & (last >= step)).select(
+        state = shared_write(summed.select(
             "k", "lang", "word", "p", "q", "n", "start",
             F.coalesce("since", F.when(F.col("n") >= least, F.lit(step))).alias("since")))
+        known.destroy()
         news = state.filter("since IS NOT NULL").filter((F.col("since") == step) | (last == step))
         found.append(shared_write(_named(news)))
-        bits, kinds = _slots(found[-1].filter(F.col("since") == step))
-        tables.append(bits)
-        newest |= dict.fromkeys(kinds, step)
+        newest |= dict.fromkeys(_note(since, found[-1].filter(F.col("since") == step), step), step)
         if step == shards - 1:
             totals = state.filter("k = 1").groupBy("lang").agg(F.sum("n").alias("n_lang"))
         pending = state.filter(last > step)
@@ -243,7 +237,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, fi
     cut at their weakest place; those that only occur inside a longer one of equal count are left out. Order: score
     and count descending, phrase ascending (bytes). Null texts are empty, null languages ``und``; repeated rows count
     each; other columns, ids among them, are ignored; an empty table gives an empty one. A task holds one slice of
-    ``SLICE_BYTES``, or one longer text, and the two bit tables.
+    ``SLICE_BYTES``, or one longer text, and the slots.
     """
     counted, totals = count_phrases(docs, least, longest, shards, lang, text)
     parts = _with_parts(counted, longest)
