@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,85 +13,142 @@ from pyspark.sql import functions as F
 
 from keepsake.operators.blocks import top_n
 from keepsake.operators.retrieval import best_of_rows, matrix, unit
+from keepsake.session import reliable
 
 # Candidate chunks, averaged matches, threshold, links per item.
 CANDIDATES, BEST, THRESHOLD, MAX_PER_ITEM = 40, 3, 0.62, 3
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, pivots: int = 64, seed_rows: int = 4096,
-             block_rows: int = 8192) -> DataFrame:
-    """The k nearest corpus rows of another group for every query row, exact, for large tables.
+@dataclass(frozen=True)
+class Placement:
+    """Corpus rows in their cells, the cells every query visits, and the rows and visits of each cell."""
+
+    placed: DataFrame       # cid, cgroup, cvec, cell
+    visits: DataFrame       # qid, qgroup, qvec, cell
+    cells: DataFrame        # cell, rows, asked
+
+    def report(self) -> DataFrame:
+        """One row: ``cells``, ``visits``, ``pairs`` compared, and ``all_pairs`` without cells."""
+        return self.cells.agg(
+            F.count(F.lit(1)).alias("cells"), F.sum("asked").alias("visits"),
+            F.sum(F.col("rows") * F.col("asked")).alias("pairs"),
+            (F.sum("rows") * F.lit(self.visits.select("qid").distinct().count())).alias("all_pairs"))
 
-    ``queries(qid, qgroup, qvec)``, ``corpus(cid, cgroup, cvec)``; ids and groups are LONG,
-    vectors unit length. Result ``(qid, qgroup, cid, cgroup, sim)``, at most k per query.
 
-    The corpus is cut into cells around pivot vectors. A fixed sample of the corpus gives
-    every query a lower bound on its k-th best similarity; cells that cannot reach it (by
-    the triangle inequality on angles) are skipped, so a query only visits cells that may
-    hold a neighbour. Cells and the visits to them are split by hash into blocks of about
-    ``block_rows`` rows; a task multiplies one block pair and returns at most k rows per
-    query. The sample, the pivots and the cell table have a fixed maximum size.
+def place(queries: DataFrame, corpus: DataFrame, k: int) -> Placement:
+    """Two levels of cells for an exact nearest-neighbour join.
+
+    Of n corpus rows a fixed sample of 2 sqrt(n) become cell centres; the square root of that number of them also lead a
+    group of cells. A row goes to the nearest leader and, in its group, to the nearest centre. Every query first meets its
+    nearest cells, as many as hold 4 k rows; its k-th best similarity there is a lower bound. By the triangle inequality
+    on angles, groups and then cells whose ring (the least and largest angle to the leader, or centre) can't reach that
+    bound are skipped. Placement and visits are written once. The driver holds the centres and one row for each cell.
     """
     spark = queries.sparkSession
     base = corpus.select("cid", "cgroup", "cvec").filter(F.col("cvec").isNotNull())
-    sample = base.orderBy(F.xxhash64("cid"), "cid").limit(seed_rows).collect()
-    if not sample:
-        return spark.createDataFrame([], "qid long, qgroup long, cid long, cgroup long, sim double")
-    seed = np.array([r.cvec for r in sample], dtype=np.float64)
-    asked = queries.select("qid", "qgroup", "qvec").filter(F.col("qvec").isNotNull())
-    shared = spark.sparkContext.broadcast((seed, np.array([r.cgroup for r in sample]), unit(seed[:pivots])))
+    n_cells = max(1, 2 * math.isqrt(base.count()))
+    sample = base.orderBy(F.xxhash64("cid"), "cid").limit(n_cells).collect()
+    centres = unit(np.array([r.cvec for r in sample], dtype=np.float64).reshape(
+        len(sample), len(sample[0].cvec) if sample else 1))
+    leaders = centres[:math.isqrt(n_cells - 1) + 1]
+    led = (centres @ leaders.T).argmax(axis=1) if len(sample) else np.zeros(0, int)
+    shared = spark.sparkContext.broadcast((centres, leaders, led))      # about 2 sqrt(n) vectors
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value[2]
-        for b in batches:
-            if b.num_rows:
-                angle = np.arccos(np.clip(unit(matrix(b.column("cvec"))) @ centres.T, -1.0, 1.0))
-                cell = angle.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("cid"), b.column("cgroup"), b.column("cvec"), pa.array(cell.astype(np.int32)),
-                     pa.array(angle[np.arange(len(cell)), cell])],
-                    names=["cid", "cgroup", "cvec", "cell", "angle"])
-
-    placed = base.mapInArrow(assign, "cid long, cgroup long, cvec array<float>, cell int, angle double")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"),
-                                       F.max("angle").alias("hi")).collect()      # one row per pivot
-    table = spark.sparkContext.broadcast((
-        np.array([c.cell for c in cells], dtype=np.int32), np.array([c.lo for c in cells]),
-        np.array([c.hi for c in cells])))
+    def angles(rows: np.ndarray, to: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(rows @ to.T, -1.0, 1.0))
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed, groups, centres = shared.value
-        number, lo, hi = table.value
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, leaders, led = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
-            q = matrix(b.column("qvec"))
-            mine = b.column("qgroup").to_numpy(zero_copy_only=False)
-            sims = np.where(mine[:, None] == groups[None, :], -np.inf, q @ seed.T)
-            if sims.shape[1] >= k:
-                bound = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-            else:
-                bound = np.full(len(q), -np.inf)
-            # Stored floats are unit length up to rounding; -inf reaches everything.
-            reach = np.arccos(np.clip(bound - 1e-5, -1.0, 1.0)) + 1e-9
-            a = np.arccos(np.clip(unit(q) @ centres.T, -1.0, 1.0))[:, number]
-            nearest = np.maximum(a - hi[None, :], lo[None, :] - a)
-            row, col = np.nonzero(nearest <= reach[:, None])
-            taken = b.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(number[col])],
-                                             names=["qid", "qgroup", "qvec", "cell"])
-
-    visits = asked.mapInArrow(visit, "qid long, qgroup long, qvec array<float>, cell int")
-    n_visits = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    split = spark.createDataFrame(
-        [(c.cell, -(-c.n // block_rows), -(-n_visits[c.cell] // block_rows)) for c in cells if c.cell in n_visits],
-        "cell int, n_c long, n_q long")
-    left = visits.join(F.broadcast(split), "cell").select(      # at most ``pivots`` rows
-        "qid", "qgroup", "qvec", "cell", F.pmod(F.xxhash64("qid"), "n_q").alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_c") - 1)).alias("cb"))
-    right = placed.join(F.broadcast(split), "cell").select(
-        "cid", "cgroup", "cvec", "cell", F.pmod(F.xxhash64("cid"), "n_c").alias("cb"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_q") - 1)).alias("qb"))
+            rows = unit(matrix(b.column("cvec")))
+            outer = angles(rows, leaders)
+            leader = outer.argmin(axis=1)
+            cell, angle = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+            for g in np.unique(leader):
+                at, own = np.flatnonzero(leader == g), np.flatnonzero(led == g)
+                inner = angles(rows[at], centres[own])
+                cell[at], angle[at] = own[inner.argmin(axis=1)], inner.min(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("cid"), b.column("cgroup"), b.column("cvec"), pa.array(cell), pa.array(angle),
+                 pa.array(outer[np.arange(len(rows)), leader])],
+                names=["cid", "cgroup", "cvec", "cell", "angle", "outer"])
+
+    placed = reliable(base.mapInArrow(
+        assign, "cid long, cgroup long, cvec array<float>, cell int, angle double, outer double"))
+    rings = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
+        F.min("outer").alias("outer_lo"), F.max("outer").alias("outer_hi")).orderBy("cell").collect()
+    number = np.array([r.cell for r in rings], dtype=np.int32)
+    ring = np.array([(r.lo, r.hi, r.outer_lo, r.outer_hi, r.rows) for r in rings]).reshape(len(rings), 5)
+    table = spark.sparkContext.broadcast((number, ring))                # one row for each cell
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells that may hold a row as similar as ``bound``; without one, the nearest cells with 4 k rows."""
+        centres, leaders, led = shared.value
+        number, ring = table.value
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)) if len(number) else ():
+                rows = unit(matrix(b.column("qvec")))
+                bound = b.column("bound").to_numpy(zero_copy_only=False)
+                if np.isnan(bound).all():
+                    near = np.argsort(angles(rows, centres[number]), axis=1, kind="stable")
+                    held = np.cumsum(ring[near, 4], axis=1)
+                    row, col = np.nonzero(held - ring[near, 4] < 4 * k)
+                    taken, cells = [row], [number[near[row, col]]]
+                else:
+                    # Stored floats are unit length up to rounding; -inf reaches everything.
+                    reach = np.arccos(np.clip(bound - 1e-5, -1.0, 1.0)) + 1e-9
+                    outer = angles(rows, leaders)
+                    taken, cells = [], []
+                    for g in np.unique(led[number]):
+                        of = np.flatnonzero(led[number] == g)
+                        near = np.maximum(outer[:, g] - ring[of, 3].max(), ring[of, 2].min() - outer[:, g])
+                        at = np.flatnonzero(near <= reach)
+                        inner = angles(rows[at], centres[number[of]])
+                        row, col = np.nonzero(np.maximum(inner - ring[of, 1], ring[of, 0] - inner) <= reach[at, None])
+                        taken.append(at[row])
+                        cells.append(number[of][col])
+                picked = b.drop_columns(["bound"]).take(pa.array(np.concatenate(taken)))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(cells))],
+                                                 names=["qid", "qgroup", "qvec", "cell"])
+
+    def placement(asked: DataFrame) -> Placement:
+        visits = reliable(asked.mapInArrow(visit, "qid long, qgroup long, qvec array<float>, cell int"))
+        counts = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
+                  .join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")), "cell"))
+        return Placement(placed.drop("angle", "outer"), visits, counts)
+
+    asked = queries.select("qid", "qgroup", "qvec").filter(F.col("qvec").isNotNull())
+    first = multiplied(placement(asked.withColumn("bound", F.lit(None).cast("double"))), k)
+    bounds = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("bound"))
+    return placement(asked.join(bounds, "qid", "left").withColumn(
+        "bound", F.coalesce("bound", F.lit(float("-inf")))))
+
+
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 8192) -> DataFrame:
+    """The k nearest corpus rows of another group for every query row, exact, for large tables.
+
+    ``queries(qid, qgroup, qvec)``, ``corpus(cid, cgroup, cvec)``; ids and groups are LONG, vectors unit length.
+    Result ``(qid, qgroup, cid, cgroup, sim)``, at most k per query.
+
+    Cells and visits come from ``place``, by one plan for every number of rows. A cell's rows and the visits to it are
+    split by hash into blocks of about ``block_rows``; each side is copied once for every block of the other, so a side
+    of one block is all that is copied. A task multiplies one block pair and returns at most k rows per query.
+    """
+    return multiplied(place(queries, corpus, k), k, block_rows)
+
+
+def multiplied(placement: Placement, k: int, block_rows: int = 8192) -> DataFrame:
+    """The nearest rows of a ``Placement``; see ``knn_join``."""
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("long")       # noqa: E731
+    split = placement.cells.select("cell", blocks("rows").alias("n_c"), blocks("asked").alias("n_q"))
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))      # noqa: E731
+    left = placement.visits.join(split, "cell").select(
+        "qid", "qgroup", "qvec", "cell", F.pmod(F.xxhash64("qid"), "n_q").alias("qb"), spread("n_c").alias("cb"))
+    right = placement.placed.join(split, "cell").select(
+        "cid", "cgroup", "cvec", "cell", F.pmod(F.xxhash64("cid"), "n_c").alias("cb"), spread("n_q").alias("qb"))
 
     def multiply(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["qid", "qgroup", "cid", "cgroup", "sim"]

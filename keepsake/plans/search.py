@@ -7,6 +7,7 @@ from keepsake.operators import links as K
 from keepsake.operators import retrieval as Q
 from keepsake.operators import textual as T
 from keepsake.operators.lookup import latest_per_key
+from keepsake.operators.lsh import lsh_topk
 from keepsake.plans import mapping as M
 from keepsake.plans.registry import Tables, plan
 
@@ -286,6 +287,24 @@ def vector_join(t: Tables):
     return near.select(F.col("qid").alias("item_id"), F.col("cid").alias("chunk_id"), F.round("sim", 6).alias("sim"))
 
 
+@plan("knn_visits")
+def knn_visits(t: Tables):
+    """Cells, visits and compared pairs of ``vector_join``, against all pairs."""
+    p, v = profiles(t), M.vectors(t)
+    return K.place(p.select(F.col("item_id").alias("qid"), F.col("item_id").alias("qgroup"),
+                            F.col("embedding").alias("qvec")),
+                   v.select(F.col("chunk_id").alias("cid"), F.col("item_id").alias("cgroup"),
+                            F.col("embedding").alias("cvec")), 40).report()
+
+
+@plan("vector_topk_lsh")
+def vector_topk_lsh(t: Tables):
+    """Likely neighbours of every 20th vector, and how many rows each was compared with."""
+    v = t.embeddings.select(F.col("vec_id").cast("long").alias("cid"), F.col("embedding").alias("cvec"))
+    asked = v.filter(F.col("cid") % 20 == 0).toDF("qid", "qvec")
+    return lsh_topk(asked, v, 10).select("qid", "cid", F.round("sim", 6).alias("sim"), "rank", "compared")
+
+
 @plan("build_links", f"WITH {_LINKS_SQL} SELECT * FROM links")
 def build_links(t: Tables):
     return links_of(t)

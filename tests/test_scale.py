@@ -10,6 +10,7 @@ from keepsake.operators import blocks as B
 from keepsake.operators import keyword as W
 from keepsake.operators import joins as J
 from keepsake.operators import links as K
+from keepsake.operators import lsh
 from keepsake.operators import retrieval as Q
 from keepsake.operators import series as R
 from keepsake.sources import files as D
@@ -135,9 +136,89 @@ def test_knn_join_blocks(spark):
     sims = v.astype(float) @ v.astype(float).T
     expect = {(i, int(j)) for i in range(0, 300, 4) for j in sorted(
         np.flatnonzero(group != group[i]), key=lambda j: (-sims[i, j], j))[:7]}
-    for kw in ({"pivots": 8, "seed_rows": 64, "block_rows": 20}, {"pivots": 3, "seed_rows": 10, "block_rows": 1000}, {}):
+    for kw in ({"block_rows": 5}, {"block_rows": 20}, {}):
         out = K.knn_join(q, c, 7, **kw)
         assert {(r.qid, r.cid) for r in out.collect()} == expect
+    for few in (1, 2, 3, 9):        # the same plan for any number of rows
+        some = c.filter(F.col("cid") < few)
+        got = {(r.qid, r.cid) for r in K.knn_join(q, some, 7).collect()}
+        assert got == {(i, int(j)) for i in range(0, 300, 4) for j in sorted(
+            [j for j in range(few) if group[j] != group[i]], key=lambda j: (-sims[i, j], j))[:7]}
+    assert K.knn_join(q, c.limit(0), 7).count() == 0 and K.knn_join(q.limit(0), c, 7).count() == 0
+
+
+def _clustered(n, dim=32, near=20, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(n // near, dim))
+    v = centres[rng.integers(0, n // near, n)] + 0.3 * rng.normal(size=(n, dim))
+    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+
+
+def _vectors(spark, v):
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame({"cid": np.arange(len(v)), "cvec": list(v)}),
+                                 "cid long, cvec array<float>").repartition(8)
+
+
+def _nearest(v, ids, k):
+    sims = v[ids].astype(float) @ v.astype(float).T
+    sims[np.arange(len(ids)), ids] = -9
+    return {int(i): np.lexsort((np.arange(len(v)), -sims[r]))[:k].tolist() for r, i in enumerate(ids)}
+
+
+def test_two_levels_of_cells_skip_most_pairs(spark):
+    report = {}
+    for n in (1500, 6000):
+        v = _clustered(n, 16, 100)      # about as many clusters as cells
+        c = _vectors(spark, v).withColumn("cgroup", F.col("cid"))
+        q = c.filter("cid % 20 = 0").select(F.col("cid").alias("qid"), F.col("cid").alias("qgroup"), F.col("cvec").alias("qvec"))
+        placement = K.place(q, c, 5)
+        got = {}
+        for r in sorted(K.multiplied(placement, 5).collect(), key=lambda r: (r.qid, -r.sim, r.cid)):
+            got.setdefault(r.qid, []).append(r.cid)
+        assert got == _nearest(v, np.arange(0, n, 20), 5)
+        report[n] = placement.report().first()
+    print(report)
+    assert all(r.pairs < 0.5 * r.all_pairs for r in report.values())
+    assert report[6000].cells > 1.5 * report[1500].cells
+
+
+def test_hashed_neighbours_recall(spark):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()
+    compared = {}
+    for name, v in (("given", np.array([r.embedding for r in given], np.float32)), ("small", _clustered(3000)),
+                    ("large", _clustered(24000))):
+        c = _vectors(spark, v)
+        ids = np.arange(0, len(v), 20)[:300]
+        q = c.filter((F.col("cid") % 20 == 0) & (F.col("cid") < 6000)).toDF("qid", "qvec")
+        want, got = _nearest(v, ids, 10), {int(i): [] for i in ids}
+        rows = lsh.lsh_topk(q, c, 10).collect()
+        for r in rows:
+            got[r.qid].append(r.cid)
+        assert np.mean([len(set(want[i]) & set(got[i])) / 10 for i in want]) >= 0.9, name
+        compared[name] = np.mean([r.compared for r in rows])
+    assert compared["large"] < 2 * compared["small"]        # eight times the rows
+
+
+def test_hashed_neighbours_of_equal_vectors(spark):
+    v = _clustered(900)
+    v[::3] = v[0]                                           # a third of all rows
+    c = _vectors(spark, v)
+    q = c.filter("cid % 90 = 0").toDF("qid", "qvec")
+    got = {}
+    for r in sorted(lsh.lsh_topk(q, c, 8, block_rows=50).collect(), key=lambda r: (r.qid, r["rank"])):
+        got.setdefault(r.qid, []).append(r.cid)
+    assert got == _nearest(v, np.arange(0, 900, 90), 8)
+    none = spark.createDataFrame([(1, None)], "qid long, qvec array<float>")
+    assert lsh.lsh_topk(none, c, 3).count() == 0 and lsh.lsh_topk(q, c.limit(0), 3).count() == 0
+
+
+def test_probes_cross_the_nearest_planes_first():
+    margin = np.array([[[0.5, -0.1, 0.2]]])
+    code = np.array([[0b101]])
+    assert lsh.probe_codes(code, margin, 4)[0, 0].tolist() == [0b101, 0b111, 0b001, 0b011]
+    assert sorted(lsh.probe_codes(code, margin, 99)[0, 0].tolist()) == list(range(8))
 
 
 def test_knn_scan_scopes(spark):
