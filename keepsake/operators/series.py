@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions.scalars import is_off
 from keepsake.operators.blocks import exact_percentiles, islands, running
-from keepsake.operators.fold import greedy_fold
+from keepsake.operators.fold import greedy_groups
 from keepsake.operators.joins import asof_forward, interval_overlap
 from keepsake.session import reliable
 
@@ -305,31 +305,21 @@ def dual_channel(frames: DataFrame, band: str, band_text: str, full_text: str, i
 def merge_segments(segments: DataFrame, key: str, block: Column, max_chars: int = 240,
                    max_seconds: float = 45.0, block_rows: int = 512) -> DataFrame:
     """Short segments joined until one holds ``max_chars`` characters or ``max_seconds``."""
-    state = "struct<start_s: double, end_s: double, text: string>"
-
-    def step(s: Column, r: Column) -> tuple[Column, Column]:
-        start = F.coalesce(s["start_s"], r["start_s"])
-        text = F.concat(F.coalesce(s["text"], F.lit("")), r["text"])
-        full = (F.length(text) >= max_chars) | (r["end_s"] - start >= max_seconds)
-        now = F.struct(start.alias("start_s"), r["end_s"].alias("end_s"), text.alias("text"))
-        return F.when(~full, now), F.when(full, F.array(now)).otherwise(F.array().cast(f"array<{state}>"))
-
-    out = greedy_fold(segments.filter(F.col("text").isNotNull()), [key], ["start_s", "seq"], block,
-                      ["start_s", "end_s", "text"], state, state, step, lambda s: F.array(s), block_rows)
-    return out.select(key, "out.*")
+    rows = segments.filter(F.col("text").isNotNull())
+    grouped = greedy_groups(rows, [key], ["start_s", "seq"], block, ["start_s", "end_s", "text"], "start_s", "end_s",
+                            F.length("text"), max_chars, max_seconds, block_rows=block_rows)
+    texts = F.sort_array(F.collect_list(F.struct("_rn", "text")))       # of less than max_chars and one segment
+    return grouped.groupBy(key, "_start").agg(
+        F.min_by("start_s", "_rn").alias("start_s"), F.max_by("end_s", "_rn").alias("end_s"),
+        F.array_join(texts["text"], "").alias("text")).drop("_start")
 
 
 def spaced(points: DataFrame, key: str, t: str, block: Column, gap: float, block_rows: int = 512) -> DataFrame:
     """Points kept greedily so that neighbours are at least ``gap`` apart."""
-    def step(s: Column, r: Column) -> tuple[Column, Column]:
-        keep = s["t"].isNull() | (r[t] - s["t"] >= gap)
-        here = F.struct(r[t].alias("t"))
-        return (F.when(keep, here).otherwise(s),
-                F.when(keep, F.array(here)).otherwise(F.array().cast("array<struct<t: double>>")))
-
-    out = greedy_fold(points.select(key, t).distinct(), [key], [t], block, [t], "struct<t: double>",
-                      "struct<t: double>", step, lambda s: F.array().cast("array<struct<t: double>>"), block_rows)
-    return out.select(key, F.col("out.t").alias(t))
+    rows = points.select(key, t).filter(F.col(t).isNotNull()).distinct()
+    grouped = greedy_groups(rows, [key], [t], block, [t], t, t, most_span=gap, closing_row_inside=False,
+                            block_rows=block_rows)
+    return grouped.filter(F.col("_rn") == F.col("_start")).select(key, t)
 
 
 def visual_event_frames(series: DataFrame, settle: DataFrame, key: str, block: Column,

@@ -37,25 +37,21 @@ def local_session(cpus: str | int = "*", app: str = "keepsake", **conf: str) ->
 
 
 def reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+    """Cut lineage: write ``df`` once below the folder the cluster names, and read it back.
 
-    The folder comes from ``spark.checkpoint.dir``. A machine-local folder is only
-    chosen when that is unset *and* the master is local.
+    Later jobs, and tasks run again after an executor is lost, read the table. (``checkpoint()`` would compute ``df``
+    twice, once for the action and once to write.)
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="keepsake-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for stream state and sinks, below ``spark.checkpoint.dir`` when set."""
+    """A new folder for tables, stream state and sinks, below ``spark.checkpoint.dir``.
+
+    A machine-local folder is only taken when that is unset *and* the master is local.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from keepsake.operators import blocks as B
 from keepsake.operators import keyword as W
+from keepsake.operators import fold
 from keepsake.operators import joins as J
 from keepsake.operators import links as K
 from keepsake.operators import lsh
@@ -334,3 +335,49 @@ def test_sheet_lines_have_no_cap(spark):
     rows = spark.range(1000).selectExpr("'a' AS sheet", "id", "CAST(NULL AS STRING) AS none")
     got = textual.sheet_lines(rows, "sheet", ["id"], [F.col("id"), F.col("none")], F.floor(F.col("id") / 100)).collect()
     assert {r["line_no"]: r["line"] for r in got} == {i + 1: str(i) for i in range(1000)}
+
+
+def _kept(ts, gap):
+    kept = []
+    for t in ts:
+        if not kept or t - kept[-1] >= gap:
+            kept.append(t)
+    return kept
+
+
+def test_evenly_spaced_points_take_few_rounds(spark, monkeypatch):
+    """No block forgets its entry here: 196 blocks are still eight rounds, not 196."""
+    rounds = []
+    whole = fold.reliable
+    monkeypatch.setattr(fold, "reliable", lambda df: rounds.append(1) or whole(df))
+    df = spark.range(100_000).select(F.lit(1).alias("k"), (F.col("id") * 1.0).alias("t"))
+    out = sorted(r.t for r in R.spaced(df, "k", "t", F.floor(F.col("t") / 5000), 7.0).collect())
+    assert out == [float(t) for t in range(0, 100_000, 7)]
+    assert len(rounds) <= 20
+
+
+@pytest.mark.parametrize("gap,block_rows", [(40.0, 4), (3.5, 4), (1000.0, 8), (0.0, 4)])
+def test_groups_longer_than_blocks(spark, gap, block_rows):
+    rng = random.Random(int(gap))
+    rows = [(k, round(rng.uniform(0, 300), 1)) for k in (1, 2, None) for _ in range(120 if k == 1 else 30)]
+    df = spark.createDataFrame(rows, "k int, t double").repartition(4)
+    out = sorted((r.k or 0, r.t) for r in R.spaced(df, "k", "t", F.floor(F.col("t") / 50), gap, block_rows).collect())
+    assert out == sorted((k or 0, t) for k in (1, 2, None) for t in _kept(sorted({t for j, t in rows if j == k}), gap))
+
+
+def test_segments_that_end_out_of_order(spark):
+    """The end of a segment may lie before the end of an earlier one; weights may be zero."""
+    rng = random.Random(11)
+    rows = [(1, float(i), float(i) + rng.choice([0.5, 3.0, 9.0]), i, "x" * rng.choice([0, 0, 1, 7])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, start_s double, end_s double, seq long, text string")
+    want, held = [], []
+    for r in rows:
+        held.append(r)
+        if sum(len(h[4]) for h in held) >= 25 or r[2] - held[0][1] >= 11:
+            want.append((1, held[0][1], r[2], "".join(h[4] for h in held)))
+            held = []
+    if held:
+        want.append((1, held[0][1], held[-1][2], "".join(h[4] for h in held)))
+    out = R.merge_segments(df, "k", F.floor(F.col("start_s") / 10), 25, 11.0, 4).collect()
+    assert sorted(tuple(r) for r in out) == sorted(want)
+    assert R.merge_segments(df.limit(0), "k", F.floor(F.col("start_s") / 10)).count() == 0
