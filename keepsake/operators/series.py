@@ -1,7 +1,7 @@
 """Time-series operators on long tables ``(series, ts, id, value)``.
 
-Positions are row numbers along (ts, id); all scans run in blocks (see ``blocks``), so one
-long series never sits in one task.
+Positions are row numbers along (ts, id) in sorted ranges (see ``ranges``); other scans run in
+blocks (see ``blocks``), so one long series never sits in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from keepsake.functions.scalars import is_off
 from keepsake.operators.blocks import exact_percentiles, islands, running
 from keepsake.operators.fold import greedy_groups
 from keepsake.operators.joins import asof_forward, interval_overlap
+from keepsake.operators.ranges import ranged
 from keepsake.session import reliable
 
 # Detection thresholds.
@@ -22,28 +23,28 @@ SETTLE_SECONDS, SETTLE_RATIO, SETTLE_FLOOR = 0.8, 1.2, 0.01
 DEFAULT_STEP = 0.2
 
 
-def numbered(series: DataFrame, key: str, order: list[str], block: Column,
-             extra: list[str] | None = None) -> DataFrame:
-    """Rows with their 1-based position ``rn`` and the distance ``gap`` to the row before."""
-    rows = running(series.select(key, *order, *(extra or [])), [key], order, block,
-                   last={"_prev": F.struct(F.col(order[0]).alias("v"))}, sums={"_before": F.lit(1)},
-                   inclusive=False)
-    return rows.withColumns({"rn": (F.col("_before") + 1).cast("long"),
-                             "gap": F.col(order[0]) - F.col("_prev.v")}).drop("_before", "_prev")
+def numbered(series: DataFrame, key: str, order: list[str] = ("ts", "id"), extra: list[str] = ()) -> DataFrame:
+    """Rows with their 1-based position ``rn``, the distance ``gap`` to the row before and their range ``part``.
+
+    Rows that have been numbered before are taken as they are, so that several operators share one pass.
+    """
+    if {"rn", "gap", "part"} <= set(series.columns):
+        return series
+    return ranged(series, key, list(order), list(extra))
 
 
-def median_step(series: DataFrame, key: str, order: list[str], block: Column) -> DataFrame:
+def median_step(series: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Median distance between neighbouring samples, per series with two or more rows."""
-    return exact_percentiles(numbered(series, key, order, block), [key], "gap", {"step": 0.5})
+    return exact_percentiles(numbered(series, key, order), [key], "gap", {"step": 0.5})
 
 
-def series_stats(series: DataFrame, key: str, block: Column) -> DataFrame:
+def series_stats(series: DataFrame, key: str) -> DataFrame:
     """Levels, sampling step, length and span of every series. One row per series.
 
     ``floor`` = P20, ``median`` = P50 of the values, ``step`` = median distance of samples.
     Values and distances are ranked together in one pass.
     """
-    rows = numbered(series, key, ["ts", "id"], block, ["value"])
+    rows = numbered(series, key, extra=["value"])
     long = rows.select(key, F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("value").alias("x")),
         F.struct(F.lit(1).alias("kind"), F.col("gap").alias("x")))).alias("_m")).select(key, "_m.kind", "_m.x")
@@ -51,12 +52,12 @@ def series_stats(series: DataFrame, key: str, block: Column) -> DataFrame:
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     levels = p.groupBy(key).agg(of(0, "p20").alias("floor"), of(0, "p50").alias("median"), of(0, "total").alias("n"),
                                 F.coalesce(of(1, "p50"), F.lit(DEFAULT_STEP)).alias("step"))
-    ends = series.groupBy(key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    ends = rows.groupBy(key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return levels.join(ends, key).withColumns({
         "enter": F.greatest(F.col("floor") * ENTER_RATIO, F.lit(ENTER_FLOOR)), "exit": F.col("floor") * EXIT_RATIO})
 
 
-def detect_events(series: DataFrame, key: str, block: Column, stats: DataFrame | None = None,
+def detect_events(series: DataFrame, key: str, stats: DataFrame | None = None,
                   quiet_seconds: float = QUIET_SECONDS) -> DataFrame:
     """Two-threshold events ``(key, start_s, end_s)``.
 
@@ -64,12 +65,12 @@ def detect_events(series: DataFrame, key: str, block: Column, stats: DataFrame |
     ends a run. A run with a row above the enter level is an event: from its first such row
     to its last row, or to the end of the series when too little quiet follows.
     """
-    stats = series_stats(series, key, block) if stats is None else stats
-    rows = numbered(series, key, ["ts", "id"], block, ["value"])
+    rows = numbered(series, key, extra=["value"])
+    stats = series_stats(rows, key) if stats is None else stats
     constants = stats.select(key, "enter", "exit", "step", "n", "last_ts")
     loud = rows.join(constants, key).filter(F.col("value") > F.col("exit"))
     runs = islands(
-        loud, [key, "step", "n", "last_ts"], "rn", block,
+        loud, [key, "step", "n", "last_ts"], "rn", F.col("part"),
         lambda pos, prev: (pos - prev - 1) * F.col("step") >= quiet_seconds,
         {"start_s": ("min", F.when(F.col("value") > F.col("enter"), F.col("ts"))),
          "end_s": ("max", F.col("ts")), "_hi": ("max", F.col("rn"))})
@@ -78,17 +79,17 @@ def detect_events(series: DataFrame, key: str, block: Column, stats: DataFrame |
         key, "start_s", F.when(closed, F.col("end_s")).otherwise(F.col("last_ts")).alias("end_s"))
 
 
-def detect_settle(series: DataFrame, key: str, block: Column, stats: DataFrame | None = None,
+def detect_settle(series: DataFrame, key: str, stats: DataFrame | None = None,
                   min_seconds: float = SETTLE_SECONDS, ratio: float = SETTLE_RATIO) -> DataFrame:
     """Static segments ``(key, lo, hi)``: long enough runs of rows at or below the level."""
-    stats = series_stats(series, key, block) if stats is None else stats
-    rows = numbered(series, key, ["ts", "id"], block, ["value"])
+    rows = numbered(series, key, extra=["value"])
+    stats = series_stats(rows, key) if stats is None else stats
     level = F.greatest(F.col("floor") * ratio, F.lit(SETTLE_FLOOR))
     need = F.when(F.col("step") > 0, F.greatest(F.lit(1), F.bround(F.lit(min_seconds) / F.col("step"))))
     constants = stats.filter(level < F.col("median")).select(
         key, level.alias("_level"), F.coalesce(need, F.lit(1)).cast("long").alias("_need"))
     still = rows.join(constants, key).filter(F.col("value") <= F.col("_level"))
-    runs = islands(still, [key, "_need"], "rn", block, lambda pos, prev: pos - prev > 1,
+    runs = islands(still, [key, "_need"], "rn", F.col("part"), lambda pos, prev: pos - prev > 1,
                    {"lo": ("min", F.col("ts")), "hi": ("max", F.col("ts")), "_n": ("sum", F.lit(1))})
     return runs.filter(F.col("_n") >= F.col("_need")).select(key, "lo", "hi")
 
@@ -260,17 +261,18 @@ def profile_check(band_shift: float = 0.05, rate_ratio: float = 3.0, speech_delt
             .otherwise("ok"))
 
 
-def series_profile(series: DataFrame, bands: DataFrame, speech: DataFrame, key: str, block: Column,
+def series_profile(series: DataFrame, bands: DataFrame, speech: DataFrame, key: str,
                    quiet_seconds: float = QUIET_SECONDS, settle_seconds: float = SETTLE_SECONDS,
                    min_samples: int = 4) -> DataFrame:
     """One profile per series: bands, levels, event and static counts, speech share, reason.
 
     ``speech(key, speech_seconds)``. Reasons as in ``classify_bands`` plus ``too_few_samples``.
     """
-    stats = reliable(series_stats(series, key, block))      # one row per series, used three times
-    events = detect_events(series, key, block, stats, quiet_seconds).groupBy(key).agg(
+    rows = numbered(series, key, extra=["value"])
+    stats = reliable(series_stats(rows, key))      # one row per series, used three times
+    events = detect_events(rows, key, stats, quiet_seconds).groupBy(key).agg(
         F.count(F.lit(1)).alias("event_count"))
-    still = detect_settle(series, key, block, stats, settle_seconds).groupBy(key).agg(
+    still = detect_settle(rows, key, stats, settle_seconds).groupBy(key).agg(
         F.count(F.lit(1)).alias("settle_count"))
     roles = classify_bands(bands, key).groupBy(key).agg(
         F.max("reason").alias("_why"), F.max(F.when(F.col("rank") == 1, F.col("y0"))).alias("band"))
@@ -322,13 +324,14 @@ def spaced(points: DataFrame, key: str, t: str, block: Column, gap: float, block
     return grouped.filter(F.col("_rn") == F.col("_start")).select(key, t)
 
 
-def visual_event_frames(series: DataFrame, settle: DataFrame, key: str, block: Column,
+def visual_event_frames(series: DataFrame, settle: DataFrame, key: str,
                         max_frames: int = 40, after_change: float = 0.3, min_gap: float = 1.0,
                         quiet_seconds: float = QUIET_SECONDS, axis_block: float = 3600.0) -> DataFrame:
     """Anchor times: shortly after each event starts and in the middle of static segments,
     at least ``min_gap`` apart; evenly filled when few, evenly thinned when many."""
-    stats = reliable(series_stats(series, key, block))      # one row per series, used three times
-    events = detect_events(series, key, block, stats, quiet_seconds)
+    rows = numbered(series, key, extra=["value"])
+    stats = reliable(series_stats(rows, key))      # one row per series, used three times
+    events = detect_events(rows, key, stats, quiet_seconds)
     span = stats.select(key, "first_ts", "last_ts")
     picks = events.join(span, key).select(key, F.least(F.greatest(
         F.col("start_s") + after_change, F.col("first_ts")), F.col("last_ts")).alias("t"))
@@ -339,7 +342,8 @@ def visual_event_frames(series: DataFrame, settle: DataFrame, key: str, block: C
     few = stats.select(key, "n").join(count, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(
         F.col("_n") < max(3, max_frames // 4)).select(key, "n")
     # Filling only concerns series with few anchors: lists of at most 1.25 * max_frames times.
-    rows = indexed(series.select(key, "ts", "id"), key, ["ts", "id"], block)
+    length = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(length, key).withColumn("i", F.col("rn") - 1)
     stride = F.col("n") / F.lit(float(max_frames))
     mark = F.ceil(F.col("i") / stride)
     wanted = ((mark < max_frames) & (F.floor(mark * stride) == F.col("i"))) | (

@@ -250,7 +250,7 @@ def except_known(t: Tables):
 def win_median_step(t: Tables):
     from keepsake.operators.series import median_step
 
-    return median_step(M.series(t), "series_id", ["ts", "id"], week()).select(
+    return median_step(M.series(t), "series_id", ["ts", "id"]).select(
         "series_id", F.round("step", 3).alias("step"))
 
 

@@ -54,11 +54,11 @@ SETTLE_SQL = f"""
 
 
 def events_of(t: Tables):
-    return R.detect_events(M.series(t), "series_id", block(), quiet_seconds=QUIET)
+    return R.detect_events(M.series(t), "series_id", quiet_seconds=QUIET)
 
 
 def settle_of(t: Tables):
-    return R.detect_settle(M.series(t), "series_id", block(), min_seconds=STILL)
+    return R.detect_settle(M.series(t), "series_id", min_seconds=STILL)
 
 
 @plan("detect_events", f"WITH {EVENTS_SQL} SELECT series_id, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s FROM ev")
@@ -265,11 +265,11 @@ def band_top2(t: Tables):
     (SELECT count(*) FROM v WHERE v.series_id = u.series_id AND v.b > u.start_s AND v.a < u.close_s) AS n_speech
   FROM u WHERE close_s - start_s >= 0.2""")
 def build_units(t: Tables):
-    series = M.series(t)
-    stats = reliable(R.series_stats(series, "series_id", block()))      # one row per series
+    series = R.numbered(M.series(t), "series_id", extra=["value"])
+    stats = reliable(R.series_stats(series, "series_id"))      # one row per series
     units = reliable(R.build_units(
-        R.detect_events(series, "series_id", block(), stats, QUIET),
-        R.detect_settle(series, "series_id", block(), stats, STILL), "series_id", 43200.0))
+        R.detect_events(series, "series_id", stats, QUIET),
+        R.detect_settle(series, "series_id", stats, STILL), "series_id", 43200.0))
     speech = spans(t).filter(F.col("event_type") == "view").select(
         "series_id", F.col("a0").alias("seg_start"), F.col("a1").alias("seg_end"))
     n = R.unit_speech(units, speech, "series_id", 4 * HOUR).groupBy("series_id", "start_frame").agg(
@@ -319,7 +319,7 @@ def should_ocr(t: Tables):
 def series_profile(t: Tables):
     speech = t.events.filter(F.col("event_type") == "view").groupBy(F.col("user_id").alias("series_id")).agg(
         F.sum(S.json_field("props", "k").try_cast("double") * 60).alias("speech_seconds"))
-    p = R.series_profile(M.series(t), bands_of(t), speech, "series_id", block(), QUIET, STILL)
+    p = R.series_profile(M.series(t), bands_of(t), speech, "series_id", QUIET, STILL)
     return p.select("series_id", "ok", "reason", F.round("band", 6).alias("band"), F.round("floor", 6).alias("floor"),
                     "event_count", "settle_count", F.round("speech_ratio", 6).alias("speech_ratio"))
 
@@ -395,6 +395,6 @@ def merge_segments(t: Tables):
 
 @plan("visual_event_frames")
 def visual_event_frames(t: Tables):
-    return R.visual_event_frames(M.series(t), settle_of(t), "series_id", block(), 40, 0.3, HOUR, QUIET, DAY)
+    return R.visual_event_frames(M.series(t), settle_of(t), "series_id", 40, 0.3, HOUR, QUIET, DAY)
 
 

@@ -32,30 +32,30 @@ def one(spark, column):
 
 def test_events_two_bursts(spark):
     s = series(spark, [0.01] * 10 + [0.6] * 15 + [0.01] * 15 + [0.6] * 10)
-    stats = R.series_stats(s, "series_id", block()).first()
+    stats = R.series_stats(s, "series_id").first()
     assert stats.floor == pytest.approx(0.01)
     assert stats.enter == pytest.approx(0.05)
     assert stats.exit == pytest.approx(0.015)
-    out = sorted((r.start_s, r.end_s) for r in R.detect_events(s, "series_id", block()).collect())
+    out = sorted((r.start_s, r.end_s) for r in R.detect_events(s, "series_id").collect())
     assert len(out) == 2
     assert abs(out[0][0] - 2.0) <= 0.3
     assert abs(out[-1][1] - 10.0) <= 0.3
 
 
 def test_events_flat_and_empty(spark):
-    assert R.detect_events(series(spark, [0.0] * 50), "series_id", block()).isEmpty()
-    assert R.detect_events(series(spark, []), "series_id", block()).isEmpty()
+    assert R.detect_events(series(spark, [0.0] * 50), "series_id").isEmpty()
+    assert R.detect_events(series(spark, []), "series_id").isEmpty()
 
 
 def test_settle_between_motion(spark):
-    out = R.detect_settle(series(spark, [0.5] * 20 + [0.02] * 15 + [0.5] * 20), "series_id", block()).collect()
+    out = R.detect_settle(series(spark, [0.5] * 20 + [0.02] * 15 + [0.5] * 20), "series_id").collect()
     assert len(out) == 1
     assert abs(out[0].lo - 4.0) <= 0.4
     assert abs(out[0].hi - 6.8) <= 0.4
 
 
 def test_settle_too_short(spark):
-    assert R.detect_settle(series(spark, [0.5] * 20 + [0.02] * 2 + [0.5] * 20), "series_id", block()).isEmpty()
+    assert R.detect_settle(series(spark, [0.5] * 20 + [0.02] * 2 + [0.5] * 20), "series_id").isEmpty()
 
 
 def bands(spark, rows):
@@ -136,11 +136,11 @@ def test_visual_event_frames(spark):
     v[450:470] = [0.9] * 20
     s = series(spark, v)
     settle = spark.createDataFrame([(1, 20.0, 38.0), (1, 100.0, 118.0)], "series_id long, lo double, hi double")
-    out = [r.t for r in R.visual_event_frames(s, settle, "series_id", block(), 20).orderBy("t").collect()]
+    out = [r.t for r in R.visual_event_frames(s, settle, "series_id", 20).orderBy("t").collect()]
     assert len(out) <= 20
     for lo, hi in ((39.5, 42.5), (89.5, 92.5), (28, 30)):
         assert any(lo <= t <= hi for t in out)
-    assert R.visual_event_frames(s, settle, "series_id", block(), 5).count() <= 5
+    assert R.visual_event_frames(s, settle, "series_id", 5).count() <= 5
 
 
 def test_band_exclusion(spark):

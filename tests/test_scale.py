@@ -12,6 +12,7 @@ from keepsake.operators import fold
 from keepsake.operators import joins as J
 from keepsake.operators import links as K
 from keepsake.operators import lsh
+from keepsake.operators import ranges
 from keepsake.operators import retrieval as Q
 from keepsake.operators import series as R
 from keepsake.sources import files as D
@@ -381,3 +382,44 @@ def test_segments_that_end_out_of_order(spark):
     out = R.merge_segments(df, "k", F.floor(F.col("start_s") / 10), 25, 11.0, 4).collect()
     assert sorted(tuple(r) for r in out) == sorted(want)
     assert R.merge_segments(df.limit(0), "k", F.floor(F.col("start_s") / 10)).count() == 0
+
+
+def test_ranges_spread_one_hot_hour(spark):
+    """One series holds most rows, nine in ten of them in one hour: no range holds much more than its share."""
+    rng = random.Random(2)
+    rows = [(1, rng.uniform(0, 3600) if rng.random() < 0.9 else rng.uniform(0, 1e6), i, float(i % 7)) for i in range(20000)]
+    rows += [(k, float(t), t, 1.0) for k in (2, 3, None) for t in range(50)]
+    df = spark.createDataFrame(rows, "k int, ts double, id long, value double").repartition(5)
+    out = ranges.ranged(df, "k", ["ts", "id"], ["value"], parts=16)
+    sizes = [r["count"] for r in out.groupBy("part").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * len(rows) / 16
+    got = {(r.k, r.id): (r.rn, r.gap, r.part) for r in out.collect()}
+    for key in (1, 2, 3, None):
+        own = sorted((t, i) for k, t, i, _ in rows if k == key)
+        assert [got[key, i][0] for _, i in own] == list(range(1, len(own) + 1))
+        gaps = [None] + [b[0] - a[0] for a, b in zip(own, own[1:])]
+        assert [got[key, i][1] for _, i in own] == gaps
+        parts = [got[key, i][2] for _, i in own]
+        assert parts == sorted(parts)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_events_do_not_depend_on_ranges(spark, parts):
+    rng = random.Random(8)
+    rows = [(k, i * 0.2, i, rng.choice([0.01, 0.02, 0.02, 0.5 if i % 50 < 20 else 0.02])) for k in (1, 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, ts double, id long, value double")
+    one = sorted(tuple(r) for r in R.detect_events(df.coalesce(1), "k").collect())
+    numbered = ranges.ranged(df, "k", ["ts", "id"], ["value"], parts=parts)
+    assert sorted(tuple(r) for r in R.detect_events(numbered, "k").collect()) == one and len(one) > 4
+    still = sorted(tuple(r) for r in R.detect_settle(numbered, "k").collect())
+    assert still == sorted(tuple(r) for r in R.detect_settle(df, "k").collect())
+    assert R.detect_events(df.limit(0), "k").count() == 0
+
+
+def test_events_read_the_series_once(spark):
+    """The source is numbered and written once; what follows reads that table."""
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        F.col("user_id").alias("k"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("id"),
+        F.col("event_id").cast("double").alias("value"))
+    plan = R.detect_events(df, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "testdata" not in plan
