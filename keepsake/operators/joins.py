@@ -22,29 +22,62 @@ def titles_or_id(related: DataFrame, items: DataFrame, key: str = "related_id")
         "title", F.coalesce("title", F.concat(F.lit("#"), F.col(key).cast("string"))))
 
 
+def _span_level(lo: str, hi: str, width: float) -> Column:
+    """The smallest level whose cells, ``width`` * 2 ** level, are as long as the span."""
+    long = F.greatest(F.col(hi) - F.col(lo), F.lit(0.0)) / width
+    return F.when(F.col(lo).isNotNull() & F.col(hi).isNotNull(),
+                  F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(long, F.lit(1.0)))))).cast("int")
+
+
+def span_cells(df: DataFrame, lo: str, hi: str, width: float, levels: Column) -> DataFrame:
+    """One row for each of ``levels`` (an array) and cell of that level that the span touches: ``_level, _cell``."""
+    size = F.pow(F.lit(2.0), F.col("_level")) * width
+    first, last = F.floor(F.col(lo) / size), F.floor(F.greatest(F.col(lo), F.col(hi)) / size)
+    return (df.withColumn("_level", F.explode(levels))
+            .withColumn("_cell", F.explode(F.sequence(first.cast("long"), last.cast("long")))))
+
+
 def interval_overlap(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str],
-                     b_span: tuple[str, str], width: float) -> DataFrame:
+                     b_span: tuple[str, str], width: float, cell_rows: int = 4096) -> DataFrame:
     """Pairs with ``b.end > a.start and b.start < a.end`` inside the same key.
 
-    Both sides are cut into time cells of ``width``; the equi-join is on (key, cell), so a
-    long series is spread over its cells, and a pair is kept only in the first cell both
-    share, so it appears once. Choose ``width`` near the usual span length.
+    Dyadic levels: the cells of a level are twice as long as those of the one below, from ``width`` up. A span is stored
+    on the level of its own length, in two cells at most, however long it is, and looks for longer ones on the levels
+    above that the other side uses, again in two cells each. The equi-join is on (key, level, cell); a pair is kept only
+    in the first cell both share on the level of the longer one, so it appears once. The spans stored in a cell are
+    dealt into lots of about ``cell_rows``, and what looks there is copied once for each lot, so a hot cell is spread
+    over tasks. Spans without start or end meet nothing.
     """
-    a0, a1 = a_span
-    b0, b1 = b_span
-
-    def cells(df: DataFrame, lo: str, hi: str) -> DataFrame:
-        first = F.floor(F.col(lo) / width).cast("long")
-        last = F.floor(F.greatest(F.col(lo), F.col(hi)) / width).cast("long")
-        return df.withColumn("_cell", F.explode(F.sequence(first, last)))
-
-    left = cells(a, a0, a1)
-    right = cells(b, b0, b1).withColumnRenamed("_cell", "_bcell").withColumnRenamed(key, "_bkey")
-    shared = F.floor(F.greatest(F.col(a0), F.col(b0)) / width).cast("long")
-    return (left.join(right, (F.col(key) == F.col("_bkey")) & (F.col("_cell") == F.col("_bcell"))
-                      & (F.col(b1) > F.col(a0)) & (F.col(b0) < F.col(a1))
-                      & (F.col("_cell") == shared))
-            .drop("_cell", "_bcell", "_bkey"))
+    names = {c: f"_b_{c}" for c in b.columns if c == key}
+    left = a.withColumn("_own", _span_level(*a_span, width)).filter("_own IS NOT NULL")
+    right = b.withColumn("_own", _span_level(*b_span, width)).filter("_own IS NOT NULL").withColumnsRenamed(names)
+    # a few dozen numbers at most: one level for each doubling of the length
+    used = [[r[0] for r in d.select("_own").distinct().collect()] for d in (left, right)]
+
+    def met(short: DataFrame, s_key: str, s_span: tuple[str, str], long: DataFrame, l_key: str, l_span: tuple[str, str],
+            levels: list[int], equal: bool) -> DataFrame:
+        above = F.filter(F.array(*map(F.lit, sorted(levels))).cast("array<int>"),
+                         lambda x: (x >= F.col("_own")) if equal else (x > F.col("_own")))
+        asks = span_cells(short, *s_span, width, above).withColumnsRenamed(
+            {s_key: "_key", "_level": "_l", "_cell": "_c"}).drop("_own")
+        held = span_cells(long, *l_span, width, F.array("_own")).drop("_own")
+        cell = [l_key, "_level", "_cell"]
+        hot = (held.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cell_rows)
+               .withColumn("_lots", F.ceil(F.col("_n") / cell_rows).cast("int")).drop("_n"))
+        lot = F.pmod(F.xxhash64(*[c for c in long.columns if c != "_own"]), F.coalesce("_lots", F.lit(1))).cast("int")
+        held = held.join(hot, cell, "left").withColumn("_lot", lot).drop("_lots")
+        asks = (asks.join(hot.toDF("_key", "_l", "_c", "_lots"), ["_key", "_l", "_c"], "left")
+                .withColumn("_k", F.explode(F.sequence(F.lit(0), F.coalesce("_lots", F.lit(1)) - 1))).drop("_lots"))
+        first = F.floor(F.greatest(F.col(a_span[0]), F.col(b_span[0])) / (F.pow(F.lit(2.0), F.col("_level")) * width))
+        return asks.join(held, (F.col("_key") == F.col(l_key)) & (F.col("_l") == F.col("_level"))
+                         & (F.col("_c") == F.col("_cell")) & (F.col("_k") == F.col("_lot"))
+                         & (F.col(b_span[1]) > F.col(a_span[0])) & (F.col(b_span[0]) < F.col(a_span[1]))
+                         & (F.col("_cell") == first.cast("long"))).withColumn(key, F.col("_key"))
+
+    b_key = names.get(key, key)
+    out = [c for c in a.columns] + [c for c in b.columns if c != key]
+    return (met(left, key, a_span, right, b_key, b_span, used[1], True).select(*out)
+            .unionByName(met(right, b_key, b_span, left, key, a_span, used[0], False).select(*out)))
 
 
 def asof_forward(events: DataFrame, targets: DataFrame, key: str, event_id: list[str], end: str,

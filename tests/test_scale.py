@@ -423,3 +423,33 @@ def test_events_read_the_series_once(spark):
         F.col("event_id").cast("double").alias("value"))
     plan = R.detect_events(df, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "testdata" not in plan
+
+
+def _plain_overlap(a, b):
+    return sorted((i, j) for i, (k, x0, x1) in enumerate(a) for j, (m, y0, y1) in enumerate(b)
+                  if k == m and k is not None and None not in (x0, x1, y0, y1) and y1 > x0 and y0 < x1)
+
+
+@pytest.mark.parametrize("width,cell_rows", [(1.0, 4096), (60.0, 4), (1e-3, 50)])
+def test_overlaps_of_spans_of_any_length(spark, width, cell_rows):
+    rng = random.Random(int(width))
+
+    def spans(n):
+        out = [(rng.choice([1, 1, 1, 2, None]), t, t + rng.choice([0.0, 0.5, 7.0, 100.0, 3e4, -2.0]))
+               for t in (round(rng.uniform(0, 900), 1) for _ in range(n))]
+        return out + [(1, -1e8, 3.2e8), (1, None, 3.0), (2, 5.0, None)]      # ten years and more
+
+    a, b = spans(120), spans(90)
+    da = spark.createDataFrame([(*r, i) for i, r in enumerate(a)], "k int, a0 double, a1 double, i long")
+    db = spark.createDataFrame([(*r, i) for i, r in enumerate(b)], "k int, b0 double, b1 double, j long")
+    out = J.interval_overlap(da, db, "k", ("a0", "a1"), ("b0", "b1"), width, cell_rows)
+    assert out.columns == ["k", "a0", "a1", "i", "b0", "b1", "j"]
+    assert sorted((r.i, r.j) for r in out.collect()) == _plain_overlap(a, b)
+    assert J.interval_overlap(da.limit(0), db, "k", ("a0", "a1"), ("b0", "b1"), width).count() == 0
+
+
+def test_a_long_span_is_stored_in_two_cells(spark):
+    df = spark.createDataFrame([(1, 17.3, 17.3 + 3.2e8), (2, 0.0, 3600.0), (3, 9.9, 9.9)], "k int, a0 double, a1 double")
+    own = df.withColumn("own", J._span_level("a0", "a1", 1.0))
+    held = J.span_cells(own, "a0", "a1", 1.0, F.array("own")).groupBy("k").count().collect()
+    assert all(r["count"] <= 2 for r in held) and len(held) == 3
