@@ -7,11 +7,12 @@ are not re-sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from keepsake.functions import scalars as S
 from keepsake.operators.blocks import top_n
+from keepsake.session import reliable
 
 
 def affected(df: DataFrame, where: Column) -> DataFrame:
@@ -19,6 +20,19 @@ def affected(df: DataFrame, where: Column) -> DataFrame:
     return df.filter(where).agg(F.count(F.lit(1)).alias("n_affected"))
 
 
+def write_counted(marked: DataFrame, hit: Column, delete: bool = False) -> tuple[DataFrame, int]:
+    """Write a changed table and measure in that write how many rows ``hit`` holds for; no second scan.
+
+    With ``delete`` those rows are left out of what is written. The rows are observed in the job's last stage, so a stage
+    that runs again after an executor is lost isn't counted twice.
+    """
+    seen = Observation()
+    hits = F.coalesce(hit, F.lit(False))
+    rows = marked.withColumn("_hit", hits).observe(seen, F.count_if(F.col("_hit")).alias("n"))
+    table = reliable((rows.filter(~F.col("_hit")) if delete else rows).drop("_hit"))
+    return table, seen.get["n"]
+
+
 def migrate_attrs(items: DataFrame) -> DataFrame:
     """Move attributes of everything but products into the derived column."""
     product = F.col("type") == "product"
@@ -61,6 +75,13 @@ def delete_keys(old: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return old.join(keys.select(*on), on, "left_anti")
 
 
+def delete_keys_counted(old: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
+    """``delete_keys``, written, and the number of rows that went."""
+    gone = keys.select(*on).distinct().withColumn("_gone", F.lit(True))
+    table, n = write_counted(old.join(gone, on, "left"), F.col("_gone").isNotNull(), delete=True)
+    return table.drop("_gone"), n
+
+
 def set_where(df: DataFrame, column: str, value: Column | str, where: Column) -> DataFrame:
     """Set a column on matching rows; null conditions do not match."""
     value = F.lit(value) if isinstance(value, str) else value
@@ -72,6 +93,15 @@ def bulk_set_status(items: DataFrame, status_from: str, status_to: str, domain:
     return set_where(items, "status", status_to, where if domain is None else where & (F.col("domain") == domain))
 
 
+def bulk_set_status_counted(items: DataFrame, status_from: str, status_to: str,
+                            domain: str | None = None) -> tuple[DataFrame, int]:
+    """``bulk_set_status``, written, and the number of rows that changed."""
+    where = F.col("status") == status_from
+    marked = items.withColumn("_was", where if domain is None else where & (F.col("domain") == domain))
+    table, n = write_counted(bulk_set_status(marked, status_from, status_to, domain), F.col("_was"))
+    return table.drop("_was"), n
+
+
 def inbox_batch(items: DataFrame, action: str, ids: DataFrame | None = None, domain: str | None = None,
                 category_id: int | None = None, note: str | None = None) -> DataFrame:
     """Apply one action to listed inbox rows, or to the whole inbox of a domain.
@@ -157,10 +187,20 @@ RECOVERED = "上次进程中断,已自动恢复重试"
 
 def cancel_tasks(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     """Drop open tasks of item-bound types whose payload names a removed item (``ids(id)``)."""
-    open_ = F.col("status").isin("pending", "running") & F.col("type").isin(*ITEM_TASKS)
-    key = F.when(open_, S.json_field("payload", "item_id").try_cast("long"))
     gone = ids.select(F.col("id").alias("_item")).distinct()
-    return jobs.withColumn("_item", key).join(gone, "_item", "left_anti").drop("_item")
+    return jobs.withColumn("_item", _open_item()).join(gone, "_item", "left_anti").drop("_item")
+
+
+def _open_item() -> Column:
+    open_ = F.col("status").isin("pending", "running") & F.col("type").isin(*ITEM_TASKS)
+    return F.when(open_, S.json_field("payload", "item_id").try_cast("long"))
+
+
+def cancel_tasks_counted(jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, int]:
+    """``cancel_tasks``, written, and the number of tasks that went."""
+    table, n = delete_keys_counted(jobs.withColumn("_item", _open_item()),
+                                   ids.select(F.col("id").alias("_item")), ["_item"])
+    return table.drop("_item"), n
 
 
 def delete_by_source(source_refs: DataFrame, items: DataFrame, chunks: DataFrame, vectors: DataFrame,
@@ -183,6 +223,15 @@ def purge_stale(index: DataFrame, parents: DataFrame, key: str, row_id: str) ->
     return top_n(live, [key], [F.col(row_id)], 1)
 
 
+def purge_stale_counted(index: DataFrame, parents: DataFrame, key: str, row_id: str) -> tuple[DataFrame, int]:
+    """``purge_stale``, written, and the number of index rows that went."""
+    live = parents.select(key).distinct().withColumn("_live", F.lit(True))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(row_id))
+    marked = index.join(live, key, "left").withColumn("_place", place)
+    table, n = write_counted(marked, F.col("_live").isNull() | (F.col("_place") > 1), delete=True)
+    return table.drop("_live", "_place"), n
+
+
 def bucket_schedule(ticks: DataFrame, source: str, ts: str, interval: int) -> DataFrame:
     """At most one check per source and time bucket."""
     return ticks.select(source, S.time_bucket(ts, interval).alias("bucket")).distinct()
@@ -196,6 +245,13 @@ def recover_running(jobs: DataFrame) -> DataFrame:
         "status": F.when(running, "pending").otherwise(F.col("status"))})
 
 
+def recover_running_counted(jobs: DataFrame) -> tuple[DataFrame, int]:
+    """``recover_running``, written, and the number of tasks that went back."""
+    marked = jobs.withColumn("_was", F.col("status") == "running")
+    table, n = write_counted(recover_running(marked), F.col("_was"))
+    return table.drop("_was"), n
+
+
 def append_rows(old: DataFrame, new: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Append rows; missing or null columns take the table's defaults."""
     for c, value in defaults.items():

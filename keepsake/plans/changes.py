@@ -180,14 +180,8 @@ def delete_by_source(t: Tables):
   SELECT event_id AS id FROM events WHERE NOT (event_type IN ('click', 'view') AND value > 20
     AND CAST(json_extract_string(props, '$.k') AS BIGINT) IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000))""")
 def cancel_tasks(t: Tables):
-    jobs = t.events.select(
-        F.col("event_id").alias("id"),
-        F.when(F.col("event_type") == "click", "auto_process").when(F.col("event_type") == "view", "build_links")
-        .otherwise("ingest_text").alias("type"),
-        F.when(F.col("value") > 20, "pending").otherwise("done").alias("status"),
-        F.replace(F.col("props"), F.lit('"k"'), F.lit('"item_id"')).alias("payload"))
     ids = t.supplier.filter(F.col("s_acctbal") > 4000).select(F.col("s_suppkey").alias("id"))
-    return U.cancel_tasks(jobs, ids).select("id")
+    return U.cancel_tasks(_task_table(t), ids).select("id")
 
 
 @plan("purge_stale", """
@@ -199,6 +193,64 @@ def purge_stale(t: Tables):
     return U.purge_stale(index, parents, "item_id", "row_id")
 
 
+def _counted(table, n: int, *columns):
+    """The changed table's rows summed up, next to the number of changed rows that its write has measured."""
+    return table.agg(F.lit(n).cast("long").alias("n_affected"), F.count(F.lit(1)).alias("n_rows"), *columns)
+
+
+@plan("unbind_counted", f"""WITH {M.BINDINGS_SQL}, k AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')
+  SELECT count(*) FILTER (o_custkey IS NOT NULL) AS n_affected, count(*) FILTER (o_custkey IS NULL) AS n_rows
+  FROM rules LEFT JOIN k ON o_custkey = id""")
+def unbind_counted(t: Tables):
+    gone = t.orders.filter(F.col("o_orderpriority") == "5-LOW").select(F.col("o_custkey").alias("id"))
+    return _counted(*U.delete_keys_counted(M.bindings(t).select("id", "kind", "target"), gone, ["id"]))
+
+
+@plan("bulk_set_status_counted", f"""WITH {M.ITEMS_ORDERS_SQL}
+  SELECT count(*) FILTER (status = 'inbox' AND domain = '2-HIGH') AS n_affected, count(*) AS n_rows,
+    count(*) FILTER (status = 'archived' OR status = 'inbox' AND domain = '2-HIGH') AS n_archived FROM items""")
+def bulk_set_status_counted(t: Tables):
+    changed = U.bulk_set_status_counted(M.items_orders(t).select(*_ITEMS), "inbox", "archived", "2-HIGH")
+    return _counted(*changed, F.count_if(F.col("status") == "archived").alias("n_archived"))
+
+
+def _task_table(t: Tables):
+    return t.events.select(
+        F.col("event_id").alias("id"),
+        F.when(F.col("event_type") == "click", "auto_process").when(F.col("event_type") == "view", "build_links")
+        .otherwise("ingest_text").alias("type"),
+        F.when(F.col("value") > 20, "pending").otherwise("done").alias("status"),
+        F.replace(F.col("props"), F.lit('"k"'), F.lit('"item_id"')).alias("payload"))
+
+
+@plan("cancel_tasks_counted", """
+  WITH e AS (SELECT event_type IN ('click', 'view') AND value > 20 AND CAST(json_extract_string(props, '$.k') AS BIGINT)
+    IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 4000) AS gone FROM events)
+  SELECT count(*) FILTER (gone) AS n_affected, count(*) FILTER (gone IS DISTINCT FROM true) AS n_rows FROM e""")
+def cancel_tasks_counted(t: Tables):
+    ids = t.supplier.filter(F.col("s_acctbal") > 4000).select(F.col("s_suppkey").alias("id"))
+    return _counted(*U.cancel_tasks_counted(_task_table(t), ids))
+
+
+@plan("purge_stale_counted", """
+  WITH k AS (SELECT count(DISTINCT l_orderkey) AS n FROM lineitem
+             WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
+  SELECT (SELECT count(*) FROM lineitem) - n AS n_affected, n AS n_rows FROM k""")
+def purge_stale_counted(t: Tables):
+    index = t.lineitem.select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("row_id"))
+    parents = t.orders.filter(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("item_id"))
+    return _counted(*U.purge_stale_counted(index, parents, "item_id", "row_id"))
+
+
+@plan("recover_running_counted", """
+  SELECT count(*) FILTER (o_orderstatus = 'P') AS n_affected, count(*) AS n_rows,
+    count(*) FILTER (o_orderstatus = 'P') AS n_noted FROM orders""")
+def recover_running_counted(t: Tables):
+    jobs = t.orders.select(F.col("o_orderkey").alias("id"), F.when(
+        F.col("o_orderstatus") == "P", "running").otherwise("done").alias("status"), F.lit(None).cast("string").alias("error"))
+    return _counted(*U.recover_running_counted(jobs), F.count("error").alias("n_noted"))
+
+
 @plan("bucket_schedule", "SELECT DISTINCT user_id AS source, epoch_us(ts) // 21600000000 AS bucket FROM events")
 def bucket_schedule(t: Tables):
     return U.bucket_schedule(t.events.withColumnRenamed("user_id", "source"), "source", "ts", 21600)

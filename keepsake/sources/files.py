@@ -64,6 +64,10 @@ def children_of(children: DataFrame, parents: DataFrame, key: str = "item_id", i
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """New rows replace old rows of the same id, one row for each id: an anti join, vectors are never sorted."""
-    last = new.dropDuplicates([key])
+    """New rows replace old rows of the same id, one row for each id: an anti join, old vectors are never sorted.
+
+    Of new rows with the same id the one with the largest other columns (in their order) stays.
+    """
+    rest = [c for c in new.columns if c != key]
+    last = new.groupBy(key).agg(F.max(F.struct(*rest)).alias("_row")).select(key, "_row.*")
     return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
