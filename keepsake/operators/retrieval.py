@@ -1,6 +1,8 @@
 """Vector top-k, keyword recall, rank fusion and hybrid search."""
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,8 @@ from keepsake.functions.text import strip
 from keepsake.operators.blocks import first_n, top_n
 from keepsake.operators.keyword import match_terms
 
+#: Columns that a search may be limited by.
+FILTERS = ("domain", "type", "category_id")
 #: Rows and queries that meet in one task.
 ROW_BLOCK, QUERY_BLOCK = 65_536, 8_192
 
@@ -61,15 +65,16 @@ def best_of_rows(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def knn_scan(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_id",
              vector: str = "embedding", query_id: str = "query_id", query_vector: str = "qe",
-             scope: str | None = None) -> DataFrame:
+             scope: str | list[str] | None = None) -> DataFrame:
     """The k nearest rows for every query of a query table, exact, ranked per query.
 
-    Vectors have unit length (see ``l2_normalize``), so the inner product is the cosine. With ``scope``, a column of
-    both tables, a query only sees rows of its own scope; a null scope sees all. Rows and queries are cut into blocks
+    Vectors have unit length (see ``l2_normalize``), so the inner product is the cosine. With ``scope``, one or several
+    columns of both tables, a query only sees rows that agree with it in each; a null of the query's sees all. Rows and queries are cut into blocks
     by hash, as many as their counts ask for; each block of rows meets each block of queries in one task, which
     returns its own best k per query. Nothing but the two counts reaches the driver.
     """
-    group = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
+    scopes = [scope] if isinstance(scope, str) else list(scope or [])
+    group = F.array(*[F.col(c).cast("string") for c in scopes]).cast("array<string>")
     q = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), group.alias("s")).filter(
         F.col("v").isNotNull())
     rows = vectors.select(F.col(id_).alias("i"), F.col(vector).alias("v"), group.alias("s")).filter(
@@ -90,14 +95,15 @@ def knn_scan(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "chunk_i
         if not asked.num_rows or not there.num_rows:
             return pa.table([asked["q"].slice(0, 0), there["i"].slice(0, 0), pa.array([], pa.float64())], names=names)
         ids = there["i"].to_numpy()
-        own = np.array(there["s"].to_pylist(), dtype=object)
+        own = [np.array(x, dtype=object) for x in zip(*there["s"].to_pylist())]      # one array for each scope
         m, parts = matrix(there["v"]), []
         for at in range(0, asked.num_rows, 256):       # similarity strips of bounded memory
             strip = asked.slice(at, 256)
             sims = matrix(strip["v"]) @ m.T
-            for j, s in enumerate(strip["s"].to_pylist()):
-                if s is not None:
-                    sims[j, own != s] = -np.inf
+            for j, wanted in enumerate(strip["s"].to_pylist()):
+                for held, s in zip(own, wanted):
+                    if s is not None:
+                        sims[j, held != s] = -np.inf
             row, col = best_of_rows(sims, ids, k)
             parts.append(pa.table([strip["q"].take(pa.array(row)), there["i"].take(pa.array(col)),
                                    pa.array(sims[row, col])], names=names))
@@ -137,53 +143,54 @@ def hybrid_search(chunks: DataFrame, vectors: DataFrame, items: DataFrame, queri
     """Hybrid search for a table of queries.
 
     ``chunks(chunk_id, item_id, content)``, ``vectors(chunk_id, embedding, domain)``,
-    ``items(id, domain, type, category_id)``, ``queries(query_id, query, qe, domain)`` where a
-    null ``qe`` leaves keywords only and a null ``domain`` does not filter. Per query: vector
-    top 2k within the domain, keyword top 2k (over all domains unless ``prefilter``), fusion,
-    first 2k fused, domain re-checked, first k.
+    ``items(id, domain, type)``, ``queries(query_id, query, qe, domain)`` where a null ``qe`` leaves keywords only.
+    ``queries`` may also have ``type`` and ``category_id``, which ``vectors`` and ``items`` then have too. All of them are
+    filters; a null doesn't filter. Per query: vector top 2k among the rows that pass, keyword top 2k (over all rows
+    unless ``prefilter``), fusion, first 2k fused, filters re-checked on the items, first k.
     """
     queries = queries.filter(strip(F.coalesce("query", F.lit(""))) != "")
     wide = 2 * k
-    vec = knn_scan(vectors, queries, wide, scope="domain")
-    source = chunks
+    filters = [c for c in FILTERS if c in queries.columns]
+    vec = knn_scan(vectors, queries, wide, scope=filters)
+    wanted = queries.select("query_id", *[F.col(c).alias(f"_want_{c}") for c in filters])
+    passes = reduce(and_, [F.col(f"_want_{c}").isNull() | (F.col(c) == F.col(f"_want_{c}")) for c in filters], F.lit(True))
+    shown = list(dict.fromkeys(["domain", "type", *filters]))
+    there = items.select(F.col("id").alias("item_id"), *shown)
     if prefilter:
-        source = chunks.join(items.select(F.col("id").alias("item_id"), F.col("domain").alias("_d")), "item_id")
+        source = chunks.join(there, "item_id")
         hits = match_terms(source, "chunk_id", "content", queries.select("query_id", strip("query").alias("query")),
                            "query_id", "query")
-        hits = hits.join(source.select("chunk_id", "_d"), "chunk_id").join(
-            queries.select("query_id", "domain"), "query_id").filter(
-            F.col("domain").isNull() | (F.col("domain") == F.col("_d")))
+        hits = hits.join(source.select("chunk_id", *shown), "chunk_id").join(wanted, "query_id").filter(passes)
         kw = top_n(hits.select("query_id", "chunk_id"), ["query_id"], [F.col("chunk_id")], wide, "rank")
     else:
-        kw = keyword_batch(source, queries, wide)
+        kw = keyword_batch(chunks, queries, wide)
     order = [F.desc("score"), F.col("_list"), F.col("chunk_id")]
     fused = top_n(fuse([vec, kw], ["query_id"]), ["query_id"], order, wide, "_fused")
-    rows = (fused.join(chunks.select("chunk_id", "item_id"), "chunk_id")
-            .join(items.select(F.col("id").alias("item_id"), "domain", "type"), "item_id")
-            .join(queries.select("query_id", F.col("domain").alias("_want")), "query_id")
-            .filter(F.col("_want").isNull() | (F.col("domain") == F.col("_want"))))
+    rows = (fused.join(chunks.select("chunk_id", "item_id"), "chunk_id").join(there, "item_id")
+            .join(wanted, "query_id").filter(passes))
     return top_n(rows, ["query_id"], order, k, "rank").select(
         "query_id", "rank", "chunk_id", "item_id", "domain", "type", F.round("score", 6).alias("score"))
 
 
 def hybrid_search_one(chunks: DataFrame, vectors: DataFrame, items: DataFrame, query: str, vector: DataFrame | None,
-                      k: int = 8, domain: str | None = None) -> DataFrame:
+                      k: int = 8, domain: str | None = None, type: str | None = None,
+                      category_id: int | None = None) -> DataFrame:
     """Hybrid search for one query text and its vector (one row, column ``qe``; None leaves keywords only).
 
-    Same result as ``hybrid_search``: two top-2k scans, fused over at most 4k rows.
+    Same result as ``hybrid_search``: two top-2k scans, fused over at most 4k rows. The filters are columns of
+    ``vectors`` and ``items`` and reach the scan of the vectors.
     """
     wide = 2 * k
+    filters = {c: v for c, v in zip(FILTERS, (domain, type, category_id)) if v is not None}
+    passes = reduce(and_, [F.col(c) == v for c, v in filters.items()], F.lit(True))
     lists = [keyword_topk(chunks, query, wide)]
     if vector is not None:
-        where = None if domain is None else F.col("domain") == domain
-        lists.insert(0, vector_topk(vectors, vector.select("qe"), wide, where).select("chunk_id", "rank"))
+        lists.insert(0, vector_topk(vectors, vector.select("qe"), wide, passes).select("chunk_id", "rank"))
     order = [F.desc("score"), F.col("_list"), F.col("chunk_id")]
     # the list number keeps its place when the vector list is missing
     fused = first_n(fuse(lists, []), order, wide, "_fused")
     near = chunks.select("chunk_id", "item_id").join(F.broadcast(fused), "chunk_id")       # 2k rows
-    rows = items.select(F.col("id").alias("item_id"), "domain", "type").join(F.broadcast(near), "item_id")
-    if domain is not None:
-        rows = rows.filter(F.col("domain") == domain)
+    rows = items.filter(passes).select(F.col("id").alias("item_id"), "domain", "type").join(F.broadcast(near), "item_id")
     return first_n(rows, order, k, "rank").select(
         "rank", "chunk_id", "item_id", "domain", "type", F.round("score", 6).alias("score"))
 

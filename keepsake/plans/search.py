@@ -104,6 +104,62 @@ def hybrid_search_batch(t: Tables):
     return Q.hybrid_search(chunk_table(t), doc_vectors(t), item_table(t), batch_queries(t), 8)
 
 
+def _typed_sql(queries: str, k: int, out: str) -> str:
+    """As ``_hybrid_sql`` with three filters; the category of a document is its length modulo 4."""
+    ok = " AND ".join(f"(queries.{c} IS NULL OR {{0}}.{c} = queries.{c})" for c in Q.FILTERS)
+    return f"""WITH d AS (SELECT doc_id, text, lang AS domain, source AS type, n_chars % 4 AS category_id FROM documents),
+  v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS e, d.* FROM embeddings LEFT JOIN d ON doc_id = vec_id),
+  queries AS ({queries}),
+  vh AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id
+      ORDER BY list_dot_product(v.e, queries.qe) DESC, chunk_id) AS rank FROM queries JOIN v
+      ON {ok.format("v")} WHERE qe IS NOT NULL),
+  kh AS (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank
+    FROM queries JOIN d ON contains(lower(text), lower(trim(query)))),
+  f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(l) AS l FROM (
+      SELECT *, 0 AS l FROM vh WHERE rank <= {2 * k} UNION ALL SELECT *, 1 FROM kh WHERE rank <= {2 * k}) GROUP BY 1, 2),
+  f2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, chunk_id) AS r FROM f),
+  j AS (SELECT f2.query_id, f2.chunk_id, f2.score, f2.l, d.domain, d.type FROM f2
+    JOIN d ON d.doc_id = f2.chunk_id JOIN queries USING (query_id) WHERE r <= {2 * k} AND {ok.format("d")}),
+  h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l, chunk_id) AS rank FROM j)
+  {out} WHERE rank <= {k}"""
+
+
+_TYPED = """SELECT b.item_id AS query_id, b.text AS query, e.embedding::DOUBLE[] AS qe,
+    CASE b.item_id % 3 WHEN 0 THEN 'en' END AS domain, CASE b.item_id % 4 WHEN 1 THEN 'src' || (b.item_id % 20) END AS type,
+    CASE b.item_id % 2 WHEN 0 THEN b.item_id % 4 END AS category_id
+  FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id"""
+
+
+def typed_items(t: Tables):
+    return t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), F.col("source").alias("type"),
+                              (F.col("n_chars") % 4).alias("category_id"))
+
+
+def typed_vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("id"), "embedding").join(typed_items(t), "id", "left").withColumnRenamed(
+        "id", "chunk_id")
+
+
+@plan("hybrid_search_batch_typed", _typed_sql(_TYPED, 8, _HITS))
+def hybrid_search_batch_typed(t: Tables):
+    i = F.col("item_id")
+    asked = t.benchmark.join(t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qe")),
+                             "item_id", "left").select(
+        i.alias("query_id"), F.col("text").alias("query"), "qe", F.when(i % 3 == 0, "en").alias("domain"),
+        F.when(i % 4 == 1, F.concat(F.lit("src"), (i % 20).cast("string"))).alias("type"),
+        F.when(i % 2 == 0, i % 4).alias("category_id"))
+    return Q.hybrid_search(chunk_table(t), typed_vectors(t), typed_items(t), asked, 8)
+
+
+_TYPED_ONE = """SELECT 0 AS query_id, 'the' AS query, embedding::DOUBLE[] AS qe, 'en' AS domain, 'src0' AS type,
+    2 AS category_id FROM embeddings WHERE vec_id = 0"""
+
+
+@plan("hybrid_search_typed", _typed_sql(_TYPED_ONE, 8, _HITS.replace("query_id, ", "")))
+def hybrid_search_typed(t: Tables):
+    return Q.hybrid_search_one(chunk_table(t), typed_vectors(t), typed_items(t), "the", one_query(t, 0), 8, "en", "src0", 2)
+
+
 _SINGLE = "SELECT 0 AS query_id, 'the' AS query, embedding::DOUBLE[] AS qe, 'en' AS domain FROM embeddings WHERE vec_id = 0"
 
 
