@@ -243,6 +243,16 @@ def except_known(t: Tables):
         F.col("l_partkey").alias("key")).join(old, "key", "left_anti").distinct()
 
 
+@plan("except_known_whole", """
+  SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01'
+  EXCEPT SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'""")
+def except_known_whole(t: Tables):
+    """``except_known`` with one boundary: every line is known or new."""
+    known = F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz")
+    return t.lineitem.groupBy(F.col("l_partkey").alias("key")).agg(F.bool_or(known).alias("known")).filter(
+        "NOT known").select("key")
+
+
 @plan("win_median_step", f"""WITH {M.SERIES_SQL}
   SELECT series_id, round(quantile_cont(d, 0.5), 3) AS step FROM (
     SELECT series_id, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts, id) AS d FROM series)

@@ -169,16 +169,62 @@ def src_incremental_list(t: Tables):
     return unseen.select("key", "src", "first_run")
 
 
-def _listing(t: Tables):
+def _listing(t: Tables, known_before: str = "1997-01-01", listed_from: str = "2000-01-01"):
     o = t.orders
-    known = o.filter(F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")).select(
+    known = o.filter(F.col("o_orderdate") < F.lit(known_before).cast("timestamp_ntz")).select(
         F.col("o_custkey").alias("key"))
-    listing = o.filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).select(
+    listing = o.filter(F.col("o_orderdate") >= F.lit(listed_from).cast("timestamp_ntz")).select(
         F.col("o_orderpriority").alias("src"), F.col("o_custkey").alias("key")).distinct().withColumn(
         "first_run", F.col("src").isin("1-URGENT", "5-LOW"))
     return listing, known
 
 
+#: One date parts what is known from what is listed, so that every order is on one side.
+BOUNDARY = "1996-01-01"
+_WHOLE_SQL = f"""WITH known AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderdate < TIMESTAMP '{BOUNDARY}'),
+  rows AS (SELECT o_orderpriority AS src, o_custkey AS key, o_orderstatus AS type FROM orders
+           WHERE o_orderdate >= TIMESTAMP '{BOUNDARY}'),
+  u AS (SELECT key, min(src) AS src FROM rows WHERE key NOT IN (SELECT key FROM known) GROUP BY key)"""
+
+
+@plan("src_incremental_list_whole", f"{_WHOLE_SQL} SELECT key, src, src IN ('1-URGENT', '5-LOW') AS first_run FROM u")
+def src_incremental_list_whole(t: Tables):
+    unseen, _ = C.listing_report(*_listing(t, BOUNDARY, BOUNDARY), "src", "key", "first_run")
+    return unseen.select("key", "src", "first_run")
+
+
+@plan("source_check_report_whole", f"""{_WHOLE_SQL}
+  SELECT src, count(DISTINCT key) AS total,
+    (SELECT count(*) FROM u WHERE u.src = rows.src AND rows.src NOT IN ('1-URGENT', '5-LOW')) AS new,
+    (SELECT count(*) FROM u WHERE u.src = rows.src AND rows.src IN ('1-URGENT', '5-LOW')) AS seeded
+  FROM rows GROUP BY src""")
+def source_check_report_whole(t: Tables):
+    _, report = C.listing_report(*_listing(t, BOUNDARY, BOUNDARY), "src", "key", "first_run")
+    return report.select("src", "total", "new", "seeded")
+
+
+@plan("seed_history_whole", f"""{_WHOLE_SQL}
+  SELECT key, 'done' AS status FROM known
+  UNION ALL SELECT key, CASE WHEN src IN ('1-URGENT', '5-LOW') THEN 'done' ELSE 'pending' END FROM u""")
+def seed_history_whole(t: Tables):
+    listing, known = _listing(t, BOUNDARY, BOUNDARY)
+    unseen, _ = C.listing_report(listing, known, "src", "key", "first_run")
+    return C.register_seen(known.distinct().withColumn("status", F.lit("done")), unseen, "key", "first_run")
+
+
+@plan("listing_totals", f"""{_WHOLE_SQL},
+  n AS (SELECT src, count(*) AS new FROM (SELECT key, min(src) AS src FROM rows WHERE type <> 'O'
+        AND key NOT IN (SELECT key FROM known) GROUP BY key) GROUP BY src)
+  SELECT rows.src, count(*) AS total, count(*) FILTER (type = 'O') AS skipped, coalesce(max(n.new), 0) AS new,
+    count(*) FILTER (type <> 'O') - coalesce(max(n.new), 0) AS existed
+  FROM rows LEFT JOIN n ON n.src = rows.src GROUP BY rows.src""")
+def listing_totals(t: Tables):
+    new = F.col("o_orderdate") >= F.lit(BOUNDARY).cast("timestamp_ntz")
+    named = t.orders.select(F.col("o_orderpriority").alias("src"), F.col("o_custkey").alias("key"),
+                            F.col("o_orderstatus").alias("type"), new.alias("listed"))
+    return C.listing_totals(named.filter("listed"), named.filter("NOT listed"), "src", "key", F.col("type") != "O")
+
+
 @plan("source_check_report", """
   WITH known AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'),
   listing AS (SELECT DISTINCT o_orderpriority AS src, o_custkey AS key FROM orders

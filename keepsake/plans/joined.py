@@ -107,6 +107,16 @@ def anti_seen(t: Tables):
     return new.join(seen, "key", "left_anti").distinct()
 
 
+@plan("anti_seen_whole", """
+  SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'
+  AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')""")
+def anti_seen_whole(t: Tables):
+    """``anti_seen`` with one boundary: every order is known or new. Keys are summed up before they are compared."""
+    known = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")
+    return t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.bool_or(known).alias("known")).filter(
+        "NOT known").select("key")
+
+
 #: Event spans used by the interval joins: an event lasts as many minutes as its ``k``.
 SPANS_SQL = f"""{M.SERIES_SQL}, spans AS (
   SELECT series_id, id, s.ts AS a0, s.ts + CAST(json_extract_string(e.props, '$.k') AS DOUBLE) * 60.0::DOUBLE AS a1,

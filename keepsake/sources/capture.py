@@ -169,6 +169,20 @@ def listing_report(listing: DataFrame, known: DataFrame, source: str, key: str,
     return unseen, report
 
 
+def listing_totals(listing: DataFrame, known: DataFrame, source: str, key: str, accepted: Column) -> DataFrame:
+    """Per source: all listed rows (``total``), those of another type or without key (``skipped``), ``new`` and ``existed``.
+
+    Rows are listings as they come, also repeated ones. A key is new once, for the smallest source that lists it; again
+    in the same or another source, or among ``known``, it exists.
+    """
+    taken = F.coalesce(accepted, F.lit(False)) & F.col(key).isNotNull()
+    totals = listing.groupBy(source).agg(F.count(F.lit(1)).alias("total"), F.count_if(~taken).alias("skipped"))
+    first = listing.filter(taken).groupBy(key).agg(F.min(source).alias(source))
+    new = first.join(known.select(key).distinct(), key, "left_anti").groupBy(source).agg(F.count(F.lit(1)).alias("new"))
+    return totals.join(new, source, "left").na.fill(0, ["new"]).withColumn(
+        "existed", F.col("total") - F.col("skipped") - F.col("new")).select(source, "total", "skipped", "new", "existed")
+
+
 def register_seen(known: DataFrame, unseen: DataFrame, key: str, first_run: str) -> DataFrame:
     """The key registry after a check: seeded keys are done, new keys are pending."""
     added = unseen.select(key, F.when(F.col(first_run), "done").otherwise("pending").alias("status"))
