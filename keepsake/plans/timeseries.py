@@ -393,7 +393,34 @@ def merge_segments(t: Tables):
                             F.floor(F.col("start_s") / HOUR))
 
 
-@plan("visual_event_frames")
+#: Greedy spacing and filling as recursions: one step takes the next point of every series.
+_FRAMES_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, {SETTLE_SQL},
+  pt AS (SELECT e.series_id, least(greatest(e.start_s + 0.3::DOUBLE, s.first_ts), s.last_ts) AS t
+         FROM ev e JOIN stats s ON s.series_id = e.series_id
+         UNION SELECT series_id, (lo + hi) / 2 FROM settle),
+  kp AS (SELECT series_id, min(t) AS t FROM pt GROUP BY 1
+         UNION ALL SELECT kp.series_id, min(pt.t) FROM kp JOIN pt ON pt.series_id = kp.series_id AND pt.t - kp.t >= {HOUR}
+         GROUP BY 1),
+  few AS (SELECT s.series_id, s.n FROM stats s LEFT JOIN (SELECT series_id, count(*) AS c FROM kp GROUP BY 1) k
+          ON k.series_id = s.series_id WHERE coalesce(c, 0) < 10),
+  ix AS (SELECT series_id, ts, row_number() OVER (PARTITION BY series_id ORDER BY ts, id) - 1 AS i,
+           count(*) OVER (PARTITION BY series_id) / 40.0::DOUBLE AS stride FROM series),
+  fl AS (SELECT series_id, list(ts ORDER BY ts) AS f FROM (SELECT *, ceil(i / stride) AS m FROM ix)
+         WHERE (m < 40 AND floor(m * stride) = i OR floor((m - 1) * stride) = i)
+           AND series_id IN (SELECT series_id FROM few) GROUP BY 1),
+  fill AS (SELECT series_id, f, 1 AS j, coalesce((SELECT list(t) FROM kp WHERE kp.series_id = fl.series_id), []) AS acc FROM fl
+           UNION ALL SELECT series_id, f, j + 1, CASE WHEN len(list_filter(acc, lambda x: abs(f[j] - x) < {HOUR})) = 0
+             THEN list_append(acc, f[j]) ELSE acc END FROM fill WHERE j <= len(f)),
+  fr AS (SELECT series_id, t FROM kp WHERE series_id NOT IN (SELECT series_id FROM few)
+         UNION ALL SELECT series_id, unnest(acc) FROM fill WHERE j = len(f) + 1),
+  nr AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i,
+           count(*) OVER (PARTITION BY series_id) AS n FROM fr)
+  SELECT series_id, round_even(t, 2) AS t FROM nr WHERE n <= 40
+    OR round_even(floor(i * 39.0::DOUBLE / (n - 1)) * (n - 1) / 39.0::DOUBLE, 0) = i
+    OR round_even(ceil(i * 39.0::DOUBLE / (n - 1)) * (n - 1) / 39.0::DOUBLE, 0) = i"""
+
+
+@plan("visual_event_frames", _FRAMES_SQL)
 def visual_event_frames(t: Tables):
     return R.visual_event_frames(M.series(t), settle_of(t), "series_id", 40, 0.3, HOUR, QUIET, DAY)
 
