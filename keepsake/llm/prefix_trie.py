@@ -38,6 +38,7 @@ SHARED_TURNS = 4
 HOSTS = 20
 NAME = 16       # bytes of a turn's name
 IDS_A_ROW = 256
+ROWS_A_BATCH = 1 << 16
 _EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -413,22 +414,35 @@ def _units(copies: DataFrame) -> DataFrame:
 def _spelled(chains: DataFrame) -> DataFrame:
     """The nodes of the chains: one row for each turn of a sequence from ``from`` on."""
 
+    def nodes(rows: list[dict], depths: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
+        n = [len(d) for d in depths]
+        spread = lambda name: np.repeat(np.array([r[name] or 0 for r in rows], np.int64), n)     # noqa: E731
+        depth, unit = np.concatenate(depths), spread("unit")
+        first, last = depth == spread("from"), depth == spread("length")
+        known = np.repeat([r["parent"] is not None for r in rows], n)
+        keys = pa.array([r["parent_key"] for r in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([
+            pa.array(unit), pa.array(depth), pa.array(np.where(first, spread("parent"), unit), mask=first & ~known),
+            keys.take(pa.array(np.repeat(np.arange(len(rows)), n), mask=~first)), pa.array(spread("members")),
+            pa.array(np.where(last, 0, 1)), pa.array(np.ones(len(depth), np.int64)),
+            pa.array((spread("members") - 1) * (spread("total") - np.concatenate(sums))), pa.array(unit, mask=~last)],
+            ["conv", "depth", "parent", "parent_key", "members", "children", "leaves", "saved", "unit"])
+
     def run(batches):
         for batch in batches:
+            rows, depths, sums, held = [], [], [], 0
             for r in batch.to_pylist():
                 base = r["seg"] * r["size"]
-                cum = np.cumsum([r["before"], *r["words"]])
-                depth = np.arange(max(r["from"], base + 1), base + len(r["words"]) + 1)
-                n = len(depth)
-                first, last = depth == r["from"], depth == r["length"]
-                unit = np.full(n, r["unit"])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(unit), pa.array(depth),
-                    pa.array(unit, mask=first) if r["parent"] is None else pa.array(np.where(first, r["parent"], unit)),
-                    pa.array([r["parent_key"] if f else None for f in first], pa.binary()),
-                    pa.array(np.full(n, r["members"])), pa.array(np.where(last, 0, 1)), pa.array(np.ones(n, np.int64)),
-                    pa.array((r["members"] - 1) * (r["total"] - cum[depth - 1 - base])), pa.array(unit, mask=~last)],
-                    ["conv", "depth", "parent", "parent_key", "members", "children", "leaves", "saved", "unit"])
+                low, high = max(r["from"], base + 1), base + len(r["words"])
+                rows.append(r)
+                depths.append(np.arange(low, high + 1))
+                sums.append(np.cumsum([r["before"], *r["words"]])[low - 1 - base:high - base])
+                held += len(depths[-1])
+                if held > ROWS_A_BATCH:
+                    yield nodes(rows, depths, sums)
+                    rows, depths, sums, held = [], [], [], 0
+            if rows:
+                yield nodes(rows, depths, sums)
 
     return chains.mapInArrow(run, "conv long, depth long, parent long, parent_key binary, members long, children long,"
                                   " leaves long, saved long, unit long")
