@@ -19,7 +19,7 @@ HEADLINE = (
     "hybrid_search", "hybrid_search_batch", "keyword_topk", "vector_topk", "build_links", "links_read",
     "detect_events", "detect_settle", "series_percentiles", "ad_segments", "merge_segments", "chunk_text",
     "interval_overlap", "asof_settle", "list_items", "timeline", "item_with_chunks", "route_decision",
-    "category_dedupe", "context_assembly", "integrity_report",
+    "category_dedupe", "context_assembly", "search_context", "integrity_report",
 )
 
 REPEATS = 3
