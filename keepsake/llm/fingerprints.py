@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keepsake.llm import kernels as K
-from keepsake.llm.ranks import shared_write, with_next
 
 #: the idf band: ln(COMMON) .. ln(RARE)
 COMMON, RARE = 10.0, 2000.0
@@ -150,62 +149,105 @@ def fingerprint(docs: DataFrame, terms: np.ndarray, id: str = "doc_id", text: st
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
 
 
-def likeness(a: str, b: str):
-    """Column: share of equal subset hashes (two bytes each) of two binary fingerprints of one length."""
-    parts = F.sequence(F.lit(1), F.octet_length(a), F.lit(2))
-    same = F.aggregate(parts, F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(2)) == F.substring(
-        b, i, F.lit(2))).cast("int"))
-    return same / F.size(parts)
+def _cell(bounds: list[int], key: str, inclusive: bool = True):
+    """Column: how many of the sorted ``bounds`` are at most (or below) ``key``, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    values, steps = F.lit(bounds).cast("array<long>"), [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
+    def step(at, width):
+        bound = F.get(values, at + width - 1)
+        below = bound <= F.col(key) if inclusive else bound < F.col(key)
+        return F.when(F.coalesce(below, F.lit(False)), at + width).otherwise(at)
 
-def with_edits(docs: DataFrame, share: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_key, _next, text, head``: each row with the start of the next document, as much as its edit needs.
+    return F.aggregate(F.lit(steps), F.lit(0), step)
 
-    The next document is the one with the next larger id (after the last: the first; null ids come before all). If
-    several rows have that id, the smallest start is taken.
+
+def _closing_keys(cells: list, bounds: list[int]) -> list[tuple[int, int]]:
+    """(cell, key): the id that follows the largest id of every cell, after the last the first one.
+
+    ``cells`` are ``(cell, least, most, beyond)`` in order; an id that fills several cells is dealt into all of them.
+    """
+    closing = []
+    for i, (cell, least, _, beyond) in enumerate(cells):
+        after = cells[(i + 1) % len(cells)][1]
+        closing.append((cell, after))
+        lots = bounds.count(least) if cell and bounds[cell - 1] == least else 1
+        closing += [(cell - k, after if beyond is None else beyond) for k in range(1, lots)]
+    return closing
+
+
+def beside_next(docs: DataFrame, id: str = "doc_id", text: str = "text", cells: int | None = None) -> DataFrame:
+    """``_cell, _edge, _key, text``: all rows in descending order of id inside cells, so that the next document is met first.
+
+    Ids are cut into ``cells`` ranges at quantiles (four for each shuffle partition, 4,096 at most), so the rows are
+    shuffled once. Every cell begins with a copy of the row that follows its largest id (``_edge``). An id with more
+    rows than a cell holds is dealt into several. Rows of one id are ordered by text, descending; null ids come below
+    all others.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_key"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    need = rows.groupBy("_key").agg(F.max(F.floor(F.length("text") / share)).cast("int").alias("_need"))
-    chain = shared_write(need.join(with_next(need, "_key"), "_key").withColumnRenamed("next", "_next"))
-    wanted = chain.select(F.col("_next").alias("_key"), F.col("_key").alias("_before"), "_need")
-    heads = (rows.join(wanted, "_key").select("_before", F.substring("text", F.lit(1), F.col("_need")).alias("head"))
-             .groupBy("_before").agg(F.min("head").alias("head")).withColumnRenamed("_before", "_key"))
-    return rows.join(heads, "_key").join(chain.select("_key", "_next"), "_key")
+    cells = cells or min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = [i / cells for i in range(1, cells)]
+    bounds = list(rows.agg(F.percentile_approx("_key", shares, 10 * cells)).first()[0] or []) if shares else []
+    cell, first = _cell(bounds, "_key"), _cell(bounds, "_key", inclusive=False)
+    bound = F.get(F.lit(bounds).cast("array<long>"), F.col("_cell") - 1) if bounds else F.lit(None).cast("long")
+    held = rows.select("_key", cell.alias("_cell")).groupBy("_cell").agg(
+        F.min("_key").alias("least"), F.max("_key").alias("most"),
+        F.min(F.when(F.col("_key") > bound, F.col("_key"))).alias("beyond")).orderBy("_cell").collect()
+    closing = _closing_keys([tuple(r) for r in held], bounds)
+    ends = spark.createDataFrame(closing, "_cell int, _key long")
+    edges = (rows.filter(F.col("_key").isin(sorted({k for _, k in closing}))).groupBy("_key")
+             .agg(F.min("text").alias("text")).join(F.broadcast(ends), "_key")
+             .select("_cell", F.lit(True).alias("_edge"), "_key", "text"))
+    lot = F.pmod(F.xxhash64("text"), F.greatest(F.col("_to") - F.col("_from"), F.lit(1))).cast("int")
+    placed = rows.withColumns({"_to": cell, "_from": first}).select(
+        (F.col("_to") - lot).alias("_cell"), F.lit(False).alias("_edge"), "_key", "text")
+    order = [F.col("_cell"), *[F.col(c).desc() for c in ("_edge", "_key", "text")]]
+    return placed.unionByName(edges).repartition("_cell").sortWithinPartitions(*order)
 
 
 def edit_robustness(docs: DataFrame, share: int = 4, id: str = "doc_id", text: str = "text", subsets: int = SUBSETS,
-                    common: float = COMMON, rare: float = RARE) -> DataFrame:
+                    common: float = COMMON, rare: float = RARE, cells: int | None = None) -> DataFrame:
     """Fingerprints of all texts and of their edited forms (the last 1/``share`` replaced by the next document's start).
 
-    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; ties, nulls and empty
-    tables as in ``fingerprint`` and ``with_edits``.
+    ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. The next document is the
+    one with the next larger id (after the last: the first; null ids, all one id, come before all; ids are read as
+    long). If several rows have that id, the one with the smallest text is taken. Null texts are empty; repeated rows
+    come back each; a text of any length is read whole, one at a time; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text, common, rare))
-    edits = with_edits(docs, share, id, text)
 
     def run(batches):
+        # the row before, and the text and fingerprint of the id that follows its id
+        place, before, after = None, None, None
         for batch in batches:
             for part in K.slices(batch, "text"):
-                texts, heads = part.column("text").to_pylist(), part.column("head").to_pylist()
-                cut = [len(t) // share for t in texts]
-                edited = [t[:len(t) - k] + h[:k] for t, h, k in zip(texts, heads, cut)]
+                texts = part.column("text").to_pylist()
                 own = subset_hashes(*K.text_bytes(part.column("text")), shared.value, subsets)
+                edited, beside = [], np.empty_like(own)
+                places = list(zip(*[part.column(c).to_pylist() for c in ("_cell", "_edge", "_key")]))
+                for i, here in enumerate(places):
+                    if here != place:
+                        after = before if place and here[0] == place[0] else None
+                        place = here
+                    before = texts[i], own[i].copy()
+                    cut = len(texts[i]) // share
+                    follows, beside[i] = after if after else before
+                    edited.append(texts[i][:len(texts[i]) - cut] + follows[:cut])
                 new = subset_hashes(*K.text_bytes(pa.array(edited, pa.string())), shared.value, subsets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_key"), part.column("_next"), pa.array([len(t) for t in texts], pa.int64()),
-                     pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
-                     pa.array([m.tobytes() for m in own.astype(">u2")], pa.binary()),
-                     pa.array([m.tobytes() for m in new.astype(">u2")], pa.binary()), pa.array((own == new).mean(1))],
-                    ["_key", "_next", "n_chars", "sha", "own", "new", "near_edited"])
-
-    # fingerprints stay binary until the neighbours have met
-    marked = shared_write(edits.select("_key", "_next", "text", "head").mapInArrow(
-        run, "_key long, _next long, n_chars long, sha binary, own binary, new binary, near_edited double"))
-    after = marked.groupBy(F.col("_key").alias("_next")).agg(F.min("own").alias("after"))
+                    [part.column("_key"), pa.array([len(t) for t in texts], pa.int64()),
+                     pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
+                     pa.array(hex_text(own), pa.string()), pa.array(hex_text(new), pa.string()),
+                     pa.array((own == new).mean(1)), pa.array((own == beside).mean(1))],
+                    ["_key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+                     "near_next"]).filter(pa.array([not edge for _, edge, _ in places]))
+
+    marked = beside_next(docs, id, text, cells).mapInArrow(
+        run, "_key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+             "near_edited double, near_next double")
     kind = dict(docs.dtypes)[id]
-    text_of = lambda c: F.lower(F.hex(c))
-    return marked.join(after, "_next").select(
-        F.when(F.col("_key") != NO_ID, F.col("_key")).cast(kind).alias("doc_id"), "n_chars",
-        text_of("sha").alias("edited_sha256"), text_of("own").alias("fingerprint"),
-        text_of("new").alias("edited_fingerprint"), "near_edited", likeness("own", "after").alias("near_next"))
+    return marked.select(F.when(F.col("_key") != NO_ID, F.col("_key")).cast(kind).alias("doc_id"), "n_chars",
+                         "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -455,6 +455,31 @@ def test_fingerprints_odd_rows(spark, odd, empty):
     assert r["edited_sha256"] == plain.sha("abcdefab") and r["near_next"] == 1.0
 
 
+def test_next_documents_across_cells_and_filled_by_one_id(spark):
+    """Cut at many places, with an id that holds a third of all rows, next documents are those of a plain pass."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), f"text {k} " + "ab " * int(k % 7)) for k in rng.choice(10**6, 150, replace=False)]
+    rows += [(500_000, f"copy {i} of one id") for i in range(80)] + [(None, f"no id {i}") for i in range(70)]
+    docs = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "doc_id long, text string")
+    low = min(i for i, _ in rows if i is not None) - 1
+    least = {}
+    for i, t in rows:
+        k = low if i is None else i
+        least[k] = min(least.get(k, t), t)
+    ids = sorted(least)
+    after = dict(zip(ids, ids[1:] + ids[:1]))
+    want = []
+    for i, t in rows:
+        cut = len(t) // 4
+        want.append((str(i), len(t), plain.sha(t[:len(t) - cut] + least[after[low if i is None else i]][:cut])))
+    for cells in (1, 3, 40, 500):
+        got = fingerprints.edit_robustness(docs, cells=cells).collect()
+        assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+    largest = (fingerprints.beside_next(docs, cells=40).filter("NOT _edge").groupBy("_cell").count()
+               .agg({"count": "max"}).first()[0])
+    assert largest < 40
+
+
 def test_document_frequencies(spark, documents):
     import collections
     want = collections.Counter(w for t in texts_of(documents).values() for w in set(plain.words(t)))
