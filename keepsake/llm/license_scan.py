@@ -1,10 +1,11 @@
 """License scan by diagonal voting.
 
 The hashes of all rolling word pairs of every text are joined in Spark with the positions they have in the templates.
-A hit at text word ``p`` and template word ``q`` votes for the diagonal ``p - q``. Votes are counted for each document,
+A hit at text word ``p`` and template word ``q`` votes for the diagonal ``p - q``. Votes are gathered for each document,
 template and diagonal; a diagonal with every vote of its template is the template word for word. Longer templates may
 be changed a little: their diagonals with several votes are merged with neighbours (an inserted or missing word shifts
-the rest), and a merged span counts once enough of the template lies in it in about the right length.
+the rest). A merged span is then verified: enough distinct positions of the template must stand in it in their order,
+within about the right length. A part that is repeated counts once.
 
 One scan; only templates (a fixed list) are broadcast. Votes are summed before the shuffle, and a document's votes are
 bounded by its length.
@@ -12,6 +13,8 @@ bounded by its length.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +25,8 @@ from keepsake.llm import kernels as K
 GRAM = 2
 #: diagonals that an edit may lie apart, share of a template that must be found, and how much longer a span may be
 SLACK, COVERED, STRETCH = 3, 0.7, 1.5
+#: word pairs a template may have; the positions found are bits of a number
+MOST_PAIRS = 63
 
 # Phrases that are counted wherever they stand, and their labels.
 PHRASES = (
@@ -61,6 +66,8 @@ def template_positions(spark, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     rows = []
     for number, (text, label) in enumerate([*phrases, *notices]):
         hashes = K.signed(_pairs(text)).tolist()
+        if len(hashes) > MOST_PAIRS:
+            raise ValueError(f"a template has {MOST_PAIRS + GRAM - 1} words at most; cut it into several")
         rows += [(h, number, number < len(phrases), label, q, len(hashes)) for q, h in enumerate(hashes)]
     return spark.createDataFrame(rows, "h long, template int, exact boolean, label string, q int, n_votes int")
 
@@ -93,8 +100,9 @@ def _rolling(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 def diagonal_votes(docs: DataFrame, id: str = "doc_id", text: str = "text", phrases=PHRASES,
                    notices=NOTICES) -> DataFrame:
-    """(row, doc_id, n_words, template, exact, label, n_votes, diagonal, votes, first_q, last_q).
+    """(row, doc_id, n_words, template, exact, label, n_votes, diagonal, votes, places).
 
+    ``places`` has a bit for each template position that voted.
     A document without any vote keeps one row with null template.
     """
     templates = template_positions(docs.sparkSession, phrases, notices)
@@ -105,13 +113,53 @@ def diagonal_votes(docs: DataFrame, id: str = "doc_id", text: str = "text", phra
         F.when(~filler, F.col(c)).alias(c) for c in ("template", "exact", "label", "n_votes", "q")],
         F.when(~filler, F.col("p") - 1 - F.col("q")).alias("diagonal"))
     return named.groupBy("row", "doc_id", "n_words", "template", "exact", "label", "n_votes", "diagonal").agg(
-        F.count("q").alias("votes"), F.min("q").alias("first_q"), F.max("q").alias("last_q"))
+        F.count("q").alias("votes"),
+        F.bit_or(F.expr("shiftleft(1L, q)")).alias("places"))
+
+
+def _ascending(places: np.ndarray) -> tuple[int, int]:
+    """Length of the longest run of ascending template positions that begins with the first (p, q), and its last p."""
+    (start, least), tails, ends = places[0], [], []
+    k = 1
+    while k < len(places):
+        p, new = places[k][0], []
+        while k < len(places) and places[k][0] == p:        # one text position holds one template position
+            if places[k][1] > least and p > start:
+                new.append(places[k][1])
+            k += 1
+        for q in sorted(new, reverse=True):
+            at = bisect_left(tails, q)
+            tails[at:at + 1], ends[at:at + 1] = [q], [p] if at == len(ends) else [ends[at]]
+    return 1 + len(tails), ends[-1] if ends else start
+
+
+def verified_places(diagonals: list[tuple[int, int]], n_votes: int) -> list[tuple[int, int, float]]:
+    """(start, end, covered) of the places in one span of ``(diagonal, places)`` that hold enough of a template in order.
+
+    Places don't overlap: the one with most of the template comes first, then the best of what is left beside it.
+    """
+    places = np.array(sorted((d + q, q) for d, mask in diagonals for q in range(n_votes) if mask >> q & 1))
+    text, width = places[:, 0], int((n_votes + GRAM - 1) * STRETCH) - GRAM
+    need = COVERED * n_votes - 1e-9
+    found = []
+    for i in range(len(places)):
+        to = int(np.searchsorted(text, text[i] + width, side="right"))
+        if to - i >= need:
+            size, last = _ascending(places[i:to].tolist())
+            if size >= need:
+                found.append((-size, int(text[i]), int(last) + GRAM))
+    kept: list[tuple[int, int, float]] = []
+    for size, start, end in sorted(found):
+        if all(end <= a or start >= b for a, b, _ in kept):
+            kept.append((start, end, min(1.0, -size / n_votes)))
+    return sorted(kept)
 
 
 def license_spans(votes: DataFrame) -> DataFrame:
     """Verified places (row, doc_id, n_words, exact, label, start, end, covered), words from 0, end excluded.
 
-    Rows without a place keep one row with null label; ``covered`` is then the best share of a template that was found.
+    Rows without a place keep one row with null label; ``covered`` is then half of the best share of a template that was
+    found.
     """
     exact = votes.filter("exact AND votes = n_votes").select(
         "row", "doc_id", "n_words", "exact", "label", F.col("diagonal").alias("start"),
@@ -120,14 +168,28 @@ def license_spans(votes: DataFrame) -> DataFrame:
     by_template = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_template) > SLACK).cast("int"), F.lit(0))
     grouped = loose.withColumn("apart", apart).withColumn("span", F.sum("apart").over(by_template))
+    share = F.bit_count(F.bit_or("places")) / F.first("n_votes")
     spans = grouped.groupBy("row", "doc_id", "n_words", "template", "label", "n_votes", "span").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("first_q")).alias("start"),
-        F.max(F.col("diagonal") + F.col("last_q") + GRAM).alias("end"))
-    covered = F.least(F.col("votes") / F.col("n_votes"), F.lit(1.0))
-    fits = (covered >= COVERED) & (F.col("end") - F.col("start") <= (F.col("n_votes") + GRAM - 1) * STRETCH)
-    near = spans.select("row", "doc_id", "n_words", F.lit(False).alias("exact"), F.when(fits, F.col("label")).alias(
-        "label"), F.when(fits, F.col("start")).alias("start"), F.when(fits, F.col("end")).alias("end"),
-        F.when(fits, covered).otherwise(F.least(covered, F.lit(0.99)) / 2).alias("covered"))
+        share.alias("share"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"))
+    names = ["row", "doc_id", "n_words", "label", "start", "end", "covered"]
+
+    def verify(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                places = []
+                if r["share"] >= COVERED:
+                    places = verified_places([(d["diagonal"], d["places"]) for d in r["diagonals"]], r["n_votes"])
+                own = [r["row"], r["doc_id"], r["n_words"]]
+                rows += [[*own, r["label"], *p] for p in places] or [
+                    [*own, None, None, None, min(r["share"], 0.99) / 2]]
+            kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.int32(), pa.int32(),
+                     pa.float64()]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    near = spans.mapInArrow(verify, f"row long, doc_id {dict(votes.dtypes)['doc_id']}, n_words long, label string, "
+                                    "start int, end int, covered double").withColumn("exact", F.lit(False))
     none = votes.filter("template IS NULL").select(
         "row", "doc_id", "n_words", F.lit(False).alias("exact"), F.lit(None).cast("string").alias("label"),
         F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(0.0).alias("covered"))
