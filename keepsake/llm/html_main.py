@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +31,15 @@ TRAIN_PAGES, LAYOUTS, STEPS = 80, 4, 150
 SLICE_BYTES = 4 << 20
 
 # How HTML groups its elements.
-HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea math canvas".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea canvas button annotation "
+                   "annotation-xml".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+IN_HEAD = frozenset("html head base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup li main menu nav ol p pre section summary table tbody td tfoot th thead tr "
-    "ul caption button label legend hr".split())
+    "ul caption legend hr".split())
 # What class, id and role names speak of.
 TOPICS = {
     "navigation": "nav navbar navigation menu breadcrumb breadcrumbs topbar pagination pager tabs toc skip",
@@ -57,14 +60,51 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 _PLAIN = re.compile(r"[^a-z0-9-]+")
+# Elements that end others of their kind.
+_IMPLIED = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"),
+            "dd": ("dt", "dd")}
+
+
+class Place:
+    """An open element: its tag, what its names speak of, and the features of it and all elements around it.
+
+    Elements share what is around them, so a deep page costs no more than a flat one.
+    """
+
+    __slots__ = ("parent", "tag", "topics", "found")
+
+    def __init__(self, parent: Place | None, tag: str, topics: tuple[str, ...] = ()):
+        self.parent, self.tag, self.topics = parent, tag, topics
+        own = {f for f in (f"in:{tag}", *(f"of:{t}" for t in topics)) if f in _FEATURES}
+        above = parent.found if parent else frozenset()
+        self.found = above if own <= above else above | own
+
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(tag, topics) of the elements from the outermost one on."""
+        found, place = [], self
+        while place:
+            found.append((place.tag, place.topics))
+            place = place.parent
+        return found[::-1]
+
+
+def place_of(path) -> Place | None:
+    place = None
+    for tag, topics in path:
+        place = Place(place, tag, topics)
+    return place
 
 
 @dataclass
 class Block:
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    place: Place | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> list[tuple[str, tuple[str, ...]]]:
+        return self.place.path() if self.place else []
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     """Topics of an element's class, id and role."""
@@ -77,29 +117,46 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Visible leaf blocks of a page in order; broken mark-up is read as far as it goes."""
+    """Visible leaf blocks of a page in order; broken mark-up is read as far as it goes.
+
+    An open head ends with the first text or element that can't be in one. Hidden elements inside a paragraph leave
+    out their own content and don't end it.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Place] = []
+    opened: Counter = Counter()
     pieces: list[str] = []
-    linked, links, at, size = 0, 0, 0, len(page)
+    hidden = linked = links = at = 0
+    size = len(page)
 
     def close() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append(Block(tuple(stack), text, linked))
+                around = next((i for i, p in enumerate(stack) if p.tag in HIDDEN), len(stack)) if hidden else len(stack)
+                blocks.append(Block(stack[around - 1] if around else None, text, linked))
             pieces.clear()
         linked = 0
 
+    def cut(depth: int) -> None:
+        nonlocal hidden
+        for place in stack[depth:]:
+            opened[place.tag] -= 1
+            hidden -= place.tag in HIDDEN
+        del stack[depth:]
+
     while at < size:
         match = _TOKEN.search(page, at)
         stop = match.start() if match else size
-        if stop > at and not any(tag in HIDDEN for tag, _ in stack):
-            text = html.unescape(page[at:stop])
-            pieces.append(text)
-            if links:
-                linked += len(text.strip())
+        if stop > at:
+            if hidden and stack[-1].tag == "head" and page[at:stop].strip():
+                cut(len(stack) - 1)
+            if not hidden:
+                text = html.unescape(page[at:stop])
+                pieces.append(text)
+                if links:
+                    linked += len(text.strip())
         if not match:
             break
         at = match.end()
@@ -110,34 +167,38 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK or tag in HIDDEN:
-                close()
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        del stack[depth:]
-                        break
+                depth = len(stack)
+                if opened[tag]:
+                    depth = next(i for i in range(depth - 1, -1, -1) if stack[i].tag == tag)
+                leaving = sum(p.tag in HIDDEN for p in stack[depth:])
+                if tag in BLOCK and leaving == hidden:
+                    close()
+                cut(depth)
             continue
+        if hidden and stack[-1].tag == "head" and tag not in IN_HEAD:
+            cut(len(stack) - 1)
         if tag == "br":
             pieces.append(" ")
         elif tag == "a":
             links += 1
         elif tag in RAW:
-            if tag in HIDDEN and tag != "title":
-                pieces.append("") if pieces else None
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size
         elif tag in BLOCK or tag in HIDDEN:
-            close()
-            links = 0
+            if tag == "body" and hidden:
+                cut(next(i for i, p in enumerate(stack) if p.tag in HIDDEN))
+            if tag in BLOCK and not hidden:
+                close()
+                links = 0
             if tag in VOID or match[3].endswith("/") and tag not in BLOCK:
                 continue
-            implied = ("p",) if tag not in ("li", "td", "th", "tr", "dt", "dd") else {
-                "li": ("p", "li"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "tr": ("p", "td", "th", "tr"),
-                "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd")}[tag]
-            while stack and stack[-1][0] in implied:
-                stack.pop()
-            if tag == "body":
-                stack[:] = [e for e in stack if e[0] not in HIDDEN]
-            stack.append((tag, _names(match[3])))
+            if tag in BLOCK:
+                implied = ("p", *_IMPLIED.get(tag, ()))
+                while stack and stack[-1].tag in implied:
+                    cut(len(stack) - 1)
+            stack.append(Place(stack[-1] if stack else None, tag, _names(match[3])))
+            opened[tag] += 1
+            hidden += tag in HIDDEN
     close()
     return blocks
 
@@ -145,7 +206,7 @@ def leaf_blocks(page: str) -> list[Block]:
 # ---- features -------------------------------------------------------------------------------------------------------
 
 _TAGS = ("article main section div p li ul ol nav header footer aside form table td blockquote pre figure figcaption "
-         "button label fieldset dl h1 h2 h3 h4 address").split()
+         "fieldset dl h1 h2 h3 h4 address").split()
 _FEATURES = {name: i for i, name in enumerate(
     [f"in:{t}" for t in _TAGS] + [f"of:{t}" for t in TOPICS] + [f"near:{t}" for t in TOPICS]
     + [f"last:{t}" for t in _TAGS]
@@ -155,19 +216,20 @@ N_FEATURES = len(_FEATURES)
 _PATHS: dict[tuple, tuple[int, ...]] = {}
 
 
-def _path_features(path: tuple) -> tuple[int, ...]:
-    known = _PATHS.get(path)
+def _path_features(place: Place | None) -> tuple[int, ...]:
+    around = place.parent if place else None
+    key = (place.found, place.tag, place.topics, around.topics if around else ()) if place else ()
+    known = _PATHS.get(key)
     if known is None:
-        found = {f"in:{tag}" for tag, _ in path} | {f"of:{topic}" for _, topics in path for topic in topics}
-        if path:
-            found.add(f"last:{path[-1][0]}")
-            found |= {f"near:{topic}" for _, topics in path[-2:] for topic in topics}
+        found = set(place.found) if place else set()
+        if place:
+            found |= {f"last:{place.tag}", *(f"near:{t}" for t in (*key[2], *key[3]))}
         if not any(f.startswith("of:") or f in ("in:article", "in:main", "in:nav", "in:footer") for f in found):
             found.add("plain")
-        known = tuple(_FEATURES[f] for f in found if f in _FEATURES)
+        known = tuple(sorted(_FEATURES[f] for f in found if f in _FEATURES))
         if len(_PATHS) > 100_000:
             _PATHS.clear()
-        _PATHS[path] = known
+        _PATHS[key] = known
     return known
 
 
@@ -177,7 +239,7 @@ def block_features(blocks: list[Block]) -> list[list[int]]:
         text = block.text
         words = min(7, (text.count(" ") + 1).bit_length())
         share = block.linked / len(text)
-        own = [*_path_features(block.path), _FEATURES["bias"], _FEATURES[f"words:{words}"],
+        own = [*_path_features(block.place), _FEATURES["bias"], _FEATURES[f"words:{words}"],
                _FEATURES[f"links:{0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]]
         if text[-1] in ".!?…\"'”»。":
             own.append(_FEATURES["stop"])
@@ -312,7 +374,7 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
 
     def put(path, text, label, link=0.0):
         if text:
-            blocks.append(Block(tuple(root + path), text, int(len(text) * link)))
+            blocks.append(Block(place_of(root + path), text, int(len(text) * link)))
             labels.append(label)
 
     def links(path, n):
@@ -335,7 +397,7 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
               + [("ul", ()), ("li", ())], int(rng.integers(2, 9)))
     if chance(0.3):
         put([("div", ("notice",)), ("p", ())], short() if chance(0.5) else long(), 0)
-        links([("div", ("notice",)), ("button", ())], 1)
+        links([("div", ("notice",))], 1)
     if chance(0.3):
         put([("div", ("advert",))], long(), 0, float(chance(0.3)))
     side = pick([[("aside", ())], [("div", ("side",))], [("aside", ("side",))]])
@@ -369,7 +431,7 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
         if chance(0.03):
             put([*main, ("aside", ()), ("p", ())], long(), 0)
         if chance(0.02):
-            put([*main, ("form", ()), ("label", ())], short(), 0)
+            put([*main, ("form", ())], short(), 0)
     if chance(0.25):
         links([*main, ("div", ("share",)), ("ul", ()), ("li", ())], 2)
     if chance(0.35) and not first_side:
@@ -381,9 +443,9 @@ def laid_out(texts: list[str], others: list[str], rng: np.random.Generator) -> t
         for _ in range(int(rng.integers(1, 5))):
             put([*where, ("div", ("comment",) if chance(0.5) else ()), ("p", ())], long(), 0)
         if chance(0.5):
-            put([*where, ("form", ()), ("label", ())], short(), 0)
+            put([*where, ("form", ())], short(), 0)
     if chance(0.2):
-        put([("form", ("form",)), ("label", ())], short(), 0)
+        put([("form", ("form",))], short(), 0)
     if chance(0.85):
         foot = pick([[("footer", ())], [("div", ("foot",))], [("footer", ("foot",))]])
         put([*foot, *([("p", ())] if chance(0.5) else [])], "© " + long() if chance(0.5) else short(), 0)
@@ -427,7 +489,8 @@ def extract_main(pages: DataFrame, field: Field | None = None, id: str = "page_i
     """``page_id, url, text, n_chars`` of every row.
 
     Character references are decoded, white space inside a block becomes one space, blocks are joined by a line break.
-    A null or empty page gives an empty text; null ids, null addresses and repeated rows come back each; other columns
+    Pages of any length or depth are read whole, one at a time, in time proportional to their length. A null or empty page
+    gives an empty text; null ids, null addresses and repeated rows come back each; other columns
     are ignored; an empty table gives an empty one.
     """
     shared = pages.sparkSession.sparkContext.broadcast(field or train(pages, id, source))

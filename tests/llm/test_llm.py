@@ -370,6 +370,53 @@ def test_licenses_with_edits(spark):
     assert got[5]["n_base"] == 2 and got[5]["first_word"] == 1 and got[4]["score"] < 0.7 < got[3]["score"]
 
 
+def covered_by(words, notice):
+    """Largest share of a notice's word pairs that stand in order inside a window of the allowed length."""
+    pairs, wanted = list(zip(words, words[1:])), list(zip(notice, notice[1:]))
+    width, best = int(len(notice) * license_scan.STRETCH) - 1, 0
+    for start in range(len(pairs)):
+        row = [0] * (len(wanted) + 1)
+        for pair in pairs[start:start + width]:
+            new = row[:]
+            for q, other in enumerate(wanted):
+                new[q + 1] = max(new[q], row[q + 1], row[q] + 1 if pair == other else 0)
+            row = new
+        best = max(best, row[-1])
+    return best / len(wanted)
+
+
+def test_license_spans_hold_the_notice_in_order(spark):
+    """Repeated parts of a notice are no notice; every label is one that a plain alignment finds, and none is lost."""
+    rng = np.random.default_rng(12)
+    notices = [(text.split(), label) for text, label in license_scan.NOTICES]
+    texts = {1: "you may not " * 5, 2: "in the software " * 12, 3: "of this software and " * 9,
+             4: "you may not " * 40 + "you may not use this file except in compliance with the license " + "you may " * 9}
+    planted = {4: "apache-2.0"}
+    for i in range(10, 160):
+        words, label = notices[rng.integers(len(notices))]
+        words = list(words)
+        kind = i % 3
+        if kind == 0:       # one word missing or added: still there
+            k = int(rng.integers(2, len(words) - 2)) if len(words) > 8 else 0
+            words[k:k] = ["extra"] if len(words) > 8 and rng.random() < 0.5 else []
+            planted[i] = label
+        elif kind == 1:     # pieces in another order, some twice
+            cut = [words[k:k + 3] for k in range(0, len(words), 3)]
+            words = [w for k in rng.integers(0, len(cut), len(cut) + 3) for w in cut[k]]
+        else:
+            words = words[:len(words) // 2]
+        texts[i] = " ".join([*(f"a{k}" for k in range(rng.integers(0, 6))), *words, *(f"b{k}" for k in range(4))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {i: set(filter(None, r["labels"].split(","))) for i, r in as_dict(license_scan.scan_licenses(docs)).items()}
+    assert not got[1] and not got[2] and not got[3]
+    exact = {label for _, label in license_scan.PHRASES}
+    for i, t in texts.items():
+        may = {label for words, label in notices if covered_by(plain.words(t), words) >= license_scan.COVERED}
+        assert got[i] - exact <= may, t
+    for i, label in planted.items():
+        assert label in got[i], texts[i]
+
+
 def test_quality_on_the_held_out_fold(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -557,6 +604,34 @@ def test_leaf_blocks():
         html_main.leaf_blocks(broken)
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<head><title>T</title><meta charset=utf-8><p>one<p>two", ["one", "two"]),
+    ("<head><title>T</title><article><p>one</article>", ["one"]),
+    ("<html><head><link href=x>one <b>two</b>", ["one two"]),
+    ("<head><script>x</script><template><p>no</template></head><body><p>one", ["one"]),
+    ("<p>x <math><mi>y</mi><annotation>no</annotation></math> z</p>", ["x y z"]),
+    ("<p>x <svg><title>no</title><text>no</text></svg> y <canvas>no</canvas> z", ["x y z"]),
+    ("<p>x <select><option>no</select> y <object><p>no</p></object> z</p><p>next", ["x y z", "next"]),
+    ("<p>x <button>no</button> y <label>z</label> end</p>", ["x y z end"]),
+    ("<div>x <button>no</div><div>y</div>", ["x", "y"]),
+])
+def test_blocks_with_omitted_and_hidden_elements(page, want):
+    assert [b.text for b in html_main.leaf_blocks(page)] == want
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+    spent = []
+    for depth in (2_000, 16_000):
+        page = "<div><p>text" * depth + "</section></i>" * depth
+        start = time.process_time()
+        blocks = html_main.leaf_blocks(page)
+        html_main.block_features(blocks)
+        spent.append(time.process_time() - start)
+        assert len(blocks) == depth
+    assert spent[1] < 24 * spent[0] + 0.2
+
+
 def test_pages_odd_rows(spark, field):
     schema = "page_id long, url string, html string, text string, n_chars long"
     rows = [(1, None, None, "x", 1), (None, "u", "", "x", 1), (2, "u", "<article><p>Hi there.</p></article>", "", 0),
@@ -610,6 +685,18 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
         assert (out.count() > 0) == (docs.count() > 0)
 
 
+def test_pipeline_keeps_the_values_of_clashing_columns(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("n_words", "hits", "_text", "_kept", "contaminated", "n_hit", "items_sha256", "_score", "score", "row"):
+        docs = docs.withColumn(name, (-docs.doc_id).cast("string"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, docs, folder)
+        assert rows.schema.names == docs.schema.names
+        got = rows.collect()
+        assert got and all(r[c] == str(-r["doc_id"]) for r in got for c in docs.columns[5:])
+
+
 def test_registered_queries():
     import __spark_entry__
     names = __spark_entry__.queries()
