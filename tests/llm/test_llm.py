@@ -328,6 +328,27 @@ def test_near_duplicates_odd_rows(spark, odd, empty):
     assert near_duplicates.near_duplicate_classes(empty).count() == 0
 
 
+def test_labels_joined_bit_by_bit(spark):
+    """Classes after several batches of links are those of all links at once."""
+    rng = np.random.default_rng(8)
+    links = [tuple(map(int, rng.choice(120, 2, replace=False))) for _ in range(90)]
+    frame = lambda part: spark.createDataFrame(part, "a long, b long")
+    classes = lambda df: {frozenset(v) for v in _groups((r["label"], r["u"]) for r in df.collect()).values()}
+    labels = None
+    for k in range(0, 90, 30):
+        labels = near_duplicates._joined_labels(labels, frame(links[k:k + 30]))
+    assert classes(labels) == classes(near_duplicates.components(frame(links)))
+    assert near_duplicates._joined_labels(None, frame([])) is None
+
+
+def _groups(pairs):
+    import collections
+    out = collections.defaultdict(set)
+    for k, v in pairs:
+        out[k].add(v)
+    return out
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (20, 10), (10, 11)], "a long, b long")
     got = {r["u"]: r["label"] for r in near_duplicates.components(links).collect()}
