@@ -19,14 +19,14 @@ STAMP = "%Y-%m-%d %H:%M:%S"
 
 
 class StreamTables(Tables):
-    """The same tables read as file streams."""
+    """The same tables read as file streams, be a table one file or a folder of files."""
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                .parquet(self.folder))
+        # as a pattern: a stream takes a plain path for a folder only
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{{{name}}}.parquet")
 
 
 def finish(t: Tables, stream: DataFrame) -> DataFrame:
