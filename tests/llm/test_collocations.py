@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,25 @@ def test_late_words_open_late_windows(spark):
     assert mined(df, least=10, shards=4) == plain(rows, 10, 5, 2000)
 
 
+def test_a_shared_slot_opens_no_run_before_its_parts():
+    """A slot taken early by another phrase, over a word that is frequent late: still one whole cycle."""
+    part = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b c"])], ["lang", "text"])
+    since = np.full((2, 1 << 16), C._NEVER, np.uint8)
+    blank = since.copy()
+    words = {b.column("word")[i].as_py(): np.uint64(b.column("p")[i].as_py() % 2 ** 64)
+             for b in C._counted(part, 0, 3, {1}, blank) for i in range(b.num_rows)}
+    a, b, c = (words[w] for w in "abc")
+    slot = lambda h: int(h) & 0xFFFF
+    one = lambda p, q: C._join(np.array([p]), np.array([q]), 2)[0]
+    seen = []
+    for step in range(12):
+        for row, h, when in ((0, a, 0), (0, b, 0), (0, c, 4), (1, one(a, b), 1), (1, one(b, c), 1)):
+            if when < step:
+                since[row, slot(h)] = when
+        seen += [(step, r["start"]) for b3 in C._counted(part, step, 3, {3}, since) for r in b3.to_pylist()]
+    assert seen == [(6, 6), (7, 6), (8, 6)]
+
+
 def test_sql(spark):
     folder = "/root/testdata/sf0.01"
     got = queries.op12_itemset_counting(spark, folder)
