@@ -166,6 +166,8 @@ def match_rules(items: DataFrame, rules: DataFrame, item_id: str = "id") -> Data
     equal = probes.join(exploded, ["_probe", "_value"]).select(
         item_id, "rule_id", "priority", "prompt_name")
     words = live.filter((F.col("kind") == "keyword") & (F.coalesce("target", F.lit("")) != ""))
+    # likewise one rule per substring: pairs follow the distinct substrings, not the rules that share them
+    words = top_n(words, ["target"], best, 1)
     hits = match_terms(items.select(F.col(item_id), "title"), item_id, "title",
                        words.select("rule_id", "target"), "rule_id", "target", fold_case=False)
     sub = hits.join(words, "rule_id").select(item_id, "rule_id", "priority", "prompt_name")
