@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
+from html import unescape as unescape_html
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -96,11 +98,11 @@ def profile_text(title: str | Column, body: str | Column, derived: Column,
         .when(body_text != "", body_text).otherwise(col(title)), 1, limit)
 
 
-def html_text(html: str | Column) -> Column:
-    """Markup to text: scripts and styles dropped, tags to line breaks, entities decoded."""
+def html_text(html: str | Column, decode: Callable[[Column], Column] | None = None) -> Column:
+    """Markup to text: scripts and styles dropped, tags to line breaks, entities decoded (``unescape`` by default)."""
     t = F.regexp_replace(col(html), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", "\n")
-    t = unescape(t)
+    t = (decode or unescape)(t)
     return strip(F.regexp_replace(t, r"\n{2,}", "\n"))
 
 
@@ -116,6 +118,14 @@ def unescape(text: str | Column) -> Column:
     return F.when(F.contains(col(text), F.lit("&")), decoded).otherwise(col(text))
 
 
+def closed_references(text: str | Column, names: Iterable[str]) -> Column:
+    """Only the references ``names`` (with their semicolon) decoded; any other, and a cut-off one, stays as it is."""
+    t = col(text)
+    for name in sorted(names, key=lambda n: n == "amp;"):      # last, so that nothing decodes twice
+        t = F.replace(t, F.lit(f"&{name}"), F.lit(unescape_html(f"&{name}")))
+    return t
+
+
 #: The commonest names come first, the look-up goes through the list.
 _COMMON = ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;", "copy;", "middot;", "mdash;", "hellip;")
 _NAMES = [*_COMMON, *(n for n in html5 if n not in _COMMON)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,10 +105,12 @@ def route_text(df: DataFrame, content: str) -> DataFrame:
         "dedup_key": X.dedup_hash(kind, c)})
 
 
-def page_fields(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+def page_fields(pages: DataFrame, html: str = "html", url: str = "url",
+                decode: Callable[[Column], Column] = X.unescape) -> DataFrame:
     """Kind by host, title, language, price, image, link count and body text of raw pages.
 
-    ``kind`` is video, product or page; a user's selection arrives as a capture instead.
+    ``kind`` is video, product or page; a user's selection arrives as a capture instead. ``decode`` reads the character
+    references.
     """
     h = F.col(html)
     host = F.regexp_replace(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")),
@@ -114,19 +118,19 @@ def page_fields(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
     shop = F.lit(None).cast("string")
     for name, pattern in X.PRODUCT_HOSTS.items():
         shop = F.coalesce(shop, F.when(host.rlike(pattern), F.lit(name)))
-    meta = lambda p: F.nullif(X.unescape(F.regexp_extract(
+    meta = lambda p: F.nullif(decode(F.regexp_extract(
         h, rf'(?i)<meta[^>]*property="{p}"[^>]*content="([^"]*)"', 1)), F.lit(""))
     price = F.regexp_extract(h, r'(?is)class="price"[^>]*>([^<]*)<', 1)
     return pages.withColumns({
         "kind": F.when(F.col(url).rlike(X.VIDEO_PAGE), "video")
         .when(shop.isNotNull(), "product").otherwise("page"),
         "host": host, "shop": shop,
-        "title": X.strip(X.unescape(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))),
+        "title": X.strip(decode(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1))),
         "page_lang": F.regexp_extract(h, r'(?i)<html[^>]*lang="([^"]*)"', 1),
         "price": F.nullif(F.substring(F.regexp_replace(X.strip(price), r"\s+", " "), 1, 20), F.lit("")),
         "image_url": meta("og:image"),
         "n_links": F.regexp_count(h, F.lit("(?i)<a\\s")),
-        "text": X.html_text(F.regexp_replace(h, r"(?is)<title[^>]*>.*?</title>", " "))})
+        "text": X.html_text(F.regexp_replace(h, r"(?is)<title[^>]*>.*?</title>", " "), decode)})
 
 
 def timed_comments(payloads: DataFrame, payload: str, keep: list[str]) -> DataFrame:
