@@ -17,15 +17,18 @@ from keepsake.session import reliable
 
 # Candidate chunks, averaged matches, threshold, links per item.
 CANDIDATES, BEST, THRESHOLD, MAX_PER_ITEM = 40, 3, 0.62, 3
+#: rows of the cells that are compared in one task; small tables take smaller lots
+LOT_ROWS = 32768
 
 
 @dataclass(frozen=True)
 class Placement:
-    """Corpus rows in their cells, the cells every query visits, and the rows and visits of each cell."""
+    """Corpus rows in their cells and lots of cells, the cells every query visits in a lot, and rows and visits of both."""
 
-    placed: DataFrame       # cid, cgroup, cvec, cell
-    visits: DataFrame       # qid, qgroup, qvec, cell
+    placed: DataFrame       # cid, cgroup, cvec, cell, lot
+    visits: DataFrame       # qid, qgroup, qvec, lot, cells
     cells: DataFrame        # cell, rows, asked
+    lots: DataFrame         # lot, rows, asked
 
     def report(self) -> DataFrame:
         """One row: ``cells``, ``visits``, ``pairs`` compared, and ``all_pairs`` without cells."""
@@ -42,11 +45,14 @@ def place(queries: DataFrame, corpus: DataFrame, k: int) -> Placement:
     group of cells. A row goes to the nearest leader and, in its group, to the nearest centre. Every query first meets its
     nearest cells, as many as hold 4 k rows; its k-th best similarity there is a lower bound. By the triangle inequality
     on angles, groups and then cells whose ring (the least and largest angle to the leader, or centre) can't reach that
-    bound are skipped. Placement and visits are written once. The driver holds the centres and one row for each cell.
+    bound are skipped. Neighbouring cells make a lot of up to ``LOT_ROWS`` rows; a query's vector is kept once for each
+    lot it visits, with the list of its cells there, so that visits don't grow with the number of cells. Placement and
+    visits are written once. The driver holds the centres and one row for each cell.
     """
     spark = queries.sparkSession
     base = corpus.select("cid", "cgroup", "cvec").filter(F.col("cvec").isNotNull())
-    n_cells = max(1, 2 * math.isqrt(base.count()))
+    n = base.count()
+    n_cells = max(1, 2 * math.isqrt(n))
     sample = base.orderBy(F.xxhash64("cid"), "cid").limit(n_cells).collect()
     centres = unit(np.array([r.cvec for r in sample], dtype=np.float64).reshape(
         len(sample), len(sample[0].cvec) if sample else 1))
@@ -82,14 +88,20 @@ def place(queries: DataFrame, corpus: DataFrame, k: int) -> Placement:
         F.min("outer").alias("outer_lo"), F.max("outer").alias("outer_hi")).orderBy("cell").collect()
     number = np.array([r.cell for r in rings], dtype=np.int32)
     ring = np.array([(r.lo, r.hi, r.outer_lo, r.outer_hi, r.rows) for r in rings]).reshape(len(rings), 5)
-    table = spark.sparkContext.broadcast((number, ring))                # one row for each cell
+    near_by = np.lexsort((number, led[number])) if len(number) else number
+    before = np.cumsum(ring[near_by, 4]) - ring[near_by, 4]
+    lot_of = np.zeros(len(centres) + 1, np.int32)
+    lot_of[number[near_by]] = before // min(LOT_ROWS, max(1024, n // 64))
+    table = spark.sparkContext.broadcast((number, ring, lot_of))        # one row for each cell
+    lot_table = spark.createDataFrame([(int(c), int(lot_of[c])) for c in number], "cell int, lot int")
+    placed = placed.join(F.broadcast(lot_table), "cell")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells that may hold a row as similar as ``bound``; without one, the nearest cells with 4 k rows."""
         centres, leaders, led = shared.value
-        number, ring = table.value
+        number, ring, lot_of = table.value
         for whole in batches:
-            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)) if len(number) else ():
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)) if len(number) else ():
                 rows = unit(matrix(b.column("qvec")))
                 bound = b.column("bound").to_numpy(zero_copy_only=False)
                 if np.isnan(bound).all():
@@ -110,15 +122,24 @@ def place(queries: DataFrame, corpus: DataFrame, k: int) -> Placement:
                         row, col = np.nonzero(np.maximum(inner - ring[of, 1], ring[of, 0] - inner) <= reach[at, None])
                         taken.append(at[row])
                         cells.append(number[of][col])
-                picked = b.drop_columns(["bound"]).take(pa.array(np.concatenate(taken)))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(cells))],
-                                                 names=["qid", "qgroup", "qvec", "cell"])
+                row, cell = np.concatenate(taken), np.concatenate(cells)
+                order = np.lexsort((cell, lot_of[cell], row))
+                row, cell = row[order], cell[order]
+                lot = lot_of[cell]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (lot[1:] != lot[:-1])][:len(row)])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(row)].astype(np.int32)),
+                                                 pa.array(cell.astype(np.int32)))
+                picked = b.drop_columns(["bound"]).take(pa.array(row[new]))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(lot[new]), lists],
+                                                 names=["qid", "qgroup", "qvec", "lot", "cells"])
 
     def placement(asked: DataFrame) -> Placement:
-        visits = reliable(asked.mapInArrow(visit, "qid long, qgroup long, qvec array<float>, cell int"))
-        counts = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
-                  .join(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")), "cell"))
-        return Placement(placed.drop("angle", "outer"), visits, counts)
+        visits = reliable(asked.mapInArrow(
+            visit, "qid long, qgroup long, qvec array<float>, lot int, cells array<int>"))
+        counted = lambda of, by: (placed.groupBy(by).agg(F.count(F.lit(1)).alias("rows"))
+                                  .join(of.groupBy(by).agg(F.count(F.lit(1)).alias("asked")), by))
+        return Placement(placed.drop("angle", "outer"), visits,
+                         counted(visits.select(F.explode("cells").alias("cell")), "cell"), counted(visits, "lot"))
 
     asked = queries.select("qid", "qgroup", "qvec").filter(F.col("qvec").isNotNull())
     first = multiplied(placement(asked.withColumn("bound", F.lit(None).cast("double"))), k)
@@ -127,47 +148,58 @@ def place(queries: DataFrame, corpus: DataFrame, k: int) -> Placement:
         "bound", F.coalesce("bound", F.lit(float("-inf")))))
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = 8192) -> DataFrame:
+def knn_join(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int = LOT_ROWS) -> DataFrame:
     """The k nearest corpus rows of another group for every query row, exact, for large tables.
 
     ``queries(qid, qgroup, qvec)``, ``corpus(cid, cgroup, cvec)``; ids and groups are LONG, vectors unit length.
     Result ``(qid, qgroup, cid, cgroup, sim)``, at most k per query.
 
-    Cells and visits come from ``place``, by one plan for every number of rows. A cell's rows and the visits to it are
-    split by hash into blocks of about ``block_rows``; each side is copied once for every block of the other, so a side
-    of one block is all that is copied. A task multiplies one block pair and returns at most k rows per query.
+    Cells, lots and visits come from ``place``, by one plan for every number of rows. A lot's rows and the visits to it
+    are split by hash into blocks of about ``block_rows``; each side is copied once for every block of the other, so a
+    side of one block is all that is copied. A task multiplies the cells of one block pair with the queries that visit
+    them and returns at most k rows per query.
     """
     return multiplied(place(queries, corpus, k), k, block_rows)
 
 
-def multiplied(placement: Placement, k: int, block_rows: int = 8192) -> DataFrame:
+def multiplied(placement: Placement, k: int, block_rows: int = LOT_ROWS) -> DataFrame:
     """The nearest rows of a ``Placement``; see ``knn_join``."""
     blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("long")       # noqa: E731
-    split = placement.cells.select("cell", blocks("rows").alias("n_c"), blocks("asked").alias("n_q"))
+    split = placement.lots.select("lot", blocks("rows").alias("n_c"), blocks("asked").alias("n_q"))
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))      # noqa: E731
-    left = placement.visits.join(split, "cell").select(
-        "qid", "qgroup", "qvec", "cell", F.pmod(F.xxhash64("qid"), "n_q").alias("qb"), spread("n_c").alias("cb"))
-    right = placement.placed.join(split, "cell").select(
-        "cid", "cgroup", "cvec", "cell", F.pmod(F.xxhash64("cid"), "n_c").alias("cb"), spread("n_q").alias("qb"))
+    left = placement.visits.join(split, "lot").select(
+        "qid", "qgroup", "qvec", "cells", "lot", F.pmod(F.xxhash64("qid"), "n_q").alias("qb"), spread("n_c").alias("cb"))
+    right = placement.placed.join(split, "lot").select(
+        "cid", "cgroup", "cvec", "cell", "lot", F.pmod(F.xxhash64("cid"), "n_c").alias("cb"), spread("n_q").alias("qb"))
 
     def multiply(q: pa.Table, c: pa.Table) -> pa.Table:
         names = ["qid", "qgroup", "cid", "cgroup", "sim"]
         types = [pa.int64()] * 4 + [pa.float64()]
         if not q.num_rows or not c.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        cids, groups = c["cid"].to_numpy(), c["cgroup"].to_numpy()
+        c = c.sort_by("cell")
+        cids, groups, cell = c["cid"].to_numpy(), c["cgroup"].to_numpy(), c["cell"].to_numpy()
         qids, mine = q["qid"].to_numpy(), q["qgroup"].to_numpy()
         cm = matrix(c["cvec"])
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        ends = np.r_[starts[1:], len(cell)]
         out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for at in range(0, q.num_rows, 512):       # similarity strips of bounded memory
-            sims = matrix(q["qvec"].slice(at, 512)) @ cm.T
+        for at in range(0, q.num_rows, 128):       # similarity strips of bounded memory
+            strip = q.slice(at, 128)
+            qm, lists = matrix(strip["qvec"]), strip["cells"].combine_chunks()
+            asked = lists.flatten().to_numpy()
+            asker = np.repeat(np.arange(len(qm)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            sims = np.full((len(qm), len(cm)), -np.inf)
+            for start, end in zip(starts, ends):
+                of = asker[asked == cell[start]]
+                sims[of, start:end] = qm[of] @ cm[start:end].T
             sims[mine[at:at + len(sims), None] == groups[None, :]] = -np.inf
             row, pick = best_of_rows(sims, cids, k)
             for col, x in zip(out, (qids[at + row], mine[at + row], cids[pick], groups[pick], sims[row, pick])):
                 col.append(x)
         return pa.table([pa.array(np.concatenate(x), t) for x, t in zip(out, types)], names=names)
 
-    pairs = left.groupBy("cell", "cb", "qb").cogroup(right.groupBy("cell", "cb", "qb")).applyInArrow(
+    pairs = left.groupBy("lot", "cb", "qb").cogroup(right.groupBy("lot", "cb", "qb")).applyInArrow(
         multiply, "qid long, qgroup long, cid long, cgroup long, sim double")
     return top_n(pairs, ["qid"], [F.desc("sim"), F.col("cid")], k)
 
