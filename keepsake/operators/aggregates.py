@@ -118,14 +118,28 @@ def text_rate(lines: DataFrame, frames: DataFrame, series: str, frame: str, y0:
               n_bands: int = 24) -> DataFrame:
     """Share of sampled frames with text, per series and band.
 
-    (series, frame, band) is made distinct map-side before counting.
+    The bands of a frame are kept as bits, so one row per (series, frame) is shuffled however many bands its lines cover.
     """
     lo = F.greatest(F.lit(0), F.floor(F.col(y0) * n_bands).cast("int"))
     hi = F.least(F.lit(n_bands - 1), F.floor(F.col(y1) * n_bands).cast("int"))
-    covered = (lines.filter(lo <= hi).select(series, frame, F.explode(F.sequence(lo, hi)).alias("band"))
-               .distinct().groupBy(series, "band").agg(F.count(F.lit(1)).alias("frames_seen")))
-    total = frames.select(series, frame).distinct().groupBy(series).agg(F.count(F.lit(1)).alias("frames"))
-    return covered.join(total, series).withColumn("text_rate", F.col("frames_seen") / F.col("frames"))
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)      # noqa: E731
+    words = range(0, n_bands, 62)       # bits a long holds
+
+    def covered(at: int) -> Column:
+        inside = lambda n: F.least(F.lit(62), F.greatest(F.lit(0), n - at))      # noqa: E731
+        return F.coalesce(F.when(lo <= hi, bit(inside(hi + 1)) - bit(inside(lo))), F.lit(0).cast("long"))
+
+    seen = lines.groupBy(series, frame).agg(*[F.bit_or(covered(at)).alias(f"_w{at}") for at in words])
+    counts = seen.groupBy(series).agg(F.count(F.lit(1)).alias("_frames"), *[
+        F.sum(F.shiftright(f"_w{b // 62 * 62}", b % 62).bitwiseAND(F.lit(1).cast("long"))).alias(f"_b{b}")
+        for b in range(n_bands)])
+    if frames is not lines:
+        total = frames.select(series, frame).distinct().groupBy(series).agg(F.count(F.lit(1)).alias("_frames"))
+        counts = counts.drop("_frames").join(total, series)
+    return counts.filter(F.col(series).isNotNull()).select(series, F.col("_frames").alias("frames"), F.explode(F.array(*[
+        F.struct(F.lit(b).alias("band"), F.col(f"_b{b}").alias("frames_seen")) for b in range(n_bands)])).alias("_s")).filter(
+        F.col("_s.frames_seen") > 0).select(series, "_s.band", "_s.frames_seen", "frames").withColumn(
+        "text_rate", F.col("frames_seen") / F.col("frames"))
 
 
 def next_version(owners: DataFrame, versions: DataFrame, owner: str, version: str) -> DataFrame:
