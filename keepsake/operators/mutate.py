@@ -71,13 +71,18 @@ def upsert_merge(old: DataFrame, new: DataFrame, keys: list[str], always: dict[s
     return both.select(*cols)
 
 
+def _hashed(keys: DataFrame) -> DataFrame:
+    """Keys to join with by a hash table of one partition's keys: the larger side is neither sorted nor kept in memory."""
+    return keys.hint("shuffle_hash")
+
+
 def delete_keys(old: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return old.join(keys.select(*on), on, "left_anti")
+    return old.join(_hashed(keys.select(*on)), on, "left_anti")
 
 
 def delete_keys_counted(old: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
     """``delete_keys``, written, and the number of rows that went."""
-    gone = keys.select(*on).distinct().withColumn("_gone", F.lit(True))
+    gone = _hashed(keys.select(*on).distinct().withColumn("_gone", F.lit(True)))
     table, n = write_counted(old.join(gone, on, "left"), F.col("_gone").isNotNull(), delete=True)
     return table.drop("_gone"), n
 
@@ -183,12 +188,30 @@ def delete_category(gone: DataFrame, items: DataFrame, categories: DataFrame, pr
 # Task types that need their item, and the note of a recovered task.
 ITEM_TASKS = ("auto_process", "build_links")
 RECOVERED = "上次进程中断,已自动恢复重试"
+#: shares into which tasks without an item are dealt
+TASK_LOTS = 4096
 
 
 def cancel_tasks(jobs: DataFrame, ids: DataFrame) -> DataFrame:
     """Drop open tasks of item-bound types whose payload names a removed item (``ids(id)``)."""
-    gone = ids.select(F.col("id").alias("_item")).distinct()
-    return jobs.withColumn("_item", _open_item()).join(gone, "_item", "left_anti").drop("_item")
+    return (_with_item(jobs).join(_hashed(_gone_items(ids).distinct()), ["_item", "_lot"], "left_anti")
+            .drop("_item", "_lot"))
+
+
+def _with_item(jobs: DataFrame) -> DataFrame:
+    """``_item`` and ``_lot``: most tasks name no item and would all meet in one partition, so they are dealt by their row."""
+    lot = F.pmod(F.xxhash64(*jobs.columns), F.lit(TASK_LOTS).cast("long"))
+    return jobs.withColumn("_item", _open_item()).withColumn("_lot", F.when(F.col("_item").isNull(), lot)
+                                                             .otherwise(_lot_of(F.col("_item"))))
+
+
+def _lot_of(item: Column) -> Column:
+    """One lot for all named items; not a literal, which Spark would take out of the keys that rows are dealt by."""
+    return F.when(item.isNotNull(), F.lit(0).cast("long"))
+
+
+def _gone_items(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("id").alias("_item"), _lot_of(F.col("id")).alias("_lot"))
 
 
 def _open_item() -> Column:
@@ -198,22 +221,21 @@ def _open_item() -> Column:
 
 def cancel_tasks_counted(jobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, int]:
     """``cancel_tasks``, written, and the number of tasks that went."""
-    table, n = delete_keys_counted(jobs.withColumn("_item", _open_item()),
-                                   ids.select(F.col("id").alias("_item")), ["_item"])
-    return table.drop("_item"), n
+    table, n = delete_keys_counted(_with_item(jobs), _gone_items(ids), ["_item", "_lot"])
+    return table.drop("_item", "_lot"), n
 
 
 def delete_by_source(source_refs: DataFrame, items: DataFrame, chunks: DataFrame, vectors: DataFrame,
                      links: DataFrame, jobs: DataFrame) -> dict[str, DataFrame]:
     """Remove the items of the given sources with chunks, vectors, links and open tasks."""
-    gone = items.join(source_refs.select("source_ref"), "source_ref", "left_semi").select("id")
-    by_item = gone.withColumnRenamed("id", "item_id")
+    gone = reliable(items.join(_hashed(source_refs.select("source_ref")), "source_ref", "left_semi").select("id"))
+    named = lambda name: _hashed(gone.select(F.col("id").alias(name)))      # noqa: E731
+    by_item = named("item_id")
     return {
-        "items": items.join(gone, "id", "left_anti"),
+        "items": items.join(named("id"), "id", "left_anti"),
         "chunks": chunks.join(by_item, "item_id", "left_anti"),
         "vectors": vectors.join(by_item, "item_id", "left_anti"),
-        "links": links.join(gone.withColumnRenamed("id", "item_a"), "item_a", "left_anti")
-                      .join(gone.withColumnRenamed("id", "item_b"), "item_b", "left_anti"),
+        "links": links.join(named("item_a"), "item_a", "left_anti").join(named("item_b"), "item_b", "left_anti"),
         "jobs": cancel_tasks(jobs, gone)}
 
 
