@@ -220,7 +220,7 @@ def snap_clips(clips: DataFrame, bounds: DataFrame, item: str, block: float, min
     """
     valid = clips.filter((F.col("start_ts") >= 0) & (F.col("end_ts") >= 0)
                          & (F.col("end_ts") - F.col("start_ts") >= min_seconds))
-    b = bounds.select(item, "b").distinct()
+    b = bounds.select(item, "b")        # repeated bounds change nothing
     ends = b.groupBy(item).agg(F.min("b").alias("_first"), F.max("b").alias("_last"))
     points = valid.select(item, "clip_id", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("start_ts").alias("x")),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keepsake.operators.blocks import running, top_n
+from keepsake.operators.blocks import top_n
 
 
 def with_category(df: DataFrame, categories: DataFrame, key: str = "category_id") -> DataFrame:
@@ -101,7 +101,8 @@ def nearest_bounds(points: DataFrame, bounds: DataFrame, key: str, point: str, b
                    block: float) -> DataFrame:
     """Per point the largest bound <= point (``below``) and the smallest >= point (``above``).
 
-    Union of both tables and two running scans, cut into blocks of ``block`` along the axis.
+    Union of both tables and one scan, cut into blocks of ``block`` along the axis. The last bound before a block and the
+    first one after it enter the block as extra rows, so rows are shuffled and sorted once for both directions.
     """
     cols = [c for c in points.columns if c not in (key, point)]
     p = points.select(key, F.col(point).alias("_x"), F.lit(None).cast("double").alias("_b"),
@@ -109,12 +110,28 @@ def nearest_bounds(points: DataFrame, bounds: DataFrame, key: str, point: str, b
     b = bounds.select(key, F.col(bound).cast("double").alias("_x"),
                       F.col(bound).cast("double").alias("_b"), F.lit(0).alias("_kind"),
                       *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in cols])
-    both = p.unionByName(b)
-    cell = F.floor(F.col("_x") / F.lit(float(block)))
-    out = running(both, [key], ["_x", "_kind"], cell, last={"below": F.col("_b")})
-    out = out.withColumns({"_down": -F.col("_x")})
-    out = running(out, [key], ["_down", "_kind"], -cell, last={"above": F.col("_b")})
-    return out.filter(F.col("_kind") == 1).withColumnRenamed("_x", point).drop("_b", "_kind", "_down")
+    both = p.unionByName(b).withColumn("_cell", F.floor(F.col("_x") / F.lit(float(block))))
+    blocks = both.groupBy(key, "_cell").agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
+    earlier = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sides = blocks.select(key, "_cell", F.last("_hi", ignorenulls=True).over(earlier).alias("_before"),
+                          _next_value("_lo", [key], ["_cell"]).alias("_after"))
+    carry = sides.select(key, "_cell", F.explode(F.array(
+        F.struct(F.lit(0).alias("_place"), F.col("_before").alias("_b")),
+        F.struct(F.lit(2).alias("_place"), F.col("_after").alias("_b")))).alias("_c")).select(
+        key, "_cell", "_c.*").filter(F.col("_b").isNotNull())
+    place = ["_place", "_x", "_kind"]
+    upto = Window.partitionBy(key, "_cell").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_place", F.lit(1)).unionByName(carry, allowMissingColumns=True).withColumns({
+        "below": F.last("_b", ignorenulls=True).over(upto),
+        "above": _next_value("_b", [key, "_cell"], place)})
+    # a bound at the point itself stands before it; points without a place have no neighbours
+    return out.filter(F.col("_kind") == 1).withColumn("above", F.when(F.col("below") == F.col("_x"), F.col("below")).when(
+        F.col("_x").isNotNull(), F.col("above"))).withColumnRenamed("_x", point).drop("_b", "_kind", "_cell", "_place")
+
+
+def _next_value(value: str, keys: list[str], order: list[str]) -> Column:
+    """The next non-null value along a window; a frame up to its end would be gone through again for each row."""
+    return F.expr(f"lead(`{value}`) IGNORE NULLS OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY {', '.join(order)})")
 
 
 def outside_bands(lines: DataFrame, bands: DataFrame, y0: str, y1: str, key: str | None = None,
