@@ -26,6 +26,8 @@ from keepsake.operators.retrieval import best_of_rows, matrix
 TABLES, PROBES, BUCKET_ROWS = 16, 24, 64
 #: least certain sides that probes may turn
 TURNED = 10
+#: costs of probes that are held at once, 2 ** TURNED for each query and table
+COSTS = 1 << 20
 
 
 def plane_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
@@ -57,6 +59,11 @@ def probe_codes(code: np.ndarray, margin: np.ndarray, probes: int) -> np.ndarray
     return code[:, :, None] ^ np.take_along_axis(flips, order, axis=2)
 
 
+def coded_rows(tables: int, bits: int, several: int) -> int:
+    """Vectors coded at once: with probes, their costs stay within ``COSTS`` numbers however many planes there are."""
+    return 1024 if several == 1 else max(1, min(1024, COSTS // (tables << min(bits, TURNED))))
+
+
 def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, tables: int = TABLES, probes: int = PROBES,
              bucket_rows: int = BUCKET_ROWS, block_rows: int = 8192) -> DataFrame:
     """``qid, cid, sim, rank, compared``: up to k likely nearest corpus rows of every query, without its own id.
@@ -76,10 +83,12 @@ def lsh_topk(queries: DataFrame, corpus: DataFrame, k: int, tables: int = TABLES
     planes = hyperplanes(first.d, tables, plane_count(rows, bucket_rows))
 
     def coded(id: str, vec: str, several: int, keep: bool):
+        step = coded_rows(tables, planes.shape[1], several)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, b.num_rows, 1024):
-                    part = b.slice(at, 1024)
+                for at in range(0, b.num_rows, step):
+                    part = b.slice(at, step)
                     code, margin = codes(matrix(part.column(vec)), planes)
                     found = probe_codes(code, margin, several) if several > 1 else code[:, :, None]
                     row, table, _ = np.indices(found.shape).reshape(3, -1)
