@@ -240,16 +240,18 @@ def delete_by_source(source_refs: DataFrame, items: DataFrame, chunks: DataFrame
 
 
 def purge_stale(index: DataFrame, parents: DataFrame, key: str, row_id: str) -> DataFrame:
-    """Index rows whose parent exists, one per parent: the smallest row id."""
-    live = index.join(parents.select(key).distinct(), key, "left_semi")
-    return top_n(live, [key], [F.col(row_id)], 1)
+    """Index rows whose parent exists, one per parent: the smallest row id.
+
+    Rows are placed before they meet the parents: the order by key and row id serves the join too.
+    """
+    return top_n(index, [key], [F.col(row_id)], 1).join(parents.select(key).distinct(), key, "left_semi")
 
 
 def purge_stale_counted(index: DataFrame, parents: DataFrame, key: str, row_id: str) -> tuple[DataFrame, int]:
     """``purge_stale``, written, and the number of index rows that went."""
     live = parents.select(key).distinct().withColumn("_live", F.lit(True))
     place = F.row_number().over(Window.partitionBy(key).orderBy(row_id))
-    marked = index.join(live, key, "left").withColumn("_place", place)
+    marked = index.withColumn("_place", place).join(live, key, "left")
     table, n = write_counted(marked, F.col("_live").isNull() | (F.col("_place") > 1), delete=True)
     return table.drop("_live", "_place"), n
 
