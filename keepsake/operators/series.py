@@ -326,11 +326,15 @@ def spaced(points: DataFrame, key: str, t: str, block: Column, gap: float, block
 
 def visual_event_frames(series: DataFrame, settle: DataFrame, key: str,
                         max_frames: int = 40, after_change: float = 0.3, min_gap: float = 1.0,
-                        quiet_seconds: float = QUIET_SECONDS, axis_block: float = 3600.0) -> DataFrame:
+                        quiet_seconds: float = QUIET_SECONDS, axis_block: float = 3600.0,
+                        stats: DataFrame | None = None) -> DataFrame:
     """Anchor times: shortly after each event starts and in the middle of static segments,
-    at least ``min_gap`` apart; evenly filled when few, evenly thinned when many."""
+    at least ``min_gap`` apart; evenly filled when few, evenly thinned when many.
+
+    ``stats``: ``series_stats`` of the series, where they are known already.
+    """
     rows = numbered(series, key, extra=["value"])
-    stats = reliable(series_stats(rows, key))      # one row per series, used three times
+    stats = reliable(series_stats(rows, key)) if stats is None else stats      # one row per series, used three times
     events = detect_events(rows, key, stats, quiet_seconds)
     span = stats.select(key, "first_ts", "last_ts")
     picks = events.join(span, key).select(key, F.least(F.greatest(
@@ -339,23 +343,24 @@ def visual_event_frames(series: DataFrame, settle: DataFrame, key: str,
     axis = F.floor(F.col("t") / axis_block)
     kept = reliable(spaced(picks.unionByName(middles), key, "t", axis, min_gap))
     count = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    few = stats.select(key, "n").join(count, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(
-        F.col("_n") < max(3, max_frames // 4)).select(key, "n")
+    few = reliable(stats.select(key).join(count, key, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(
+        F.col("_n") < max(3, max_frames // 4)).select(key))
     # Filling only concerns series with few anchors: lists of at most 1.25 * max_frames times.
+    rows = rows.join(few, key, "left_semi")
     length = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(length, key).withColumn("i", F.col("rn") - 1)
     stride = F.col("n") / F.lit(float(max_frames))
     mark = F.ceil(F.col("i") / stride)
     wanted = ((mark < max_frames) & (F.floor(mark * stride) == F.col("i"))) | (
         F.floor((mark - 1) * stride) == F.col("i"))
-    filler = rows.filter(wanted).join(few.select(key), key, "left_semi").groupBy(key).agg(
+    filler = rows.filter(wanted).groupBy(key).agg(
         F.sort_array(F.collect_list("ts")).alias("_fill"))
-    anchors = kept.join(few.select(key), key, "left_semi").groupBy(key).agg(
+    anchors = kept.join(few, key, "left_semi").groupBy(key).agg(
         F.sort_array(F.collect_list("t")).alias("_have"))
     filled = filler.join(anchors, key, "left").select(key, F.explode(F.aggregate(
         F.col("_fill"), F.coalesce("_have", F.array().cast("array<double>")),
         lambda acc, x: F.when(F.forall(acc, lambda m: F.abs(x - m) >= min_gap),
                               F.concat(acc, F.array(x))).otherwise(acc))).alias("t"))
-    merged = kept.join(few.select(key), key, "left_anti").unionByName(filled)
+    merged = kept.join(few, key, "left_anti").unionByName(filled)
     sampled = even_sample(indexed(merged, key, ["t"], axis), key, max_frames)
     return sampled.select(key, F.bround("t", 2).alias("t"))

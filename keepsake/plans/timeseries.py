@@ -422,6 +422,9 @@ _FRAMES_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, {SETTLE_SQL},
 
 @plan("visual_event_frames", _FRAMES_SQL)
 def visual_event_frames(t: Tables):
-    return R.visual_event_frames(M.series(t), settle_of(t), "series_id", 40, 0.3, HOUR, QUIET, DAY)
+    rows = R.numbered(M.series(t), "series_id", extra=["value"])
+    stats = reliable(R.series_stats(rows, "series_id"))
+    settle = R.detect_settle(rows, "series_id", stats, STILL)
+    return R.visual_event_frames(rows, settle, "series_id", 40, 0.3, HOUR, QUIET, DAY, stats)
 
 
